@@ -45,15 +45,8 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float,
     return counts.join(totals, "_dl_host").where(F.col("pages") > F.lit(max_ratio) * F.col("total"))
 
 
-def drop_boilerplate(
-    pages: DataFrame,
-    host: str = "source",
-    text: str = "text",
-    max_ratio: float = 0.1,
-    min_pages: int = 5,
-    broadcast_rows: int = BROADCAST_ROWS // 10,
-) -> DataFrame:
-    """`pages` with boilerplate lines taken out of `text`, plus n_lines and n_dropped (non-blank lines).
+def _cleaned(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int, broadcast_rows: int) -> DataFrame:
+    """`pages` with boilerplate lines taken out of `text`, plus _dl_n and _dl_d, the non-blank lines and those dropped.
 
     A host has at most (lines a page) / max_ratio boilerplate lines, so the set is small; it is written first and
     its rows are counted.  Up to `broadcast_rows` it is broadcast as one array for each host; beyond that the
@@ -77,10 +70,27 @@ def drop_boilerplate(
     left = F.when(F.col("_dl_keys").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, keep), "\n"))
     count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n"), full)), F.lit(0)).cast("long")
     dropped = F.when(F.col("_dl_keys").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: ~keep(x))))
-    out = marked.select(
-        *[F.col(c) for c in pages.columns if c != text],
-        left.alias(text),
+    return marked.select(
+        *[left.alias(c) if c == text else F.col(c) for c in pages.columns],
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(count(F.col(text))).cast("long").alias("_dl_n"),
         dropped.cast("long").alias("_dl_d"),
     )
-    return out.select(*pages.columns, F.col("_dl_n").alias("n_lines"), F.col("_dl_d").alias("n_dropped"))
+
+
+def drop_boilerplate(
+    pages: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    max_ratio: float = 0.1,
+    min_pages: int = 5,
+    broadcast_rows: int = BROADCAST_ROWS // 10,
+) -> DataFrame:
+    """`pages` without boilerplate lines, plus n_lines and n_dropped, which replace columns of these names."""
+    out = _cleaned(pages, host, text, max_ratio, min_pages, broadcast_rows)
+    rest = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*rest, F.col("_dl_n").alias("n_lines"), F.col("_dl_d").alias("n_dropped"))
+
+
+def clean(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+    """`pages` without boilerplate lines; columns as they were."""
+    return _cleaned(pages, host, text, max_ratio, min_pages, BROADCAST_ROWS // 10).select(*pages.columns)

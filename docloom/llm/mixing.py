@@ -131,9 +131,9 @@ def block_number() -> Column:
     return F.pmod((F.col("_mx_place") % F.col("_mx_blocks")).cast("long") * odd + F.xxhash64("_mx_source") % 65_536, F.col("_mx_blocks").cast("long")).cast("int")
 
 
-def draws(docs: DataFrame, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
-    """`docs` plus size, source_size, target and draws: an array of (round, shard, words), one for each time that the
-    mix takes the document.
+def _drawn(docs: DataFrame, source: str, text: str, seed: int) -> DataFrame:
+    """`docs` plus _mx_n, _mx_size, _mx_target and _mx_draws: an array of (round, shard, words), one for each time
+    that the mix takes the document.
 
     The plan has one row a source; it is broadcast up to a million numbers, and joined by a shuffle beyond.  Only the
     last block of each source needs its documents in order; that is one of up to 4096 blocks.
@@ -148,7 +148,7 @@ def draws(docs: DataFrame, source: str = "source", text: str = "text", seed: int
         whole = F.coalesce(whole, F.array().cast("array<struct<round:int,shard:int,words:bigint>>"))
         more = F.when(last_words > 0, F.array(draw(F.col("_mx_rounds"), last_words))).otherwise(F.array().cast("array<struct<round:int,shard:int,words:bigint>>"))
         taken = F.filter(F.concat(whole, more), lambda d: d["words"] > 0)
-        return rows.select(*docs.columns, F.col("_mx_n").alias("size"), F.col("_mx_size").alias("source_size"), F.col("_mx_target").alias("target"), taken.alias("draws"))
+        return rows.select(*docs.columns, "_mx_n", "_mx_size", "_mx_target", taken.alias("_mx_draws"))
 
     sized = keyed.withColumn("_mx_n", size_of(text))
     other = sized.where("_mx_block <> _mx_last")
@@ -159,6 +159,13 @@ def draws(docs: DataFrame, source: str = "source", text: str = "text", seed: int
     return drawn(other, F.when(F.col("_mx_block") < F.col("_mx_last"), F.col("_mx_n")).otherwise(F.lit(0))).unionByName(drawn(ends, part))
 
 
+def draws(docs: DataFrame, source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
+    """`docs` plus size, source_size, target and draws (round, shard, words); these replace columns of the same name."""
+    results = {"size": "_mx_n", "source_size": "_mx_size", "target": "_mx_target", "draws": "_mx_draws"}
+    out = _drawn(docs, source, text, seed)
+    return out.select(*[c for c in docs.columns if c not in results], *[F.col(v).alias(k) for k, v in results.items()])
+
+
 def first_words(text: str, words: Column) -> Column:
     """The text up to the end of its word number `words`, white space as it stands."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
@@ -169,8 +176,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     """The mixed corpus: a row for each draw, with the columns of `docs`, dealt to shards and shuffled inside each.
 
     The one document of a source that is cut keeps its first words."""
-    drawn = draws(docs.withColumn("_mx_in", F.col(text)), source, text, seed).select("*", F.explode("draws").alias("_mx_d"))
-    cut = F.when(F.col("_mx_d.words") < F.col("size"), first_words("_mx_in", F.col("_mx_d.words"))).otherwise(F.col("_mx_in"))
+    drawn = _drawn(docs, source, text, seed).select("*", F.explode("_mx_draws").alias("_mx_d"))
+    cut = F.when(F.col("_mx_d.words") < F.col("_mx_n"), first_words(text, F.col("_mx_d.words"))).otherwise(F.col(text))
     out = drawn.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_mx_d.shard").alias("_mx_shard"), F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("_mx_d.round")).alias("_mx_order"))
     out = out.repartition("_mx_shard").sortWithinPartitions("_mx_shard", "_mx_order")
     return out.select(*docs.columns)
