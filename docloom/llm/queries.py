@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, factorization, line_dedup, media, mixing, packing, quality_rules, simhash, url_trust
+from docloom.llm import chat, factorization, line_dedup, media, mixing, packing, quality_rules, simhash, substring_dedup, url_trust
 from docloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -81,7 +85,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_media, op2_line_dedup, op3_chat, op4_factorization, op5_mixing,
-        op6_packing, op7_quality_rules, op9_simhash, op10_url_trust,
+        op6_packing, op7_quality_rules, op8_substring_dedup, op9_simhash, op10_url_trust,
     )}
 
 
