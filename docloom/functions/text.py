@@ -21,6 +21,11 @@ def fold(c: Column, pairs) -> Column:
     return c
 
 
+def let(value: Column, body) -> Column:
+    """Binds `value` once for `body`: a lambda that names an expression would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return sub(c, r"^\s+|\s+\z", "")
@@ -261,9 +266,8 @@ def bounded(c: Column, keyword: str) -> Column:
 
 def ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """The word n-grams of a cleaned text, sizes low to high; none below `low` words."""
-    w = words(c)
-    of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(words(c), lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)])))
 
 
 def span_class(text: Column, spans: Column, label: str = "DETERMINATION", word: str = "determination") -> Column:
@@ -276,11 +280,14 @@ def augment(c: Column, key: Column, seed: int = 42, drop: float = 0.15, swap: fl
     """Drops one word with probability `drop`, then swaps two with probability `swap`; three words or fewer stay.
 
     All chances come from hashes of (seed, key), so a row always changes alike."""
-    w = words(c)
     chance = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1_000_000)) / F.lit(1_000_000.0)
     pick = lambda k, n: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), n.cast("long")) + 1).cast("int")
-    less = F.when(chance(1) < drop, F.filter(w, lambda x, i: i + 1 != pick(2, F.size(w)))).otherwise(w)
-    a = pick(4, F.size(less))
-    b = F.pmod(a - 1 + pick(5, F.size(less) - 1), F.size(less)) + 1
-    swapped = F.transform(less, lambda x, i: F.when(i + 1 == a, F.element_at(less, b)).when(i + 1 == b, F.element_at(less, a)).otherwise(x))
-    return F.when(F.size(w) <= 3, c).otherwise(F.array_join(F.when(chance(3) < swap, swapped).otherwise(less), " "))
+
+    def swapped(less: Column) -> Column:
+        a = pick(4, F.size(less))
+        b = F.pmod(a - 1 + pick(5, F.size(less) - 1), F.size(less)) + 1
+        moved = F.transform(less, lambda x, i: F.when(i + 1 == a, F.element_at(less, b)).when(i + 1 == b, F.element_at(less, a)).otherwise(x))
+        return F.when(chance(3) < swap, moved).otherwise(less)
+
+    dropped = lambda w: F.when(chance(1) < drop, F.filter(w, lambda x, i: i + 1 != pick(2, F.size(w)))).otherwise(w)
+    return let(words(c), lambda w: F.when(F.size(w) <= 3, c).otherwise(F.array_join(let(dropped(w), swapped), " ")))

@@ -165,7 +165,8 @@ def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, hig
     """(cleaned, text, ratio): one of both contains the other and their lengths are close.
 
     The contained one's first characters (_HEAD, or all of it) stand somewhere in the other, so equal pieces of that
-    length join them; lengths and containment are checked then."""
+    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too."""
+    short = int(_HEAD / low)
 
     def heads(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col(c), F.left(F.col(c), F.lit(_HEAD)).alias("_head"))
@@ -173,7 +174,7 @@ def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, hig
     def pieces(df: DataFrame, c: str) -> DataFrame:
         n = F.char_length(c)
         of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        return df.select(F.col(c), F.explode(F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)])))).alias("_head"))
+        return df.select(F.col(c), F.explode(F.array_distinct(F.when(n <= short, F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)]))).otherwise(of(_HEAD)))).alias("_head"))
 
     near = F.char_length("text").between(F.char_length("cleaned") * low, F.char_length("cleaned") * high)
     inside = heads(bank, "text").join(pieces(cleaned, "cleaned"), "_head").where(near & F.contains("cleaned", F.col("text")))

@@ -121,9 +121,8 @@ def sections(text: Column, found: Column) -> Column:
 
     Headers with nothing behind them give no section; of equal header texts the first keeps its place with the content
     of the last."""
-    lines = F.split(text, "\n")
 
-    def content(h: Column, i: Column) -> Column:
+    def content(lines: Column, h: Column, i: Column) -> Column:
         end = F.coalesce(F.get(found, i + 1)["line_number"], F.size(lines))
         start = h["line_number"] + 1
         body = F.when(start < end, T.strip(F.array_join(F.slice(lines, start + 1, end - start), "\n")))
@@ -135,9 +134,8 @@ def sections(text: Column, found: Column) -> Column:
         last = lambda s: F.element_at(F.filter(all_, lambda o: same(o, s)), -1)["content"]
         return F.transform(first, lambda s: F.struct(s["category"].alias("category"), s["header"].alias("header"), last(s).alias("content")))
 
-    full = F.filter(F.transform(found, content), lambda s: s["content"].isNotNull())
-    bound = F.element_at(F.transform(F.array(full), once), 1)
-    return F.coalesce(bound, F.array().cast(SECTIONS))
+    full = T.let(F.split(text, "\n"), lambda lines: F.filter(F.transform(found, lambda h, i: content(lines, h, i)), lambda s: s["content"].isNotNull()))
+    return F.coalesce(T.let(full, once), F.array().cast(SECTIONS))
 
 
 def of_category(found: Column, category: str) -> Column:
@@ -230,7 +228,7 @@ def marker_paragraphs(text: Column, marker: str = R.CASE_MARKER, within: int = 5
         end = F.when(F.size(at) >= 2, F.coalesce(long_enough(between(second)), F.when(F.size(at) >= 3, long_enough(between(third)))))
         return F.struct(F.when(first.isNotNull(), meta).alias("general_metadata"), F.when(first.isNotNull(), start).alias("suspected_first_case_paragraph"), end.alias("suspected_last_case_paragraph"))
 
-    return F.element_at(F.transform(F.array(s), made), 1)
+    return T.let(s, made)
 
 
 def without_lead(cleaned_text: Column, metadata: Column, marker: str = R.CASE_MARKER) -> Column:
