@@ -27,7 +27,12 @@ def validation_set(train: DataFrame, test: DataFrame, columns: list[str], count:
 def silver_candidates(docs: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """(key, column, place, text) of extraction lists, one row a record; absent columns are skipped."""
     have = [c for c in columns if c in docs.columns]
-    items = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType)), lambda r, i, c=c: F.struct(F.lit(c).alias("column"), i.alias("place"), r["text"].alias("text"))) for c in have]))
+
+    def records(c: str) -> Column:
+        full = F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType))
+        return F.transform(full, lambda r, i: F.struct(F.lit(c).alias("column"), i.alias("place"), r["text"].alias("text")))
+
+    items = F.flatten(F.array(*[records(c) for c in have]))
     return docs.select(key, F.explode(items).alias("_r")).select(key, "_r.*")
 
 

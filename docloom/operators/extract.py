@@ -6,8 +6,9 @@ match_type, rank), best first.  Sentences are exploded once; a sentence that a d
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,8 +257,12 @@ def neural(docs: DataFrame, keys: list[str], text: str, scorer: Callable, thresh
     scorer: a function from an iterator of pandas string series to series of probabilities, so that a model is loaded once
     a task; each distinct sentence is scored once."""
     rows = explode_sentences(docs, keys, text, T.model_sentences)
-    udf = F.pandas_udf(scorer, "double")
-    scored = rows.select("sentence").distinct().withColumn("score", udf("sentence"))
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from scorer(batches)
+
+    scored = rows.select("sentence").distinct().withColumn("score", run("sentence"))
     hit = F.col("score") > threshold if strict else F.col("score") >= threshold
     out = rows.join(scored.where(hit), "sentence")
     return out.select(*keys, F.col("sentence").alias("text"), F.col("sentence").alias("matched_text"), "score", relative(F.col("pos"), F.col("n")).alias("position"), F.char_length("sentence").alias("length"), F.lit("neural").alias("match_type"), F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"))

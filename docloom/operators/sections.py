@@ -117,7 +117,7 @@ def headers(text: Column, rules: R.HeaderRules = R.LEGAL_HEADERS) -> Column:
 
 
 def sections(text: Column, found: Column) -> Column:
-    """What stands between each header and the next, trimmed, in order.
+    """What stands between each header and the next, trimmed, in order.  `found`: a column that `headers` has made before.
 
     Headers with nothing behind them give no section; of equal header texts the first keeps its place with the content
     of the last."""

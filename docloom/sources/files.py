@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import io
 import json
 import tarfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schem
     Bad lines: PERMISSIVE keeps them with nulls, DROPMALFORMED leaves them out, FAILFAST stops."""
     reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path))
     reader = reader.option("mode", mode).option("quote", quote).option("escape", escape).option("multiLine", multiline)
+    if mode != "PERMISSIVE":
+        reader = reader.option("columnPruning", False)  # else a line is only as bad as the columns that are read
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.limit(limit) if limit is not None else df
 
@@ -109,7 +113,7 @@ def _cases(df: DataFrame, name: Column, text: Column, pattern: str) -> DataFrame
 
 def read_cases(spark: SparkSession, path: str, pattern: str = CASE_NAME) -> DataFrame:
     """(year, decisionID, full_text) of a folder of text files; names that don't fit are left out, bad bytes replaced."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", "_metadata.file_path")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", "_metadata.file_path")
     return _cases(files, F.col("file_path"), F.col("value"), pattern)
 
 
@@ -165,7 +169,7 @@ def load_config(spark: SparkSession, path: str | None, defaults: dict) -> dict:
     """A JSON (or, if the parser is installed, YAML) configuration over the defaults."""
     if path is None:
         return merged(defaults, {})
-    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith((".yaml", ".yml")):
         import yaml
 
@@ -202,10 +206,6 @@ def archive_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def literal_list(c: Column) -> Column:
     """The strings of a Python list literal; anything else gives an empty list."""
-    import ast
-
-    import pandas as pd
-
     def parse(t: str | None) -> list[str]:
         try:
             v = ast.literal_eval(t) if t else []
@@ -222,8 +222,6 @@ def literal_list(c: Column) -> Column:
 
 def ascii_json(c: Column) -> Column:
     """A map of strings as JSON with blanks after separators and non-ASCII characters escaped."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda m: None if m is None else json.dumps(dict(m)))
