@@ -141,39 +141,39 @@ def _parts(texts: list[bytes], part: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _occurrences(shift: int, part: int, hot_batch: int):
-    """Rows (a, c, key, place, low, high, kind) of a partition's texts.
+    """Rows (a, c, key, at) of a partition's texts; `at` packs a place, a width and the kind (see _at).
 
-    kind OCCURRENCE: a segment to be compared by anchor; REMOVED: bytes low .. high of a text that go; WANTED: a segment of a
-    hot anchor, to be cut whatever the others say; SPEAKS: one that stands for the others of a hot anchor."""
+    kind OCCURRENCE: a segment to be compared by anchor a and segment hash c; REMOVED: bytes of a text that go, to c;
+    WANTED: a segment of the hot anchor c, to be cut whatever the others say; SPEAKS: one that stands for the others of a
+    hot anchor.  The first and last kind are dealt by anchor, the others by a hash of their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [x.as_py() for x in batch.column(1)]
-            found = []
+            found: list[tuple[np.ndarray, ...]] = []
             for raw, starts, ends, number, offset in _parts(texts, part):
                 text, place, low, high, a = anchors(raw, starts, ends)
                 if len(text):
                     c = _segment_hash(raw, place, low, high)
                     move = offset[text] - starts[text]
-                    found.append((a, c, keys[number[text]], place + move, low + move, high + move))
+                    found.append((a, c, keys[number[text]], low + move, high + move))
             if not found:
                 continue
-            a, c, key, place, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((place, key, c, a))
-            a, c, key, place, low, high = (x[order] for x in (a, c, key, place, low, high))
+            a, c, key, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((low, key, c, a))
+            a, c, key, low, high = (x[order] for x in (a, c, key, low, high))
             new_a = np.append(True, a[1:] != a[:-1])
             new = new_a | np.append(True, c[1:] != c[:-1])
             owner = key >> shift
             first = owner[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
             gone = owner > first
-            kind = np.where(gone, REMOVED, OCCURRENCE)
             # segments of each anchor that remain
             group = np.cumsum(new_a) - 1
             many = np.bincount(group, ~gone)[group] > hot_batch
             kept = np.flatnonzero(~gone & many)
             if len(kept):
-                yield _batch((_mix(key[kept].view(np.uint64) + place[kept].view(np.uint64)), c[kept], key[kept], a[kept].view(np.int64), low[kept], high[kept], np.full(len(kept), WANTED)))
+                yield _batch(_route(key[kept], low[kept]), a[kept], key[kept], _at(low[kept], high[kept], WANTED))
                 # the smallest and the largest document speak for the others
                 by = kept[np.lexsort((owner[kept], group[kept]))]
                 g = group[by]
@@ -182,25 +182,31 @@ def _occurrences(shift: int, part: int, hot_batch: int):
                 speak[by[np.append(g[1:] != g[:-1], True)]] = True
             else:
                 speak = np.zeros(len(a), bool)
-            kind[speak] = SPEAKS
             send = np.flatnonzero(~gone & (~many | speak))
-            yield _batch((a[send], c[send], key[send], place[send], low[send], high[send], kind[send]))
+            yield _batch(a[send], c[send], key[send], _at(low[send], high[send], np.where(speak[send], SPEAKS, OCCURRENCE)))
             # removed segments of a text, merged
             drop = np.flatnonzero(gone)
             if len(drop):
                 k, lo, hi = _merge(key[drop], low[drop], high[drop] + LENGTH)
-                yield _batch((_mix(k.view(np.uint64) + lo.view(np.uint64)), np.zeros(len(k), np.uint64), k, lo, lo, hi, np.full(len(k), REMOVED)))
+                yield _batch(_route(k, lo), hi, k, _at(lo, lo, REMOVED))
 
     return run
 
 
-OCCURRENCES = "a bigint, c bigint, key bigint, place bigint, low int, high int, kind byte"
+OCCURRENCES = "a bigint, c bigint, key bigint, at bigint"
 
 
-def _batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    a, c, key, place, low, high, kind = columns
-    arrays = [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key), pa.array(place), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(kind.astype(np.int8))]
-    return pa.RecordBatch.from_arrays(arrays, names=["a", "c", "key", "place", "low", "high", "kind"])
+def _at(low: np.ndarray, high: np.ndarray, kind) -> np.ndarray:
+    """low, high - low (below 64) and kind in one number."""
+    return low.astype(np.int64) << 8 | (high - low) << 2 | kind
+
+
+def _route(key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return _mix(key.astype(np.int64).view(np.uint64) + low.astype(np.int64).view(np.uint64))
+
+
+def _batch(a: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, c, key, at)], names=["a", "c", "key", "at"])
 
 
 def _merge(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,12 +234,14 @@ def _by_anchor(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            passed = (rows[6] == REMOVED) | (rows[6] == WANTED)
-            if passed.any():
-                key, place, low, high, kind = (rows[i][passed] for i in (2, 3, 4, 5, 6))
-                yield _marks(key, kind, place, low, high)
-                rows = [x[~passed] for x in rows]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            for kind in (REMOVED, WANTED):
+                passed = (rows[3] & 3) == kind
+                if passed.any():
+                    _, c, key, at = (x[passed] for x in rows)
+                    low = at >> 8
+                    yield _marks(key, np.full(len(key), kind), c, low, c if kind == REMOVED else low + (at >> 2 & 63))
+                    rows = [x[~passed] for x in rows]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
@@ -257,9 +265,11 @@ def _marks(key, kind, a, low, high) -> pa.RecordBatch:
 
 
 def _decide(rows: list[np.ndarray], shift: int) -> Iterator[pa.RecordBatch]:
-    a, c, key, _, low, high, spoken = rows
+    a, c, key, packed = rows
     if not len(a):
         return
+    low, spoken = packed >> 8, packed & 3
+    high = low + (packed >> 2 & 63)
     owner = key >> shift
     new_a = np.append(True, a[1:] != a[:-1])
     new = new_a | np.append(True, c[1:] != c[:-1])
