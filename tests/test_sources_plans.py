@@ -34,7 +34,7 @@ def test_csv_round_trip_with_quotes_and_backslashes(spark, tmp_path):
 
 def test_bad_lines_can_be_left_out(spark, tmp_path):
     p = write(tmp_path / "c.csv", "a,b\n1,2\nx,3\n")
-    assert files.read_csv(spark, p, ",", "a int, b int", mode="DROPMALFORMED").count() == 1
+    assert files.read_csv(spark, p, ",", "a int, b int", mode="DROPMALFORMED").collect() == [(1, 2)]
 
 
 def test_json(spark, tmp_path):
