@@ -37,6 +37,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of plans that have ended: it does so when their objects are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ Hot anchors: a batch that holds many segments of one anchor sends two of them to
 knows that the anchor is shared, and asks for all of them straight away.  Segments of an anchor with many
 segments are dealt to shards string by string, each distinct string of a batch once.
 
-Hashes only route and group 16-byte grams and segments (64 bits each, both must agree); what stage 3 decides, it
+Hashes only route and group 24-byte grams and segments (64 bits each, both must agree); what stage 3 decides, it
 decides on bytes.
 
 Defined cases: null text is empty; texts below LENGTH bytes lose nothing; repeated rows are equals, neither is
@@ -36,15 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import suffix
-from docloom.llm.common import BROADCAST_ROWS, materialize, semi_checked, text_or_empty
+from docloom.llm.common import BROADCAST_ROWS, materialize, release, semi_checked, text_or_empty
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text hashed at once; longer texts are cut into overlapping parts.
 PART = 1 << 21
-#: Segments of one anchor in a batch, and in all, beyond which it is hot.
-HOT_BATCH, HOT = 32, 4096
+#: Segments of one anchor in a batch, and in all, beyond which it is hot; a shard of the second many is some 10 MB.
+HOT_BATCH, HOT = 32, 1 << 17
+#: Bytes of segments a shard should hold, and shards at most.
+SHARD_BYTES, MAX_SHARDS = 1 << 22, 20_000
 OCCURRENCE, REMOVED, WANTED, SPEAKS = 0, 1, 2, 3
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -76,7 +78,9 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     if n < LENGTH:
         return none
     eights = _eights(raw)
-    grams = _mix(eights[:-8] * _M3 + _mix(eights[8:]))
+    size = n - GRAM + 1
+    grams = _mix(eights[:size] * _M3 + _mix(eights[8 : 8 + size]))
+    grams = _mix(grams + eights[GRAM - 8 : GRAM - 8 + size] * _M1)
     packed = (grams & ~_INDEX) | np.arange(len(grams), dtype=np.uint64)
     least, width = packed, 1
     while 2 * width <= SPAN:
@@ -401,20 +405,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", memory: int = 4 * suffix
     found = rest.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_occurrences(shift, part, hot_batch), OCCURRENCES)
     marks = found.repartition("a").sortWithinPartitions("a", "c", "key").mapInArrow(_by_anchor(shift), MARKS)
     marks = materialize(marks, "marks")
+    release(docs.sparkSession)
 
     wanted = marks.where(F.col("kind") == WANTED).select("key", "a", "low", "high").distinct()
     many = materialize(wanted.groupBy("a").count().where(F.col("count") > hot).select("a", F.lit(True).alias("many")), "hot")
     # at most (segments wanted) / hot rows
-    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    n_hot = many.count()
+    many = F.broadcast(many) if n_hot <= BROADCAST_ROWS else many
     wanted = wanted.join(many, "a", "left").groupBy("key").agg(F.collect_list(F.struct("a", "low", "high", F.coalesce("many", F.lit(False)).alias("hot"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     texts = semi_checked(rest, wanted.select("key"), "key").select("key", "text").join(wanted, "key")
-    cut = materialize(texts.mapInArrow(_cut(shift), SEGMENTS), "segments")
-    shards = cut.where("segment IS NOT NULL").repartition("shard").mapInArrow(_sorted_shard(shift, memory), MARKS)
+    cut = texts.mapInArrow(_cut(shift), SEGMENTS)
+    # only hot anchors settle ranges while they are cut, and so have a second use for the segments
+    cut = materialize(cut, "segments") if n_hot else cut
+    total = wanted.agg(F.coalesce(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda s, w: s + w["high"] - w["low"] + LENGTH)), F.lit(0))).first()[0]
+    count = max(1, min(MAX_SHARDS, -(-total // SHARD_BYTES)))
+    shards = cut.where("segment IS NOT NULL").repartition(count, "shard").mapInArrow(_sorted_shard(shift, memory), MARKS)
 
     gone = marks.where(F.col("kind") == REMOVED).select("key", "low", "high")
     gone = gone.unionByName(shards.select("key", "low", "high"))
-    gone = gone.unionByName(cut.where("segment IS NULL").select("key", "low", F.col("shard").cast("int").alias("high")))
+    if n_hot:
+        gone = gone.unionByName(cut.where("segment IS NULL").select("key", "low", F.col("shard").cast("int").alias("high")))
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("r"))
     gone = materialize(gone.select("key", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), "removed")
 

@@ -21,11 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 19
+#: Texts up to this many symbols are held in memory with what is kept beside each (17 bytes a symbol); longer ones are
+#: files that are mapped.
+IN_MEMORY = 1 << 23
 #: The end of the text, below every byte; bytes are stored one higher.
 END = 0
 SYMBOLS = 257
 
 
+def storage(folder: str, name: str, kind: type, n: int) -> np.ndarray:
+    """n numbers, in memory or in a mapped file; a plain view, as a map's own indexing costs more."""
+    if n <= IN_MEMORY:
+        return np.empty(n, kind)
+    return np.asarray(np.memmap(os.path.join(folder, name), kind, "w+", shape=(n,)))
+
+
 class DiskQueue:
     """A priority queue of (position, common prefix) tuples: lowest symbol first, then first in, first out.
 
@@ -113,39 +123,49 @@ class RangeMinimum:
         return out
 
 
-def window_words(text: np.ndarray, at: np.ndarray, skip: int) -> np.ndarray:
-    """Three symbols (9 bits each are enough; 16 are used) from each place on, as one ordered number; zeros past the end."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(3):
-        place = at + skip + i
-        got = text[np.minimum(place, len(text) - 1)].astype(np.uint64)
-        out = out << np.uint64(16) | np.where(place < len(text), got, np.uint64(0))
+#: Symbols a packed word holds, at nine bits each.
+PACKED, BITS = 7, 9
+
+
+def pack(text: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The PACKED symbols from each place on as one ordered number, zeros past the end, into `out`."""
+    n = len(text)
+    for low in range(0, n, BLOCK):
+        part = np.zeros(min(BLOCK, n - low) + PACKED - 1, np.uint64)
+        seen = text[low : low + len(part)]
+        part[: len(seen)] = seen
+        two = part[:-1] << np.uint64(BITS) | part[1:]
+        three = two[:-1] << np.uint64(BITS) | part[2:]
+        six = three[:-3] << np.uint64(3 * BITS) | three[3:]
+        out[low : low + len(part) - PACKED + 1] = six[:-1] << np.uint64(BITS) | part[PACKED - 1 :]
     return out
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, at most `depth`."""
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    last = len(text) - 1
-    for i in range(depth):
-        x, y = a[live] + i, b[live] + i
-        same = (x <= last) & (y <= last)
-        same &= text[np.minimum(x, last)] == text[np.minimum(y, last)]
-        live = live[same]
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, at most `depth`; no two suffixes are equal, as the end is unlike all."""
+    out, live, last = np.full(len(a), depth, np.int64), np.arange(len(a)), len(words) - 1
+    for skip in range(0, depth, PACKED):
+        differ = words[np.minimum(a[live] + skip, last)] ^ words[np.minimum(b[live] + skip, last)]
+        over = differ != 0
+        high = np.frexp(differ[over].astype(np.float64))[1]
+        # rounding up to the next power of two would name the symbol before
+        exact = differ[over] >> np.minimum(high - 1, 63).astype(np.uint64) == 0
+        symbol = PACKED - 1 - (high - exact - 1) // BITS
+        out[live[over]] = np.minimum(skip + symbol, depth)
+        live = live[~over]
         if not len(live):
             break
-        out[live] = i + 1
     return out.astype(np.uint8)
 
 
-def sort_by_bytes(text: np.ndarray, at: np.ndarray, depth: int, limit: int = 4 * BLOCK) -> np.ndarray:
-    """The places ordered by the next `depth` symbols.  Sorts by three symbols and recurses into the ties only."""
+def sort_by_bytes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places ordered by the next `depth` symbols.  Sorts by one packed word and recurses into the ties only."""
     if len(at) < 2:
         return at
-    order, group, skip = at, None, 0
+    order, group, last = at, None, len(words) - 1
     live = np.arange(len(at))
-    while skip < depth:
-        keys = window_words(text, order[live], skip)
+    for skip in range(0, depth, PACKED):
+        keys = words[np.minimum(order[live] + skip, last)]
         ranked = np.argsort(keys, kind="stable") if group is None else np.lexsort((keys, group))
         order[live] = order[live][ranked]
         keys = keys[ranked]
@@ -159,7 +179,6 @@ def sort_by_bytes(text: np.ndarray, at: np.ndarray, depth: int, limit: int = 4 *
         live, group = live[tied], ids[tied]
         if not len(live):
             break
-        skip += 3
     return order
 
 
@@ -187,6 +206,7 @@ class Induced:
 
     def __init__(self, text: np.ndarray, depth: int, folder: str, memory: int = 4 * BLOCK) -> None:
         self.text, self.depth, self.folder, self.memory = text, depth, folder, memory
+        self.words = pack(text, storage(folder, "words", np.uint64, len(text)))
 
     def _lms(self) -> DiskQueue:
         """LMS places by symbol, sorted, with common prefixes."""
@@ -198,9 +218,9 @@ class Induced:
         found, symbols = found[by].astype(np.int64), symbols[by]
         ends = np.searchsorted(symbols, np.arange(SYMBOLS + 1))
         for c in range(SYMBOLS):
-            part = sort_by_bytes(self.text, found[ends[c] : ends[c + 1]].copy(), self.depth + 6)
+            part = sort_by_bytes(self.words, found[ends[c] : ends[c + 1]].copy(), self.depth + PACKED - 1)
             lcp = np.zeros(len(part), np.uint8)
-            lcp[1:] = common_prefix(self.text, part[:-1], part[1:], self.depth)
+            lcp[1:] = common_prefix(self.words, part[:-1], part[1:], self.depth)
             for k in range(0, len(part), BLOCK):
                 queue.push(c, part[k : k + BLOCK], lcp[k : k + BLOCK])
         return queue
@@ -241,7 +261,7 @@ class Induced:
     def _seam(self, left: int | None, right: int | None) -> int:
         if left is None or right is None:
             return 0
-        return int(common_prefix(self.text, np.array([left]), np.array([right]), self.depth)[0])
+        return int(common_prefix(self.words, np.array([left]), np.array([right]), self.depth)[0])
 
     def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, common prefix with the suffix after it), blocks in DESCENDING order of the suffixes."""
@@ -292,13 +312,13 @@ def repeated(text: np.ndarray, owners: np.ndarray, starts: np.ndarray, length: i
     """
     n = len(text)
     with tempfile.TemporaryDirectory(dir=folder) as here:
-        symbols = np.memmap(os.path.join(here, "text"), np.uint16, "w+", shape=(n + 1,))
+        symbols = storage(here, "text", np.uint16, n + 1)
         for k in range(0, n, BLOCK):
             symbols[k : min(k + BLOCK, n)] = text[k : k + BLOCK].astype(np.uint16) + 1
         symbols[n] = END
-        number = np.memmap(os.path.join(here, "number"), np.int64, "w+", shape=(n + 1,))
-        number[:] = -1
-        number[starts] = np.arange(len(starts))
+        numbers = storage(here, "number", np.int64, n + 1)
+        numbers[:] = -1
+        numbers[starts] = np.arange(len(starts))
         out = np.zeros(len(starts), bool)
         held: list[np.ndarray] = []
 
@@ -307,7 +327,7 @@ def repeated(text: np.ndarray, owners: np.ndarray, starts: np.ndarray, length: i
             out[members[mine > mine.min()]] = True
 
         for at, lcp in Induced(symbols, length, here, memory).suffixes():
-            which = number[at]
+            which = numbers[at]
             cut = np.flatnonzero(lcp < length)
             group = np.cumsum(lcp < length)
             valid = which >= 0

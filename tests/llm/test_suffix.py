@@ -18,6 +18,7 @@ def sort(raw, depth, memory):
 def test_order_and_common_prefixes_equal_brute_force(monkeypatch, block):
     """Tiny blocks and queues that hold few tuples send everything through files."""
     monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "IN_MEMORY", 0 if block < 10 else 1 << 23)
     rng = random.Random(block)
     for _ in range(150):
         letters = rng.choice([1, 2, 3, 26])
