@@ -131,5 +131,61 @@ FROM turns GROUP BY conv_id
 """
 
 
+_WS = r"[\x20\x09-\x0D]"
+_CANDIDATES = ", ".join(f"('{rule}', {i}, {c})" for rule, cs in quality_rules.CANDIDATES.items() for i, c in enumerate(cs))
+_TAIL = "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875))))"
+
+_OP7 = rf"""
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+places AS (SELECT doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS gram, p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM parts)),
+twice AS (SELECT doc_id, p FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, p + unnest([0, 1, 2]) AS q FROM twice) GROUP BY doc_id),
+stats AS (SELECT a.doc_id, a.lang, len(a.w) AS n_words, length(regexp_replace(a.t, '{_WS}+', '', 'g')) AS word_chars,
+  length(a.t) - length(regexp_replace(a.t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(a.l) AS n_lines,
+  len(a.l) - len(list_distinct(a.l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM parts a LEFT JOIN covered c ON a.doc_id = c.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
+measured AS (SELECT doc_id, lang, base_failed, unnest(['symbols', 'dup_lines', 'word_length', 'repeats']) AS rule,
+  unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), word_chars / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1)]) AS m FROM judged),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+candidates(rule, i, cutoff) AS (VALUES {_CANDIDATES}),
+counted AS (SELECT lang, c.rule, c.i, c.cutoff, count(*) AS n, count(*) FILTER (m.m > c.cutoff) AS k FROM measured m JOIN candidates c ON m.rule = c.rule
+  WHERE NOT m.base_failed AND m.doc_id IN (SELECT doc_id FROM good) GROUP BY lang, c.rule, c.i, c.cutoff),
+tested AS (SELECT *, k < 0.0125 * n AND {_TAIL} <= 0.05 / (4 * (SELECT count(DISTINCT coalesce('=' || lang, '')) FROM counted)) AS sure FROM counted),
+cutoffs AS (SELECT lang, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(sure) OVER (PARTITION BY lang, rule ORDER BY i) AS safe FROM tested) WHERE safe GROUP BY lang, rule),
+bad AS (SELECT DISTINCT m.doc_id FROM measured m JOIN cutoffs c ON m.rule = c.rule AND m.lang IS NOT DISTINCT FROM c.lang WHERE m.m > c.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM judged
+"""
+
+
+def _op10() -> str:
+    """The propagation written out round by round."""
+    order = sorted(URL_RULES, key=lambda r: (-len(r.name), -len(r.host), r.verdict != "block"))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in order) + " END"
+    link = url_trust.LINK.replace("'", "''")
+    ascii_lower = f"translate(%s, '{url_trust.UPPER}', '{url_trust.LOWER}')"
+    rounds, d = [], url_trust.DAMPING
+    for k in range(1, url_trust.ROUNDS + 1):
+        rounds.append(f"m{k} AS MATERIALIZED (SELECT s.kind, t.dst AS node, sum(s.score * t.share) AS moved FROM s{k - 1} s JOIN steps t ON s.kind = t.kind AND s.node = t.node GROUP BY 1, 2)")
+        kept = f"(SELECT coalesce(sum(moved), 0) FROM m{k} x WHERE x.kind = coalesce(a.kind, b.kind)) / (SELECT sum(mass) FROM seeds y WHERE y.kind = coalesce(a.kind, b.kind))"
+        rounds.append(f"s{k} AS MATERIALIZED (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.node, b.node) AS node, {d} * coalesce(a.moved, 0) + ({1 - d} + {d} * (1 - {kept})) * coalesce(b.mass, 0) AS score FROM m{k} a FULL JOIN seeds b ON a.kind = b.kind AND a.node = b.node)")
+    last = f"s{url_trust.ROUNDS}"
+    return f"""
+WITH named AS (SELECT page_id, html, {ascii_lower % "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')"} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+ruled AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS said FROM named),
+links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda x: {ascii_lower % "x"}))) AS dst FROM named WHERE host <> '') WHERE src <> dst GROUP BY src, dst),
+both_ways AS (SELECT 'trust' AS kind, src AS node, dst, weight FROM links UNION ALL SELECT 'distrust', dst, src, weight FROM links),
+steps AS MATERIALIZED (SELECT kind, node, dst, weight / sum(weight) OVER (PARTITION BY kind, node) AS share FROM both_ways),
+seeds AS MATERIALIZED (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host AS node, count(*) / (SELECT count(*) FROM ruled WHERE said IS NOT NULL AND host <> '') AS mass FROM ruled WHERE said IS NOT NULL AND host <> '' GROUP BY 1, 2),
+s0 AS MATERIALIZED (SELECT kind, node, mass AS score FROM seeds),
+{", ".join(rounds)},
+scores AS (SELECT * FROM {last} WHERE (SELECT count(*) FROM steps) > 0 UNION ALL SELECT * FROM s0 WHERE (SELECT count(*) FROM steps) = 0),
+bad AS (SELECT node FROM scores GROUP BY node HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op3_chat": _OP3}
+    return {"op2_line_dedup": _OP2, "op3_chat": _OP3, "op7_quality_rules": _OP7, "op10_url_trust": _op10()}
