@@ -61,23 +61,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number; the last seven places are left out."""
-    x = raw.astype(np.uint64)
+    """The eight bytes from each place on as one number, zeros past the end."""
+    x = np.zeros(len(raw) + 7, np.uint64)
+    x[: len(raw)] = raw
     for k in (1, 2, 4):
         x = x[:-k] | (x[k:] << np.uint64(8 * k))
     return x
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, place, low, high, hash) of the anchors of some texts that lie end to end in `raw`.
+def anchors(eights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place, low, high, hash) of the anchors of some texts that lie end to end, given as their `_eights`.
 
     The strings of an anchor begin at low .. high (places in raw); `place` is where its gram begins.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    n = len(raw)
+    n = len(eights)
     if n < LENGTH:
         return none
-    eights = _eights(raw)
     size = n - GRAM + 1
     grams = _mix(eights[:size] * _M3 + _mix(eights[8 : 8 + size]))
     grams = _mix(grams + eights[GRAM - 8 : GRAM - 8 + size] * _M1)
@@ -105,20 +105,17 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return np.searchsorted(ends, place, "right"), place, where[first], where[last], grams[place]
 
 
-def _segment_hash(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A hash of each segment's bytes and of where its gram lies in it."""
+def _segment_hash(eights: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of each segment's bytes and of where its gram lies in it.
+
+    Eight bytes at a time; the last ones are the eight before the segment's end, which may overlap those before."""
     size = high - low + LENGTH
     out = _mix((place - low).astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))
     for k in range(0, 2 * LENGTH - GRAM, 8):
-        live = np.flatnonzero(size > k)
-        if not len(live):
-            break
-        word = np.zeros(len(live), np.uint64)
-        for b in range(8):
-            at = low[live] + k + b
-            word |= np.where(k + b < size[live], raw[np.minimum(at, len(raw) - 1)].astype(np.uint64), np.uint64(0)) << np.uint64(8 * b)
-        out[live] += _mix(word + np.uint64((k + 1) * int(_M3) % (1 << 64)))
-        out[live] = out[live] * _M1 ^ (out[live] >> np.uint64(31))
+        live = np.flatnonzero(size > k) if k + 8 > LENGTH else slice(None)
+        at = low[live] + np.minimum(k, size[live] - 8)
+        out[live] = (out[live] + _mix(eights[at] + np.uint64((k + 1) * int(_M3) % (1 << 64)))) * _M1
+        out[live] ^= out[live] >> np.uint64(31)
     return out
 
 
@@ -157,24 +154,25 @@ def _occurrences(shift: int, part: int, hot_batch: int):
             texts = [x.as_py() for x in batch.column(1)]
             found: list[tuple[np.ndarray, ...]] = []
             for raw, starts, ends, number, offset in _parts(texts, part):
-                text, place, low, high, a = anchors(raw, starts, ends)
+                eights = _eights(raw)
+                text, place, low, high, a = anchors(eights, starts, ends)
                 if len(text):
-                    c = _segment_hash(raw, place, low, high)
+                    c = _segment_hash(eights, place, low, high)
                     move = offset[text] - starts[text]
                     found.append((a, c, keys[number[text]], low + move, high + move))
             if not found:
                 continue
             a, c, key, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((low, key, c, a))
+            order = _grouped(a, c, key, low)
             a, c, key, low, high = (x[order] for x in (a, c, key, low, high))
             new_a = np.append(True, a[1:] != a[:-1])
             new = new_a | np.append(True, c[1:] != c[:-1])
             owner = key >> shift
             first = owner[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
             gone = owner > first
-            # segments of each anchor that remain
+            # an anchor is hot by its different segments, not by how often one document repeats it
             group = np.cumsum(new_a) - 1
-            many = np.bincount(group, ~gone)[group] > hot_batch
+            many = np.bincount(group, new)[group] > hot_batch
             kept = np.flatnonzero(~gone & many)
             if len(kept):
                 yield _batch(_route(key[kept], low[kept]), a[kept], key[kept], _at(low[kept], high[kept], WANTED))
@@ -200,6 +198,17 @@ def _occurrences(shift: int, part: int, hot_batch: int):
 OCCURRENCES = "a bigint, c bigint, key bigint, at bigint"
 
 
+def _grouped(a: np.ndarray, c: np.ndarray, key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order by (a, c, key, low).  Most anchors are alone, so only the others are sorted by all four."""
+    order = np.argsort(a, kind="stable")
+    sorted_a = a[order]
+    same = sorted_a[1:] == sorted_a[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    part = order[tied]
+    order[tied] = part[np.lexsort((low[part], key[part], c[part], a[part]))]
+    return order
+
+
 def _at(low: np.ndarray, high: np.ndarray, kind) -> np.ndarray:
     """low, high - low (below 64) and kind in one number."""
     return low.astype(np.int64) << 8 | (high - low) << 2 | kind

@@ -160,14 +160,18 @@ def gram_index(bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFram
 
 
 _HEAD = 8
+#: Bank sentences up to which a bank's heads and grams may be broadcast (some 100 bytes each).
+SMALL_BANK = 50_000
 
 
-def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, high: float = 1.4) -> DataFrame:
+def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, high: float = 1.4, small: bool = False) -> DataFrame:
     """(cleaned, text, ratio): one of both contains the other and their lengths are close.
 
     The contained one's first characters (_HEAD, or all of it) stand somewhere in the other, so equal pieces of that
-    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too."""
+    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too.
+    small: the bank was counted and may be broadcast, so that the other side's pieces aren't moved."""
     short = int(_HEAD / low)
+    hint = F.broadcast if small else (lambda df: df)
 
     def heads(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col(c), F.left(F.col(c), F.lit(_HEAD)).alias("_head"))
@@ -178,8 +182,8 @@ def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, hig
         return df.select(F.col(c), F.explode(F.array_distinct(F.when(n <= short, F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)]))).otherwise(of(_HEAD)))).alias("_head"))
 
     near = F.char_length("text").between(F.char_length("cleaned") * low, F.char_length("cleaned") * high)
-    inside = heads(bank, "text").join(pieces(cleaned, "cleaned"), "_head").where(near & F.contains("cleaned", F.col("text")))
-    outside = pieces(bank, "text").join(heads(cleaned, "cleaned"), "_head").where(near & F.contains("text", F.col("cleaned")))
+    inside = pieces(cleaned, "cleaned").join(hint(heads(bank, "text")), "_head").where(near & F.contains("cleaned", F.col("text")))
+    outside = heads(cleaned, "cleaned").join(hint(pieces(bank, "text")), "_head").where(near & F.contains("text", F.col("cleaned")))
     ratio = F.least(F.char_length("text"), F.char_length("cleaned")) / F.greatest(F.char_length("text"), F.char_length("cleaned"))
     return inside.select("cleaned", "text").unionByName(outside.select("cleaned", "text")).distinct().withColumn("ratio", ratio)
 
@@ -190,11 +194,13 @@ def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGA
     An equal one scores 1; else a substring match of at least the threshold; else the share of the sentence's grams
     that the bank sentence has, if it reaches the threshold.  Ties go to the first text in order."""
     rows = cleaned.select("cleaned").distinct().where(F.size(T.words(F.col("cleaned"))) >= 3)
+    small = bank.limit(SMALL_BANK + 1).count() <= SMALL_BANK
+    hint = F.broadcast if small else (lambda df: df)
     equal = rows.join(bank, rows.cleaned == bank.text).select("cleaned", "text", F.lit(1.0).alias("match"), F.lit(0).alias("way"))
-    sub = substring_matches(rows, bank).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))
+    sub = substring_matches(rows, bank, small=small).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))
     grams = rows.select("cleaned", T.ngrams(F.col("cleaned"), rules.min_gram, rules.max_gram).alias("_g"))
     probes = grams.select("cleaned", F.size("_g").alias("total"), F.explode("_g").alias("gram"))
-    shared = probes.join(gram_index(bank, rules), "gram").groupBy("cleaned", "text", "total").agg(F.count(F.lit(1)).alias("c"))
+    shared = probes.join(hint(gram_index(bank, rules)), "gram").groupBy("cleaned", "text", "total").agg(F.count(F.lit(1)).alias("c"))
     shared = shared.select("cleaned", "text", (F.col("c") / F.col("total")).alias("match"), F.lit(2).alias("way"))
     every = equal.unionByName(sub).unionByName(shared).where(F.col("match") >= rules.threshold)
     rank = F.row_number().over(Window.partitionBy("cleaned").orderBy("way", F.desc("match"), "text"))

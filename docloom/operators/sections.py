@@ -255,3 +255,11 @@ def true_headers(counts: DataFrame, excluded: tuple[str, ...] = R.HEADER_EXCLUDE
     """Without excluded words, mostly letters, not long."""
     letters = F.char_length(F.regexp_replace("header", r"\P{L}", ""))
     return counts.where(~F.col("header").rlike(R.quoted(excluded)) & (letters * 2 >= F.char_length("header")) & (F.char_length("header") <= longest))
+
+
+def compare_headers(a: DataFrame, b: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
+    """(header, side): frequent headers of two corpora that are in both or in one of them."""
+    from docloom.operators.dedup import vocabulary
+
+    frequent = lambda df: header_counts(header_lines(df, key, text), least)
+    return vocabulary(frequent(a), frequent(b), "header")

@@ -139,15 +139,31 @@ def load_split(spark: SparkSession, folder: str, train: str = "train", test: str
     return found[train], found[test]
 
 
-def load_folder(spark: SparkSession, folder: str, key: str | None = None) -> dict[str, DataFrame]:
-    """Every CSV file of a folder by name, with the key made safe where a file has it."""
+def load_folder(spark: SparkSession, folder: str, key: str | None = None, archived: dict[str, tuple[str, str]] | None = None) -> dict[str, DataFrame]:
+    """Every CSV file of a folder by name, and the archives that `archived` gives a delimiter and a schema for, with the
+    key made safe where a file has it."""
     from docloom.operators.keys import safe_id
 
     out = {}
     for name in names_in(spark, folder):
         if name.endswith(".csv"):
             df = read_csv(spark, f"{folder}/{name}")
-            out[name] = df.withColumn(key, safe_id(F.col(key))) if key and key in df.columns else df
+        elif name in (archived or {}):
+            df = read_archived_csv(spark, f"{folder}/{name}", *archived[name])
+        else:
+            continue
+        out[name] = df.withColumn(key, safe_id(F.col(key).cast("string"))) if key and key in df.columns else df
+    return out
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """(text, label) of examples; an error if a column is missing or a label is neither 0 nor 1."""
+    from docloom.operators.keys import require
+
+    out = require(df, ["text", "label"]).select("text", F.col("label").cast("int").alias("label"))
+    bad = out.where(F.col("label").isNull() | ~F.col("label").isin(0, 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"labels must be 0 or 1: {bad[0]}")
     return out
 
 

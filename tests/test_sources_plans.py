@@ -154,3 +154,43 @@ def test_stream(spark, tmp_path):
 def test_numbering_follows_the_order(spark):
     df = spark.createDataFrame([(1, 5), (1, 2), (2, 9)], "k bigint, o bigint")
     assert sorted((r.k, r.o, r.sentence_order) for r in keys.number_rows(df, "k", [F.col("o")]).collect()) == [(1, 2, 1), (1, 5, 2), (2, 9, 1)]
+
+
+def test_folder_with_archives_and_labels(spark, tmp_path):
+    write(tmp_path / "a.csv", "decisionID,v\n7,x\nbad,y\n")
+    tar(tmp_path / "b.tar.gz", {"b.csv": b"decisionID;v\n1;a\n"})
+    got = files.load_folder(spark, str(tmp_path), "decisionID", {"b.tar.gz": (";", "decisionID string, v string")})
+    assert sorted(r.decisionID for r in got["a.csv"].collect()) == [-999, 7] and got["b.tar.gz"].first().decisionID == 1
+    assert files.labelled(spark.createDataFrame([("a", "1")], "text string, label string")).first().label == 1
+    with pytest.raises(ValueError, match="0 or 1"):
+        files.labelled(spark.createDataFrame([("a", 2)], "text string, label int"))
+
+
+def test_trained_scorer(spark):
+    from docloom.operators import scorers
+
+    rows = [(f"the appeal number {i} is dismissed", 1) for i in range(30)] + [(f"the hearing number {i} took place", 0) for i in range(60)]
+    model = scorers.train(spark.createDataFrame(rows, "text string, label int"))
+    got = scorers.probabilities(spark.createDataFrame([(1, "an appeal is dismissed"), (2, "a hearing took place"), (3, None)], "id int, text string"), model)
+    p = {r.id: r.prob for r in got.collect()}
+    assert p[1] > 0.5 > p[2] and 0 <= p[3] <= 1
+
+
+def test_reports_and_command_line(spark, tmp_path):
+    from docloom import __main__ as cli
+    from docloom.plans import reports
+
+    df = spark.createDataFrame([(1, ["<b>"], 0.5)], "id int, missing array<string>, r double")
+    assert "&lt;b&gt;" in reports.html(df, "t") and "r: 0.5000" in reports.text(df, "t")
+    case_tables(spark, f"{tmp_path}/in")
+    assert cli.main(["preprocess", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0
+    assert cli.main(["extract", f"{tmp_path}/in/case_texts", f"{tmp_path}/runs", "--stage", "sparse"]) == 0
+    assert cli.main(["headers", f"{tmp_path}/in/case_texts", "decisionID", "full_text"]) == 0
+
+
+def test_header_comparison(spark):
+    from docloom.operators import sections
+
+    a = spark.createDataFrame([(1, "ANALYSIS\nREASONS")], "id int, t string")
+    b = spark.createDataFrame([(1, "ANALYSIS\nORDER")], "id int, t string")
+    assert {r.header: r.side for r in sections.compare_headers(a, b, "id", "t", 1).collect()} == {"ANALYSIS": "both", "REASONS": "only_a", "ORDER": "only_b"}
