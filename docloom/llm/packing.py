@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +35,7 @@ SEED = 20
 #: Up to this code point the fast tokenizer was compared with the defining one; texts beyond it take the latter.
 PLAIN = re.compile("[^\x00-ɏ]")
 SPECIAL = "<|endoftext|>"
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
 @lru_cache(maxsize=1)
@@ -142,12 +141,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view = memoryview(ids).cast("B")
             while start < n:
                 length = min(n - start, LENGTH - at)
-                out.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, first + sequence, at))
+                out.append((doc_id, start, length, n, first + sequence, at, view[4 * start : 4 * (start + length)].tobytes()))
                 start, at = start + length, at + length
                 if at == LENGTH:
                     at, sequence = 0, sequence + 1
         columns = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
+        arrays = [pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
 
 
 def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -156,7 +156,8 @@ def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pack(docs: DataFrame, text: str = "text", range_tokens: int = RANGE_TOKENS) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """The pieces of every document: doc_id, start, length, doc_tokens, sequence_id, offset, and the piece's ids as
+    little-endian 32-bit numbers."""
     ids = materialize(tokenised(docs, text), "tokens")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // range_tokens))
