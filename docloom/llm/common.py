@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +40,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of plans that have ended: it does so when their objects are collected."""
+    """Lets the driver drop the shuffle files of plans that have ended: it does so when their objects are collected.
+
+    The end of a plan is told to listeners, which hold it for a moment."""
+    gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 

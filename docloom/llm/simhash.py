@@ -12,9 +12,9 @@ their own.
 Equal fingerprints are one row before anything is replicated: copies cost nothing.  Links between different
 fingerprints are all found; the documents of one fingerprint share its component.
 
-Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; repeated rows link to
-themselves only in the sense that they share an id; an empty table gives an empty table; other columns are not
-read.
+Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; rows of one doc_id are one
+document; rows without an id always stay and never name a component, whose id is null if it has no other rows;
+an empty table gives an empty table; other columns are not read, and pass through where documents are kept.
 """
 
 from __future__ import annotations

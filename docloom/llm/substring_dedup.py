@@ -43,12 +43,15 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text hashed at once; longer texts are cut into overlapping parts.
 PART = 1 << 21
+#: Bytes of text in which equal segments are collapsed before they are sent, and rows that are cut or ended at once.
+COLLAPSED, ROWS = 1 << 24, 500
 #: Segments of one anchor in a batch, and in all, beyond which it is hot; a shard of the second many is some 10 MB.
 HOT_BATCH, HOT = 32, 1 << 17
 #: Bytes of segments a shard should hold, and shards at most.
 SHARD_BYTES, MAX_SHARDS = 1 << 22, 20_000
 OCCURRENCE, REMOVED, WANTED, SPEAKS = 0, 1, 2, 3
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+_SPANS = "array<struct<low:bigint,high:bigint>>"
+FINISHED = f"key bigint, n_bytes bigint, spans {_SPANS}, kept binary"
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _INDEX = np.uint64((1 << 24) - 1)
@@ -141,6 +144,26 @@ def _parts(texts: list[bytes], part: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield flush()
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(keys, texts) of some COLLAPSED bytes each, of one batch."""
+    for batch in batches:
+        keys, held, size, first = batch.column(0).to_numpy(zero_copy_only=False), [], 0, 0
+        for i, text in enumerate(batch.column(1)):
+            held.append(text.as_py())
+            size += len(held[-1])
+            if size >= COLLAPSED:
+                yield keys[first : i + 1], held
+                held, size, first = [], 0, i + 1
+        if held:
+            yield keys[first:], held
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _occurrences(shift: int, part: int, hot_batch: int):
     """Rows (a, c, key, at) of a partition's texts; `at` packs a place, a width and the kind (see _at).
 
@@ -149,9 +172,7 @@ def _occurrences(shift: int, part: int, hot_batch: int):
     hot anchor.  The first and last kind are dealt by anchor, the others by a hash of their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x.as_py() for x in batch.column(1)]
+        for keys, texts in _by_bytes(batches):
             found: list[tuple[np.ndarray, ...]] = []
             for raw, starts, ends, number, offset in _parts(texts, part):
                 eights = _eights(raw)
@@ -307,7 +328,7 @@ def _cut(shift: int):
     batch once; also what a batch settles itself, as rows without a segment: bytes low .. shard of key go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             shard, key, low, segment = [], [], [], []
             hot: dict[bytes, list[tuple[int, int]]] = {}
             for k, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -364,21 +385,23 @@ def _sorted_shard(shift: int, memory: int):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for batch in batches:
-        rows = []
-        for key, text, lows, highs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+    """Merges the ranges of each text and cuts them out."""
+    span = pa.struct([("low", pa.int64()), ("high", pa.int64())])
+    for batch in _slices(batches):
+        sizes, counts, kept, lows, highs = [], [0], [], [], []
+        for text, low, high in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             raw = text.as_py()
-            low, high = (np.asarray(x.values, np.int64) for x in (lows, highs))
+            low, high = (np.asarray(x.values, np.int64) for x in (low, high))
             _, low, high = _merge(np.zeros(len(low), np.int64), low, high)
-            kept, at = hashlib.sha256(), 0
-            for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                kept.update(raw[at:a])
-                at = b
-            kept.update(raw[at:])
-            rows.append((key, len(raw), int((high - low).sum()), len(low), kept.hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(columns)], names=names)
+            ends = [0, *high.tolist()]
+            kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*low.tolist(), len(raw)], strict=True)))
+            sizes.append(len(raw))
+            counts.append(counts[-1] + len(low))
+            lows.append(low)
+            highs.append(high)
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lows, highs)]
+        spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(span)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], names=["key", "n_bytes", "spans", "kept"])
 
 
 def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -403,7 +426,7 @@ def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", memory: int = 4 * suffix.BLOCK, hot: int = HOT, hot_batch: int = HOT_BATCH, part: int = PART) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs`."""
+    """doc_id, n_bytes, spans (the byte ranges that go, merged) and kept (the bytes left) of every row of `docs`."""
     base, shift = _keyed(docs, text)
     narrow = materialize(base.select("key", "doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("n")), "texts")
     order = F.shiftright("key", shift)
@@ -418,11 +441,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", memory: int = 4 * suffix
 
     wanted = marks.where(F.col("kind") == WANTED).select("key", "a", "low", "high").distinct()
     many = materialize(wanted.groupBy("a").count().where(F.col("count") > hot).select("a", F.lit(True).alias("many")), "hot")
+    release(docs.sparkSession)
     # at most (segments wanted) / hot rows
     n_hot = many.count()
     many = F.broadcast(many) if n_hot <= BROADCAST_ROWS else many
     wanted = wanted.join(many, "a", "left").groupBy("key").agg(F.collect_list(F.struct("a", "low", "high", F.coalesce("many", F.lit(False)).alias("hot"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
+    release(docs.sparkSession)
     texts = semi_checked(rest, wanted.select("key"), "key").select("key", "text").join(wanted, "key")
     cut = texts.mapInArrow(_cut(shift), SEGMENTS)
     # only hot anchors settle ranges while they are cut, and so have a second use for the segments
@@ -439,12 +464,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", memory: int = 4 * suffix
     gone = materialize(gone.select("key", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), "removed")
 
     ids = gone.select("key")
-    touched = semi_checked(rest, ids, "key").select("key", "doc_id", "text")
-    ended = touched.select("key", "text").join(gone, "key").select("key", "text", "lows", "highs").mapInArrow(_finish, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    ended = semi_checked(rest, ids, "key").select("key", "text").join(gone, "key").select("key", "text", "lows", "highs").mapInArrow(_finish, FINISHED)
     ended = ended.join(narrow.select("key", "doc_id"), "key") if shift else ended.withColumn("doc_id", F.col("key"))
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    whole = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), one.alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    clean = semi_checked(narrow, copies.select("key").unionByName(ids), "key", "left_anti")
-    clean = clean.select("doc_id", F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("h").alias("kept_sha256"))
+    columns = ["doc_id", "n_bytes", "spans", "kept"]
+    size, none = F.octet_length("text").cast("long"), F.array().cast(_SPANS)
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").alias("high")))
+    whole = copies.select("doc_id", F.col("n").alias("n_bytes"), all_of.alias("spans"), F.lit(b"").alias("kept"))
+    clean = semi_checked(rest, ids, "key", "left_anti").select("doc_id", size.alias("n_bytes"), none.alias("spans"), F.col("text").alias("kept"))
     return ended.select(*columns).unionByName(whole).unionByName(clean)
