@@ -44,7 +44,7 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes of text hashed at once; longer texts are cut into overlapping parts.
 PART = 1 << 21
 #: Bytes of text in which equal segments are collapsed before they are sent, and rows that are cut or ended at once.
-COLLAPSED, ROWS = 1 << 24, 500
+COLLAPSED, ROWS = 1 << 23, 500
 #: Segments of one anchor in a batch, and in all, beyond which it is hot; a shard of the second many is some 10 MB.
 HOT_BATCH, HOT = 32, 1 << 17
 #: Bytes of segments a shard should hold, and shards at most.
