@@ -75,8 +75,9 @@ def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.Basic
     """Each distinct sentence of a document that is an exact one (20 points) or scores above 0.
 
     Of repeats an exact sentence stands at its last place and any other at its first.  examples: one column `text`
-    of further exact sentences, of any number."""
-    rows = explode_sentences(docs, keys, text)
+    of further exact sentences, of any number.  Texts are dealt by their keys once: the grouping by sentence and the ranking
+    within a document both hold on that."""
+    rows = explode_sentences(docs.select(*keys, text).repartition(*keys), keys, text)
     distinct = rows.groupBy(*keys, "sentence").agg(F.first("n").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     exact = F.col("sentence").isin(*rules.exact)
     if examples is not None:
