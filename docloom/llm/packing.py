@@ -29,6 +29,8 @@ from docloom.llm.common import materialize
 END_ID = 1
 LENGTH = 2048
 RANGE_TOKENS = 1 << 22
+#: Pieces sent on at once.
+HELD = 512
 #: Buckets of the hashed vector, dimensions and bits a dimension of the curve.
 BUCKETS, DIMS, BITS = 256, 4, 12
 SEED = 20
@@ -128,14 +130,18 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "ids"])
 
 
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    arrays = [pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lays the documents of one range end to end; holds one document at a time."""
+    """Lays the documents of one range end to end; holds the pieces of a few hundred sequences at a time."""
     first = TaskContext.get().partitionId() << 32
-    at, sequence = 0, 0
+    at, sequence, out = 0, 0, []
     for batch in batches:
-        out: list[tuple] = []
-        names = batch.column(0).to_pylist()
-        for doc_id, raw in zip(names, batch.column(1), strict=True):
+        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4")
             n, start = len(ids), 0
             view = memoryview(ids).cast("B")
@@ -145,9 +151,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, at = start + length, at + length
                 if at == LENGTH:
                     at, sequence = 0, sequence + 1
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        arrays = [pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
+                if len(out) == HELD:
+                    yield _pieces(out)
+                    out = []
+    yield _pieces(out)
 
 
 def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ document count as good only if all are 1; repeated rows are judged alike; empty
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,29 +63,43 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _measured(text: Column, words: Column) -> Column:
+    """struct of the STATISTICS of a text that isn't null."""
+
+    def of(words: Column) -> Column:
+        return let(
+            _lines(text),
+            lambda lines: F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.char_length(F.translate(text, WS_CHARS, "")).cast("long").alias("word_chars"),
+                (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.size(lines).cast("long").alias("n_lines"),
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                _repeat_words(words).alias("n_repeat_words"),
+            ),
+        )
+
+    return let(words, of)
+
+
 def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long)."""
-    t = F.col("_qr_text")
-    measured = F.struct(
-        F.size(F.col("_qr_words")).cast("long").alias("n_words"),
-        F.char_length(F.translate(t, WS_CHARS, "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(_lines(t), lambda x: F.struct(F.size(x).cast("long").alias("a"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
-        let(F.col("_qr_words"), _repeat_words).alias("n_repeat_words"),
-    )
-    base = docs.select(*keep, text_or_empty(text).alias("_qr_text")).withColumn("_qr_words", words_of(F.col("_qr_text")))
-    m = base.select(*keep, measured.alias("_qr_m"))
-    pick = lambda n: F.col(f"_qr_m.{n}").alias(n)
-    return m.select(*keep, pick("n_words"), pick("word_chars"), pick("n_symbols"), F.col("_qr_m.l.a").alias("n_lines"), F.col("_qr_m.l.d").alias("n_dup_lines"), pick("n_repeat_words"))
+    t = text_or_empty(text)
+    m = docs.select(*keep, _measured(t, words_of(t)).alias("_qr_m"))
+    return m.select(*keep, *[F.col(f"_qr_m.{n}").alias(n) for n in STATISTICS])
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    """of: gives a statistic by name."""
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
-def measures() -> dict[str, Column]:
+def measures(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """The measured value of each rule, from the statistics."""
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    share = lambda a, b: of(a) / F.greatest(of(b), F.lit(1))
     return {
         "symbols": share("n_symbols", "n_words"),
         "dup_lines": share("n_dup_lines", "n_lines"),
@@ -124,12 +139,12 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0
     return {r[stratum]: certified({rule: [r[f"{rule}_{i}"] for i in range(len(c))] for rule, c in CANDIDATES.items()}, r["_qr_n"], risk, each) for r in rows}
 
 
-def rejected(cutoffs: dict, stratum: str) -> Column:
+def rejected(cutoffs: dict, stratum: str, of: Callable[[str], Column] = F.col) -> Column:
     """True where a certified cutoff of the row's stratum is exceeded."""
     out = F.lit(False)
     for value, rules in sorted(cutoffs.items(), key=lambda x: (x[0] is None, str(x[0]))):
         over = F.lit(False)
-        for rule, m in measures().items():
+        for rule, m in measures(of).items():
             if rules[rule] is not None:
                 over = over | (m > rules[rule])
         out = F.when(F.col(stratum).eqNullSafe(F.lit(value)), over).otherwise(out)
@@ -153,7 +168,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
     held = semi_checked(docs, labelled.select("doc_id").distinct(), "doc_id")
     stats = materialize(text_statistics(held, text, ("doc_id", stratum)), "statistics")
     cutoffs = calibrate(stats, labelled, stratum, risk, level)
-    columns = tuple(docs.columns)
-    renamed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_qr_row"), F.col(text).alias("_qr_in"), F.col(stratum).alias("_qr_stratum"))
-    judged = text_statistics(renamed, "_qr_in", ("_qr_row", "_qr_stratum"))
-    return judged.where(~base_failed() & ~rejected(cutoffs, "_qr_stratum")).select("_qr_row.*")
+    t = text_or_empty(text)
+    # one expression, so that the filter measures a text once however often it names a statistic
+    good = let(_measured(t, words_of(t)), lambda m: ~base_failed(m.getField) & ~rejected(cutoffs, stratum, m.getField))
+    return docs.where(good)
