@@ -34,11 +34,14 @@ def relative(pos: Column, n: Column) -> Column:
 
 def sparse_hit(sentence: Column, rules: R.SparseRules = R.LEGAL_SPARSE) -> Column:
     """The cleaned sentence is a phrase, begins with a prefix and has the needed word, or matches a pattern."""
-    c = T.clean_sentence(sentence, rules.rewrites)
-    prefix = F.lit(False)
-    for p in rules.prefixes:
-        prefix = prefix | F.startswith(c, F.lit(p))
-    return c.isin(*rules.phrases) | (prefix & F.contains(c, F.lit(rules.prefix_needs))) | c.rlike(R.one_of(rules.patterns))
+
+    def hit(c: Column) -> Column:
+        prefix = F.lit(False)
+        for p in rules.prefixes:
+            prefix = prefix | F.startswith(c, F.lit(p))
+        return c.isin(*rules.phrases) | (prefix & F.contains(c, F.lit(rules.prefix_needs))) | c.rlike(R.one_of(rules.patterns))
+
+    return T.let(T.clean_sentence(sentence, rules.rewrites), hit)
 
 
 def sparse(docs: DataFrame, keys: list[str], text: str, rules: R.SparseRules = R.LEGAL_SPARSE) -> DataFrame:
