@@ -19,7 +19,7 @@ an empty table gives an empty table; other columns are not read, and pass throug
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,12 +144,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return marks.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id; columns as they were.
+def keep_first(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS, find: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each component that `find` names stays, the one of the smallest doc_id; columns as they were.
 
     Rows that repeat a doc_id are one document: of those the first by text (null first) stays.
     """
-    found = materialize(near_duplicates(docs, text).select("doc_id", "component_id"), "components")
+    found = materialize(find(docs, text).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
