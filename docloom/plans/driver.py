@@ -189,9 +189,7 @@ def enrich_left(spark, d):
     (contains(lower(trim(e.t)), lower(trim(f.t))) OR contains(lower(trim(f.t)), lower(trim(e.t)))))""")
 def unmatched_texts(spark, d):
     c = table(spark, d, "conversations")
-    e = c.where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 12).alias("t"))
-    f = c.where("role = 'assistant'").select("conv_id", F.substring("text", 1, 400).alias("t"))
-    return enrich.unmatched(e, f, "conv_id", "t").select("conv_id", "turn")
+    return enrich.unmatched(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", "text").select("conv_id", "turn")
 
 
 @query("SELECT conv_id, md5(string_agg(coalesce(text, ''), ' ' ORDER BY turn, text)) AS joined FROM conversations GROUP BY conv_id")
