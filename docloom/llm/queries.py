@@ -162,6 +162,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: Rounds that the SQL unrolls; the operator goes on until its scores have settled.
+_OP10_ROUNDS = 20
+
+
 def _op10() -> str:
     """The propagation written out round by round."""
     order = sorted(URL_RULES, key=lambda r: (-len(r.name), -len(r.host), r.verdict != "block"))
@@ -170,11 +174,11 @@ def _op10() -> str:
     link = url_trust.LINK.replace("'", "''")
     ascii_lower = f"translate(%s, '{url_trust.UPPER}', '{url_trust.LOWER}')"
     rounds, d = [], url_trust.DAMPING
-    for k in range(1, url_trust.ROUNDS + 1):
+    for k in range(1, _OP10_ROUNDS + 1):
         rounds.append(f"m{k} AS MATERIALIZED (SELECT s.kind, t.dst AS node, sum(s.score * t.share) AS moved FROM s{k - 1} s JOIN steps t ON s.kind = t.kind AND s.node = t.node GROUP BY 1, 2)")
         kept = f"(SELECT coalesce(sum(moved), 0) FROM m{k} x WHERE x.kind = coalesce(a.kind, b.kind)) / (SELECT sum(mass) FROM seeds y WHERE y.kind = coalesce(a.kind, b.kind))"
         rounds.append(f"s{k} AS MATERIALIZED (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.node, b.node) AS node, {d} * coalesce(a.moved, 0) + ({1 - d} + {d} * (1 - {kept})) * coalesce(b.mass, 0) AS score FROM m{k} a FULL JOIN seeds b ON a.kind = b.kind AND a.node = b.node)")
-    last = f"s{url_trust.ROUNDS}"
+    last = f"s{_OP10_ROUNDS}"
     return f"""
 WITH named AS (SELECT page_id, html, {ascii_lower % "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')"} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 ruled AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS said FROM named),

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialize
 
 DAMPING = 0.85
-ROUNDS = 20
+#: Rounds after which propagation fails; a change shrinks by the damping a round, so some 130 settle it.
+ROUNDS = 1000
 #: Change in total mass below which propagation has settled.
 SETTLED = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +69,8 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(kind, node, score) of both walks.  seeds: (kind, node, mass); kind 'trust' follows links, 'distrust' reverses
-    them.  Mass on nodes without a way on returns to the seeds.  Each round is written to the shared folder."""
+    them.  Mass on nodes without a way on returns to the seeds.  Each round is written to the shared folder.  It ends when the
+    scores have settled, and fails if they haven't within `rounds`."""
     steps = links.select(F.lit("trust").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("to"), "weight").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("node"), F.col("src").alias("to"), "weight")
     )
@@ -78,23 +80,27 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     score = seeds.select("kind", "node", F.col("mass").alias("score"))
     if steps.isEmpty():
         return score
+    row = lambda moved=0.0, mass=0.0, old=0.0, on=0: [x if isinstance(x, Column) else F.lit(x).alias(n) for n, x in (("moved", moved), ("mass", mass), ("old", old), ("on", on))]
+    ways = steps.select("kind", "node").distinct().select("kind", "node", *row(on=1))
+    fixed = materialize(ways.unionByName(seeds.select("kind", "node", *row(mass=F.col("mass")))), "fixed")
     all_mass = dict(seeds.groupBy("kind").agg(F.sum("mass")).collect())
+    # what stands on nodes with a way on moves, the rest returns
+    kept = dict(score.join(steps.select("kind", "node").distinct(), ["kind", "node"], "left_semi").groupBy("kind").agg(F.sum("score")).collect())
     for _ in range(rounds):
-        moved = score.join(steps, ["kind", "node"]).groupBy("kind", F.col("to").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("moved"))
-        moved = materialize(moved, "moved")
-        kept = dict(moved.groupBy("kind").agg(F.sum("moved")).collect())
         back = F.lit(0.0)
         for kind, mass in sorted(all_mass.items()):
             rate = (1 - damping) + damping * (1 - kept.get(kind, 0.0) / mass if mass else 0.0)
             back = F.when(F.col("kind") == kind, F.lit(rate)).otherwise(back)
-        new = moved.join(seeds, ["kind", "node"], "full").select("kind", "node", (damping * F.coalesce("moved", F.lit(0.0)) + back * F.coalesce("mass", F.lit(0.0))).alias("score"))
-        new = materialize(new, "score")
-        old = score.withColumnRenamed("score", "old")
-        change = new.join(old, ["kind", "node"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        score = new
-        if (change or 0.0) < SETTLED:
-            break
-    return score
+        moved = score.join(steps, ["kind", "node"]).select("kind", F.col("to").alias("node"), *row(moved=(F.col("score") * F.col("share")).alias("moved")))
+        every = moved.unionByName(fixed).unionByName(score.select("kind", "node", *row(old=F.col("score").alias("old"))))
+        every = every.groupBy("kind", "node").agg(F.sum("moved").alias("moved"), F.sum("mass").alias("mass"), F.sum("old").alias("old"), F.max("on").alias("on"))
+        new = materialize(every.select("kind", "node", (damping * F.col("moved") + back * F.col("mass")).alias("score"), "old", "on"), "score")
+        found = new.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.sum(F.when(F.col("on") == 1, F.col("score"))).alias("kept")).collect()
+        kept = {r.kind: r.kept or 0.0 for r in found}
+        score = new.select("kind", "node", "score")
+        if sum(r.change for r in found) < SETTLED:
+            return score.where("score > 0")
+    raise RuntimeError(f"scores did not settle within {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> DataFrame:

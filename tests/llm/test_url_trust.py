@@ -88,3 +88,20 @@ def test_scores_equal_power_iteration(spark):
 def test_empty_table_and_no_links(spark):
     assert u.judge_urls(pages(spark, WEB).limit(0), RULES).count() == 0
     assert {r.verdict for r in u.judge_urls(pages(spark, [("http://x.net/", None)]), RULES).collect()} == {"allow"}
+
+
+def test_chain_of_more_than_20_hosts_settles(spark):
+    hosts = [f"h{i:02}.net" for i in range(25)] + ["bad.com"]
+    rows = [(f"http://{a}/", f'<a href="http://{b}/de/1">') for a, b in zip(hosts, hosts[1:], strict=False)] + [("http://bad.com/de/1", None)]
+    assert {r.verdict for r in u.judge_urls(pages(spark, rows), RULES).collect()} == {"block"}
+
+
+def test_scores_equal_converged_power_iteration_or_fail(spark):
+    links = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(25)] + [("n25", "n3", 2.0)]
+    edges = spark.createDataFrame(links, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "n0", 1.0)], "kind string, node string, mass double")
+    got = {r.node: r.score for r in u.propagate(edges, seeds).collect()}
+    want = brute_scores(links, {"n0": 1.0}, rounds=2000)
+    assert want["n25"] > 0.001 and all(got[n] == pytest.approx(s, abs=1e-8) for n, s in want.items())
+    with pytest.raises(RuntimeError, match="settle"):
+        u.propagate(edges, seeds, rounds=20)
