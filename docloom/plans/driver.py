@@ -133,7 +133,7 @@ def duplicate_texts(spark, d):
 def purge_duplicates(spark, d):
     tables = {
         "case_texts": table(spark, d, "documents").select(F.col("n_chars").alias("id"), "doc_id"),
-        "test": table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("doc_id")),
+        "test": table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("doc_id")),
         "other": table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("doc_id")),
     }
     clean, unused = dedup.purge(tables, "id")

@@ -17,3 +17,15 @@ def test_unmatched_texts_compares_whole_texts(spark, tmp_path):
         if role == "user" and not (t is not None and any(low(t) in o or o in low(t) for o in others)):
             want.append((c, turn))
     assert sorted(map(tuple, driver.unmatched_texts(spark, str(tmp_path)).collect())) == want == [(2, 0), (4, 0), (5, 0), (6, 0)]
+
+
+def test_purge_duplicates_reads_all_lines(spark, tmp_path):
+    tables = {
+        "documents": ([(1, 10), (2, 10), (3, 11)], "doc_id bigint, n_chars bigint"),
+        "lineitem": ([(1, 1, 5), (1, 2, 7), (2, 1, 6), (2, 2, 7)], "l_orderkey bigint, l_linenumber bigint, l_partkey bigint"),
+        "orders": ([(1, 7), (2, 8), (3, 10)], "o_orderkey bigint, o_custkey bigint"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r.name: (r.clean, r.unused) for r in driver.purge_duplicates(spark, str(tmp_path)).collect()}
+    assert found == {"case_texts": (1, 2), "test": (2, 2), "other": (1, 2)}
