@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from docloom.llm import mixing
 from docloom.llm.common import materialize
-from tests.llm import test_line_dedup, test_quality_rules, test_simhash
+from tests.llm import test_line_dedup, test_near_dedup, test_quality_rules
 
 WORD = test_quality_rules.WORD
 
@@ -34,7 +34,7 @@ def test_stages_equal_brute_force_on_their_own_input(spark, sf):
             want = {i: t for i, t, *_ in test_line_dedup.brute(given, 0.1, 5)}
             assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
         elif name == "simhash near-dedup":
-            want = test_simhash.brute_components([test_simhash.brute_print(r.text) for r in given], [r.doc_id for r in given])
+            want = test_near_dedup.brute_components([r.text for r in given], [r.doc_id for r in given])
             assert sorted(r.doc_id for r in got) == sorted(set(want)) and len(got) < len(given)
         elif name == "mixing":
             size = lambda rows: Counter({s: sum(len(WORD.findall(r.text)) for r in rows if r.source == s) for s in {r.source for r in rows}})
