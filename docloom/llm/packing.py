@@ -3,11 +3,14 @@
 A document's token ids are hashed into a vector, the vector is projected to few dimensions and the place of the
 result on a Hilbert curve is its key.  The corpus is range-sorted by (key, doc_id) and every range lays its
 documents end to end, cutting freely at each full sequence: neighbours on the curve share sequences and only
-the last sequence of a range is short.  Ranges hold some four million tokens, so padding is a few in ten thousand.
+the last sequence of a range is short.  Ranges hold some four million tokens, so padding is a few in ten thousand;
+there are at most MAX_RANGES of them, larger beyond that, so that the driver never holds more than their bounds and
+Spark's sample for them (at most a million rows of three numbers).
 
 Ids travel once, as two bytes each, and are written before the range sort, so texts are tokenised once.
 
-Defined cases: null text is empty and gives just the end id; repeated rows are packed one by one; ties of the key
+Defined cases: null text is empty and gives just the end id; texts of any length or content, long runs of blanks
+included, are tokenised as the defining tokenizer does; repeated rows are packed one by one; ties of the key
 are ordered by doc_id; extra columns are not read; an empty table gives no pieces.
 """
 
@@ -28,15 +31,15 @@ from docloom.llm.common import materialize
 
 END_ID = 1
 LENGTH = 2048
-RANGE_TOKENS = 1 << 22
+RANGE_TOKENS, MAX_RANGES = 1 << 22, 20_000
 #: Pieces sent on at once.
 HELD = 512
 #: Buckets of the hashed vector, dimensions and bits a dimension of the curve.
 BUCKETS, DIMS, BITS = 256, 4, 12
 SEED = 20
-#: Up to this code point the fast tokenizer was compared with the defining one; texts beyond it take the latter.
-PLAIN = re.compile("[^\x00-ɏ]")
-SPECIAL = "<|endoftext|>"
+#: What only the defining tokenizer takes: code points on which the fast one wasn't compared with it, the special
+#: token, and long runs of white space, over which the fast one's pattern recurses once a character.
+EXACT_ONLY = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>|\s{4096}")
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -55,12 +58,11 @@ def _encoders():
 def token_ids(text: str | None) -> np.ndarray:
     """uint16 ids of the text, then the end id.
 
-    Both encoders hold one vocabulary.  The fast one takes texts of the scripts it was compared on, unless they
-    spell the special token, which only the defining one reads as such.
+    Both encoders hold one vocabulary and pattern; the fast one takes all texts without EXACT_ONLY.
     """
     fast, exact = _encoders()
     t = text or ""
-    if SPECIAL in t or PLAIN.search(t):
+    if EXACT_ONLY.search(t):
         ids = exact.encode(t, add_special_tokens=False).ids
     else:
         ids = fast(t)
@@ -167,6 +169,6 @@ def pack(docs: DataFrame, text: str = "text", range_tokens: int = RANGE_TOKENS)
     little-endian 32-bit numbers."""
     ids = materialize(tokenised(docs, text), "tokens")
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = max(1, -(-total // range_tokens))
+    ranges = max(1, min(MAX_RANGES, -(-total // range_tokens)))
     laid = ids.repartitionByRange(ranges, "key", "doc_id", "n").sortWithinPartitions("key", "doc_id", "n")
     return laid.select("doc_id", "ids").mapInArrow(_packed, PIECES)

@@ -50,3 +50,24 @@ def test_hilbert_curve_visits_neighbours():
 
 def test_empty_table(spark):
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_long_runs_equal_the_defining_tokenizer():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    runs = [" ", "\t", "\n", "\xa0", "　", "\r\n", "a", ".", "7", "é", "ab "]
+    for n in (4095, 4096, 100_000, 1_000_000):
+        for run in runs if n < 1_000_000 else runs[:4] + ["a"]:
+            for t in (run * n, f"x {run * n}y", f"{run * n} <|endof" if n == 4096 else run * n):
+                assert packing.token_ids(t)[:-1].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_a_document_of_blanks_is_packed(spark):
+    rows = [(500 + i, c * 300_000, "en", "a", 1, None, None) for i, c in enumerate(" \n\t\xa0")]
+    got = packing.pack(documents(spark, rows)).where("doc_id >= 500").groupBy("doc_id", "doc_tokens").sum("length").collect()
+    assert len(got) == 4 and all(r[1] == r[2] for r in got)
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_RANGES", 2)
+    got = packing.pack(documents(spark), range_tokens=10).select("sequence_id").distinct().collect()
+    assert len({r[0] >> 32 for r in got}) <= 2
