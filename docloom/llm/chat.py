@@ -5,11 +5,11 @@ turn's body: text is escaped, and an image, audio or document part becomes a pla
 the number of tokens it expands to recorded in order.  Other kinds become a placeholder of no tokens.
 
 The template marks a turn as `<|turn|>role<|text|>body<|end|>`.  All control strings begin with `<|`.  Inside texts
-and roles every backslash is doubled and `<|` becomes `<\\|`, so no text can spell a control string and one
-replacement undoes it.
+and roles every backslash is doubled and `<|` becomes `<\\|`, also where the two characters stand in neighbouring text
+parts, so no text can spell a control string and one replacement undoes it.
 
 Defined cases: a null role or text is empty; a null list of parts has none; turns are ordered by turn (null first),
-then role, then body, so repeated rows and ties stand side by side; a null conversation id is a conversation;
+then role, then unescaped body, so repeated rows and ties stand side by side; a null conversation id is a conversation;
 extra columns are not read; an empty table gives an empty table.  The result of a conversation is one string by
 contract, so a conversation must fit a row; all its pieces are formatted before they meet.
 """
@@ -48,12 +48,22 @@ ATTACHMENTS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _body(part: Column) -> Column:
-    """What a part looks like in the text."""
+def _is_text(part: Column) -> Column:
+    return part["kind"].eqNullSafe(F.lit("text"))
+
+
+def _body(part: Column, text: Column) -> Column:
+    """What a part looks like in the body; `text` if it is one."""
     out = F.lit("<|other|>")
     for kind in ATTACHMENTS:
         out = F.when(part["kind"] == kind, F.lit(f"<|{kind}|>")).otherwise(out)
-    return F.when(part["kind"] == "text", escape(part["text"])).otherwise(out)
+    return F.when(_is_text(part), text).otherwise(out)
+
+
+def _escaped(part: Column, before: Column) -> Column:
+    """A text part as it stands behind the part `before` (null for none); no text part is empty."""
+    split = _is_text(before) & F.endswith(before["text"], F.lit("<")) & F.startswith(part["text"], F.lit("|"))
+    return F.concat(F.when(split, F.lit("\\")).otherwise(F.lit("")), escape(part["text"]))
 
 
 def _attachment(part: Column) -> Column:
@@ -78,7 +88,9 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     those under the loss mask, which are the bodies of the turns of role `trained`.
     """
     parts = text_parts("text") if parts is None else parts
-    listed = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
+    listed = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: ~(_is_text(p) & (F.coalesce(p["text"], F.lit("")) == "")))
+    raw = F.array_join(F.transform("_ch_parts", lambda p: _body(p, p["text"])), "")
+    escaped = F.array_join(F.transform("_ch_parts", lambda p, i: _body(p, _escaped(p, F.get("_ch_parts", i - 1)))), "")
     rows = turns.select(
         F.col(conversation).alias("_ch_id"),
         F.col(turn).alias("turn"),
@@ -89,8 +101,9 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
         F.struct(
             "turn",
             "role",
-            F.array_join(F.transform("_ch_parts", _body), "").alias("body"),
-            F.transform(F.filter("_ch_parts", lambda p: ~p["kind"].eqNullSafe(F.lit("text"))), _attachment).alias("attachments"),
+            raw.alias("raw"),
+            F.nullif(escaped, raw).alias("escaped"),
+            F.transform(F.filter("_ch_parts", lambda p: ~_is_text(p)), _attachment).alias("attachments"),
         ).alias("t"),
     )
     whole = rows.groupBy("_ch_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
@@ -100,7 +113,7 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
             "t",
             lambda t: F.array(
                 segment(F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)), F.lit(False)),
-                segment(t["body"], t["role"] == trained),
+                segment(F.coalesce(t["escaped"], t["raw"]), t["role"] == trained),
                 segment(F.lit(END), F.lit(False)),
             ),
         )
