@@ -48,7 +48,7 @@ def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
-    return mixing.draws(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixing.draws(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
