@@ -280,8 +280,9 @@ def augment(c: Column, key: Column, seed: int = 42, drop: float = 0.15, swap: fl
     """Drops one word with probability `drop`, then swaps two with probability `swap`; three words or fewer stay.
 
     All chances come from hashes of (seed, key), so a row always changes alike."""
-    chance = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    pick = lambda k, n: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), n.cast("long")) + 1).cast("int")
+    number = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    chance = lambda k: number(k) / F.lit(float(1 << 32))
+    pick = lambda k, n: (F.pmod(number(k), n.cast("long")) + 1).cast("int")
 
     def swapped(less: Column) -> Column:
         a = pick(4, F.size(less))

@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.operators.dedup import without_values
-from docloom.operators.keys import present
+from docloom.operators.keys import hash_number, hash_text, present
 
 SEED = 42
 
 
-def hash_order(*columns: str | Column, seed: int = SEED) -> Column:
-    """A shuffle that is the same each time."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in columns])
-
-
 def validation_set(train: DataFrame, test: DataFrame, columns: list[str], count: str = "determination_count", least_train: int = 4, least_test: int = 0) -> DataFrame:
     """Train rows of enough labels and test rows, of which the listed columns that are there."""
     both = train.where(F.col(count) >= least_train).unionByName(test.where(F.col(count) >= least_test), allowMissingColumns=True)
@@ -61,9 +56,27 @@ def silver_statistics(judged: DataFrame) -> DataFrame:
     return judged.groupBy("column").agg(*[F.count_if(F.col("status") == n).alias(n) for n in names])
 
 
-def first_hashed(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """n rows in hash order of (text, label)."""
-    return df.orderBy(hash_order("text", "label", seed=seed), "text").limit(max(0, n))
+def split_first(df: DataFrame, n: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(the first n rows in hash order, the others) of a table of simple columns; equal rows are interchangeable.
+
+    Rows go by the first digits of their hash.  Only the rows whose first digits are those of row n are put in order, and of
+    those equal ones are a single row with their number, so neither a large table nor a hot row meets in one task."""
+    digits = F.substring("_h", 1, 4)
+    rows = df.withColumn("_h", hash_text(*df.columns, seed=seed))
+    before, edge = 0, None
+    for prefix, count in sorted(tuple(r) for r in rows.groupBy(digits.alias("d")).count().collect()):
+        if before + count >= n:
+            edge = prefix
+            break
+        before += count
+    if n <= 0 or edge is None:
+        none = df.limit(0)
+        return (none, df) if n <= 0 else (df, none)
+    at_edge = rows.where(digits == edge).groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_h", *df.columns)) - F.col("_n")
+    at_edge = at_edge.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_n"), n - before - earlier)))
+    times = lambda k: at_edge.select(*df.columns, F.explode(F.array_repeat(F.lit(1), k.cast("int")))).select(*df.columns)
+    return rows.where(digits < edge).select(*df.columns).unionByName(times(F.col("_take"))), rows.where(digits > edge).select(*df.columns).unionByName(times(F.col("_n") - F.col("_take")))
 
 
 def train_test(annotated: DataFrame, silver: DataFrame, share: float = 0.9, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -71,21 +84,18 @@ def train_test(annotated: DataFrame, silver: DataFrame, share: float = 0.9, seed
     of label 0 go to the test set as it needs to balance; the rest and the silver rows are for training.
 
     A row that equals a test row is never trained on."""
-    one = annotated.where("label = 1").select("text", "label")
-    two = annotated.where("label = 2").select("text", F.lit(0).alias("label"))
-    zero = annotated.where("label = 0").select("text", "label")
+    of = lambda label: annotated.where(F.col("label") == label).select("text", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"))
     counts = annotated.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 2)).first()
     kept = int(counts[1] * share)
-    two_test = two.orderBy(hash_order("text", seed=seed), "text").offset(kept)
-    two_train = two.orderBy(hash_order("text", seed=seed), "text").limit(kept)
-    zero_test = first_hashed(zero, counts[0] - (counts[1] - kept), seed)
-    train = without_values(zero, zero_test, ["text", "label"]).unionByName(two_train).unionByName(silver.select("text", "label"))
-    return train, one.unionByName(zero_test).unionByName(two_test)
+    two_train, two_test = split_first(of(2), kept, seed)
+    zero_test, _ = split_first(of(0), counts[0] - (counts[1] - kept), seed)
+    train = without_values(of(0), zero_test, ["text", "label"]).unionByName(two_train).unionByName(silver.select("text", "label"))
+    return train, of(1).unionByName(zero_test).unionByName(two_test)
 
 
 def random_split(df: DataFrame, key: str, share: float = 0.85, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """About `share` of the rows and the others, by the hash of the key."""
-    first = F.pmod(hash_order(key, seed=seed), F.lit(1_000_000)) < int(share * 1_000_000)
+    first = hash_number(key, seed=seed) < int(share * (1 << 32))
     return df.where(first), df.where(~first)
 
 

@@ -172,24 +172,29 @@ def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, hig
     """(cleaned, text, ratio): one of both contains the other and their lengths are close.
 
     The contained one's first characters (_HEAD, or all of it) stand somewhere in the other, so equal pieces of that
-    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too.
+    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too.  Texts that are
+    too short or too long for any of the bank are not cut; pieces carry a hash of their text, which is joined back.
     small: the bank was counted and may be broadcast, so that the other side's pieces aren't moved."""
     short = int(_HEAD / low)
     hint = F.broadcast if small else (lambda df: df)
+    least, most = bank.agg(F.min(F.char_length("text")), F.max(F.char_length("text"))).first()
+    keyed = cleaned.where(F.char_length("cleaned").between((least or 0) / high, (most or 0) / low)).select("cleaned", F.xxhash64("cleaned").alias("_key"), F.char_length("cleaned").alias("_n"))
 
-    def heads(df: DataFrame, c: str) -> DataFrame:
-        return df.select(F.col(c), F.left(F.col(c), F.lit(_HEAD)).alias("_head"))
+    def heads(df: DataFrame, c: str, *carried: str) -> DataFrame:
+        return df.select(*carried, F.left(F.col(c), F.lit(_HEAD)).alias("_head"))
 
-    def pieces(df: DataFrame, c: str) -> DataFrame:
+    def pieces(df: DataFrame, c: str, *carried: str) -> DataFrame:
         n = F.char_length(c)
         of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        return df.select(F.col(c), F.explode(F.array_distinct(F.when(n <= short, F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)]))).otherwise(of(_HEAD)))).alias("_head"))
-
-    near = F.char_length("text").between(F.char_length("cleaned") * low, F.char_length("cleaned") * high)
-    inside = pieces(cleaned, "cleaned").join(hint(heads(bank, "text")), "_head").where(near & F.contains("cleaned", F.col("text")))
-    outside = heads(cleaned, "cleaned").join(hint(pieces(bank, "text")), "_head").where(near & F.contains("text", F.col("cleaned")))
-    ratio = F.least(F.char_length("text"), F.char_length("cleaned")) / F.greatest(F.char_length("text"), F.char_length("cleaned"))
-    return inside.select("cleaned", "text").unionByName(outside.select("cleaned", "text")).distinct().withColumn("ratio", ratio)
+        return df.select(*carried, F.explode(F.array_distinct(F.when(n <= short, F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)]))).otherwise(of(_HEAD)))).alias("_head"))
+
+    near = F.char_length("text").between(F.col("_n") * low, F.col("_n") * high)
+    inside = pieces(keyed, "cleaned", "_key", "_n").join(hint(heads(bank, "text", "text")), "_head").where(near)
+    outside = heads(keyed, "cleaned", "_key", "_n").join(hint(pieces(bank, "text", "text")), "_head").where(near)
+    met = inside.select("_key", "text").unionByName(outside.select("_key", "text")).distinct()
+    met = met.join(keyed, "_key").where(F.contains("cleaned", F.col("text")) | F.contains("text", F.col("cleaned")))
+    ratio = F.least(F.char_length("text"), F.col("_n")) / F.greatest(F.char_length("text"), F.col("_n"))
+    return met.select("cleaned", "text", ratio.alias("ratio"))
 
 
 def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFrame:

@@ -51,6 +51,16 @@ def keep_scored(c: Column, least: float) -> Column:
     return F.filter(c, lambda x: x["score"] >= least)
 
 
+def hash_text(*columns: str | Column, seed: int = 42) -> Column:
+    """32 hexadecimal digits that follow from the seed and the columns' texts; null counts as an empty text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]))
+
+
+def hash_number(*columns: str | Column, seed: int = 42) -> Column:
+    """The same as a bigint from 0 to 2^32 - 1."""
+    return F.conv(F.substring(hash_text(*columns, seed=seed), 1, 8), 16, 10).cast("bigint")
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones each time: the smallest hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(hash_text(key, seed=seed), key).limit(n)

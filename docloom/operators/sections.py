@@ -164,7 +164,10 @@ def outcome(text: Column, rules: R.OutcomeRules = R.LEGAL_OUTCOMES) -> Column:
     return out
 
 
-def document_outcome(found: Column, order: tuple[str, ...] = ("decision_headers", "determination_headers", "conclusion_headers"), rules: R.OutcomeRules = R.LEGAL_OUTCOMES) -> Column:
+DECIDING = ("decision_headers", "determination_headers", "conclusion_headers")
+
+
+def document_outcome(found: Column, order: tuple[str, ...] = DECIDING, rules: R.OutcomeRules = R.LEGAL_OUTCOMES) -> Column:
     """The outcome of a document: in each category the first section with confidence above 0.5; the first category's, unless
     it is below 0.7 and a later one's is higher."""
     best = lambda c: F.get(F.filter(F.transform(of_category(found, c), lambda s: outcome(s["content"], rules)), lambda o: o["confidence"] > 0.5), F.lit(0))
@@ -190,14 +193,14 @@ def cleaned(text: Column) -> Column:
     return F.struct(fixed.alias("text"), parts["metadata"].alias("metadata"))
 
 
-def preprocess(docs: DataFrame, text: str = "full_text", rules: R.HeaderRules = R.LEGAL_HEADERS, outcomes: R.OutcomeRules = R.LEGAL_OUTCOMES) -> DataFrame:
+def preprocess(docs: DataFrame, text: str = "full_text", rules: R.HeaderRules = R.LEGAL_HEADERS, outcomes: R.OutcomeRules = R.LEGAL_OUTCOMES, deciding: tuple[str, ...] = DECIDING) -> DataFrame:
     """`docs` plus cleaned_text, case_metadata, sections, has_{category} (true or null), {category}_text, decision_outcome
     and decision_text.  Rows without text get nulls, and '' as cleaned text."""
     base = docs.withColumn("_c", cleaned(F.when(T.strip(F.col(text)) != "", F.col(text))))
     base = base.withColumns({"cleaned_text": F.coalesce("_c.text", F.lit("")), "case_metadata": F.col("_c.metadata")}).drop("_c")
     base = base.withColumn("headers", headers(F.col("cleaned_text"), rules))
     base = base.withColumn("sections", sections(F.col("cleaned_text"), F.col("headers")))
-    base = base.withColumn("_o", document_outcome(F.col("sections"), rules=outcomes))
+    base = base.withColumn("_o", document_outcome(F.col("sections"), deciding, outcomes))
     names = [c for c, _ in rules.categories]
     joined = lambda c: F.array_join(F.transform(of_category(F.col("sections"), c), lambda s: s["content"]), "\n\n")
     some = lambda c: F.size(of_category(F.col("sections"), c)) > 0

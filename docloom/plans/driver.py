@@ -26,11 +26,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    from docloom.plans import driver_io  # noqa: F401  adds its queries
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -112,7 +118,7 @@ def row_numbers(spark, d):
     return keys.number_rows(rows, "l_orderkey", [F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey")])
 
 
-@query(None)
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 10")
 def hashed_sample(spark, d):
     return keys.sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 10)
 
@@ -124,13 +130,13 @@ def duplicate_texts(spark, d):
     return dedup.split_by_keys(docs, bad, "text_md5")[1].groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH texts AS (SELECT n_chars AS id, doc_id FROM documents), test AS (SELECT l_partkey AS id, l_orderkey AS doc_id FROM lineitem WHERE l_linenumber = 1),
-  other AS (SELECT o_custkey AS id, o_orderkey AS doc_id FROM orders),
+@query("""WITH texts AS (SELECT n_chars AS id FROM documents), test AS (SELECT l_partkey AS id FROM lineitem), other AS (SELECT o_custkey AS id FROM orders),
   own AS (SELECT id FROM texts GROUP BY id HAVING count(*) > 1), dup AS (SELECT id FROM test GROUP BY id HAVING count(*) > 1 UNION SELECT id FROM own)
-  SELECT 'case_texts' AS name, count(*) FILTER (id NOT IN (SELECT id FROM own)) AS clean, count(*) FILTER (id IN (SELECT id FROM own)) AS unused FROM texts
-  UNION ALL SELECT 'test', count(*) FILTER (id NOT IN (SELECT id FROM dup)), count(*) FILTER (id IN (SELECT id FROM dup)) FROM test
-  UNION ALL SELECT 'other', count(*) FILTER (id NOT IN (SELECT id FROM dup)), count(*) FILTER (id IN (SELECT id FROM dup)) FROM other""")
+  SELECT 'case_texts' AS name, id, id NOT IN (SELECT id FROM own) AS clean, count(*) AS n FROM texts GROUP BY id
+  UNION ALL SELECT 'test', id, id NOT IN (SELECT id FROM dup), count(*) FROM test GROUP BY id
+  UNION ALL SELECT 'other', id, id NOT IN (SELECT id FROM dup), count(*) FROM other GROUP BY id""")
 def purge_duplicates(spark, d):
+    """Rows by table, id and whether they stay or go to the unused ones."""
     tables = {
         "case_texts": table(spark, d, "documents").select(F.col("n_chars").alias("id"), "doc_id"),
         "test": table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("doc_id")),
@@ -139,8 +145,9 @@ def purge_duplicates(spark, d):
     clean, unused = dedup.purge(tables, "id")
     out = None
     for n in tables:
-        row = clean[n].agg(F.count(F.lit(1)).alias("clean")).crossJoin(unused[n].agg(F.count(F.lit(1)).alias("unused"))).select(F.lit(n).alias("name"), "clean", "unused")
-        out = row if out is None else out.unionByName(row)
+        for rows, kept in ((clean[n], True), (unused[n], False)):
+            counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "id", F.lit(kept).alias("clean"), "n")
+            out = counted if out is None else out.unionByName(counted)
     return out
 
 
@@ -183,8 +190,7 @@ def enrich_left(spark, d):
     return enrich.filled(out, counts=("n",)).withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
-@query("""WITH e AS (SELECT conv_id, turn, substr(text, 1, 12) AS t FROM conversations WHERE role = 'user'),
-  f AS (SELECT conv_id, substr(text, 1, 400) AS t FROM conversations WHERE role = 'assistant')
+@query("""WITH e AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, text AS t FROM conversations WHERE role = 'assistant')
   SELECT conv_id, turn FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = e.conv_id AND
     (contains(lower(trim(e.t)), lower(trim(f.t))) OR contains(lower(trim(f.t)), lower(trim(e.t)))))""")
 def unmatched_texts(spark, d):
@@ -281,9 +287,12 @@ def validation_summary(spark, d):
     return aggregates.validation_summary(docs, docs.where("lang = 'en'"), "source").withColumn("reduction", F.round("reduction", 6))
 
 
-@query(None)
+@query("""WITH f AS (SELECT * FROM region ORDER BY r_regionkey LIMIT 3)
+  SELECT 0 AS position, 'r_regionkey' AS name, 'int' AS type, (SELECT string_agg(CAST(r_regionkey AS VARCHAR), '|' ORDER BY r_regionkey) FROM f) AS samples
+  UNION ALL SELECT 1, 'r_name', 'string', (SELECT string_agg(r_name, '|' ORDER BY r_regionkey) FROM f) UNION ALL SELECT 2, 'none', 'string', 'NaN|NaN|NaN'""")
 def column_profile(spark, d):
-    return aggregates.column_profile(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"))
+    rows = table(spark, d, "region").orderBy("r_regionkey").withColumn("none", F.lit(None).cast("string"))
+    return aggregates.column_profile(rows).withColumn("samples", F.array_join("samples", "|"))
 
 
 # -- text --
@@ -393,10 +402,38 @@ def basic_candidates(spark, d):
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
-@query(None)
+def _bare(t: str) -> str:
+    """Counterpart of functions.text._bare."""
+    kept = _sub(_sub(_sub(t, rf"({_W})''({_W})", r"\1§\2"), rf"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\t-\r \x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}§]", " "), "§", "''")
+    return _strip(_sub(kept, f"{_S}+", " "))
+
+
+def _replaced(t: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for old, new in pairs:
+        t = f"replace({t}, '{old}', '{new}')"
+    return t
+
+
+def _lacks_letter(x: str) -> str:
+    return f"regexp_full_match({x}, '\\p{{Nd}}+')"
+
+
+_CUT = _sub(_sub("text", "[.!?]+", "\x01"), rf"\]{_S}+\[", "]\x01[")
+_CLAUSE = rf"{_S}*[,;]{_S}*|{_S}+and{_S}+"
+_CLEANED_CLAUSE = _sub(_strip(_sub(_strip("x"), r"^\[+|\]+$", "")), "^[''\"]|[''\"]$", "")
+_CLEANED_CLAUSE = f"trim({_strip(_sub(_sub(_replaced(f'lower({_CLEANED_CLAUSE})', SPARSE_PACK.rewrites), rf'({_W})[.]({_W})', chr(92) + '1 ' + chr(92) + '2'), _S + '+', ' '))}, '.,;:')"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS w FROM documents),
+  c AS (SELECT doc_id, list_filter(flatten(list_transform(w, lambda x: regexp_split_to_array(x, '{_CLAUSE}'))), lambda x: {_strip("x")} <> '' AND NOT {_lacks_letter("x")}) AS c FROM w),
+  e AS (SELECT doc_id, len(c) AS n, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c),
+  k AS (SELECT *, {_CLEANED_CLAUSE} AS k FROM e)
+  SELECT doc_id, x AS text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS rank, round(pos / greatest(1, n - 1), 9) AS position FROM k
+  WHERE k IN ({", ".join(map(repr, SPARSE_PACK.phrases))}) OR ((starts_with(k, 'released') OR starts_with(k, 'licensed')) AND contains(k, 'license'))
+    OR regexp_matches(k, '(?i)version{_S}+[0-9]+|(^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])of{_S}+the{_S}+{_W}')""")
 def sparse_extraction(spark, d):
     out = extract.sparse(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", SPARSE_PACK)
-    return out.select("doc_id", "text", "rank")
+    return out.select("doc_id", "text", "rank", F.round("position", 9).alias("position"))
 
 
 NGRAM_PACK = R.NgramRules(direct=(r"\blicensed\s+under",), phrases=("rights reserved",), markers=("the", "la", "die"), long_openers=("LICENSED",), short_openers=("ALL RIGHTS",), threshold=0.65, stop_gram=80)
@@ -407,7 +444,36 @@ def _bank(spark, d):
     return extract.gram_bank(sentences, NGRAM_PACK)
 
 
-@query(None)
+_NGRAMS = "flatten(list_transform([2, 3, 4], lambda n: CASE WHEN len({0}) >= n THEN list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string({0}[i:i + n - 1], ' ')) ELSE [] END))"
+_GRAM_TEXT = lambda t: _bare(_replaced(f"lower({t})", R.NGRAM_REWRITES))
+
+
+@query(f"""WITH bs AS (SELECT unnest({_sentences("text")}) AS t FROM benchmark UNION ALL SELECT 'rights reserved'),
+  bank AS (SELECT DISTINCT k FROM (SELECT {_GRAM_TEXT("t")} AS k FROM bs WHERE length({_strip("t")}) > 3) WHERE len({_words("k")}) >= 2),
+  grams AS (SELECT k, unnest(list_distinct({_NGRAMS.format("w")})) AS gram FROM (SELECT k, {_words("k")} AS w FROM bank)),
+  idx AS (SELECT k, gram FROM grams QUALIFY count(*) OVER (PARTITION BY gram) <= 80),
+  s AS (SELECT doc_id, {_sentences("text")} AS s FROM documents),
+  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS pos FROM s),
+  f AS (SELECT *, max(CAST(starts_with(upper(t), 'LICENSED') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)
+      + max(CAST(starts_with(upper(t), 'ALL RIGHTS') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS opened,
+    regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])licensed{_S}+under') AS direct, contains(lower(t), 'rights reserved') AS phrase,
+    contains(lower(t), 'the') OR contains(lower(t), 'la') OR contains(lower(t), 'die') AS marker, {_GRAM_TEXT("t")} AS k FROM e),
+  m AS (SELECT f.*, b.k IS NOT NULL AS known FROM f LEFT JOIN bank b ON f.k = b.k),
+  o AS (SELECT DISTINCT k, {_words("k")} AS w FROM m WHERE NOT direct AND NOT phrase AND NOT known AND (opened OR marker) AND len({_words("k")}) >= 3),
+  ways AS (SELECT o.k, b.k AS hit, least(length(o.k), length(b.k)) / greatest(length(o.k), length(b.k)) AS v, 1 AS way FROM o JOIN bank b
+      ON length(b.k) BETWEEN length(o.k) * 0.6 AND length(o.k) * 1.4 AND (contains(o.k, b.k) OR contains(b.k, o.k))
+    UNION ALL SELECT p.k, i.k, count(*) / p.total, 2 FROM (SELECT k, total, array_to_string(w[i:i + n - 1], ' ') AS gram FROM
+        (SELECT k, w, n, 3 * len(w) - 6 AS total, unnest(range(1, len(w) - n + 2)) AS i FROM o, (VALUES (2), (3), (4)) v(n) WHERE len(w) >= n)) p JOIN idx i ON p.gram = i.gram GROUP BY p.k, i.k, p.total),
+  best AS (SELECT k, hit, v FROM ways WHERE v >= 0.65 QUALIFY row_number() OVER (PARTITION BY k ORDER BY way, v DESC, hit) = 1),
+  c AS (SELECT m.doc_id, m.t, m.pos, CASE WHEN direct THEN 'direct_pattern' WHEN phrase THEN 'phrase_match' WHEN known THEN 'exact' ELSE 'ngram' END AS kind,
+    CASE WHEN direct THEN 20.0 WHEN phrase THEN 18.0 WHEN known THEN 20.0 ELSE v * 20 END AS score,
+    CASE WHEN direct THEN m.t WHEN phrase THEN 'rights reserved' WHEN known THEN m.k ELSE hit END AS matched
+    FROM m LEFT JOIN best ON m.k = best.k AND (opened OR marker) WHERE direct OR phrase OR known OR hit IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c),
+  u AS (SELECT * FROM r WHERE kind <> 'ngram' OR score >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY rank) = 1),
+  y AS (SELECT *, count(*) FILTER (kind <> 'ngram') OVER (PARTITION BY doc_id) >= 3 AS many FROM u),
+  z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN many AND kind = 'ngram' THEN 1 ELSE 0 END, rank) AS place FROM y WHERE NOT many OR kind <> 'ngram' OR score >= 17)
+  SELECT doc_id, t AS text, matched AS matched_text, round(CAST(score AS DOUBLE), 6) AS score, kind AS match_type, CAST(place AS INT) AS rank FROM z WHERE place <= 6""")
 def ngram_extraction(spark, d):
     """Benchmark sentences found again in documents."""
     out = extract.ngram(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", _bank(spark, d), NGRAM_PACK)
@@ -422,14 +488,78 @@ SECTION_PACK = R.HeaderRules(
 )
 
 
-@query(None)
+_NL = "chr(10)"
+_META = [_p.replace(r"\s", _S).replace(r"(?=\n?\z)", "") + ("" if i == 0 else r"\n?$") for i, _p in enumerate(R.METADATA)]
+_PAGES = [_p.replace(r"[A-Z0-9\-\s]", r"[A-Z0-9\-\t-\r \x{85}\x{A0}\x{2028}\x{2029}]").replace(r"\s", _S).replace(r"\d", r"\p{Nd}").replace(r"(?=\n?\z)", "$") for _p in R.PAGE_POINTERS]
+_QUOTED = lambda p: p.replace("'", "''")
+_FR_WORDS = f"len(list_filter({_words('lower(x)')}, lambda w: w IN ({', '.join(map(repr, R.FRENCH_WORDS))}))) > {R.FRENCH_SHARE} * len({_words('lower(x)')})"
+_FR_LINE = f"len({_words('x')}) > 0 AND ({_FR_WORDS} OR regexp_matches(x, '(?i){_QUOTED('|'.join(R.FRENCH_PATTERNS)).replace(chr(92) + 's', _S)}'))"
+
+
+def _paged(t: str) -> str:
+    for p in _PAGES:
+        t = _sub(t, p, "")
+    return t
+
+
+def _said(t: str) -> str:
+    """Confidence and outcome of a text by OUTCOME_PACK."""
+    word = lambda *ws: " OR ".join(_word(w).replace("(text,", f"({t},") for w in ws)
+    patterns = f"regexp_matches({t}, '(?i)(licensed|released){_S}+under') OR regexp_matches({t}, '(?i)rights{_S}+reserved')"
+    return f"""CASE WHEN regexp_matches({t}, '(?i)(licensed|released){_S}+under') THEN 'licensed' WHEN {patterns} THEN 'reserved' WHEN {word("the", "die")} THEN 'plain' WHEN {word("la", "el")} THEN 'other' END AS outcome,
+    CASE WHEN {patterns} THEN 0.9 WHEN {word("the", "die", "la", "el")} THEN 0.6 ELSE 0.0 END AS confidence"""
+
+
+def _header(x: str) -> str:
+    """The category of a line that is a header by SECTION_PACK as a whole."""
+    whole = lambda *terms: f"regexp_full_match(upper({x}), '{_S}*(\\p{{Nd}}+{_S}+)?(THE{_S}+)?({'|'.join(terms)}){_S}*[.:]?{_S}*(\\[\\p{{Nd}}+\\])?{_S}*')"
+    return f"CASE WHEN {whole('RIGHTS RESERVED', 'LICENSED', 'RELEASED')} THEN 'license_headers' WHEN {whole('OF', 'THE')} THEN 'short_headers' END"
+
+
+_BRIEF = "starts_with({0}, '[') OR length({0}) < 20"
+
+
+@query(f"""WITH a AS (SELECT doc_id, text, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in _META)}) AS meta FROM documents WHERE {_strip("text")} <> ''),
+  b AS (SELECT doc_id, {_paged(_strip("CASE WHEN meta IS NULL THEN text ELSE substr(text, 1, instr(text, meta) - 1) || substr(text, instr(text, meta) + length(meta)) END"))} AS t FROM a),
+  c AS (SELECT doc_id, replace(regexp_replace(array_to_string(list_filter(string_split(t, {_NL}), lambda x: NOT ({_FR_LINE})), {_NL}), 'X{{3,}}', '[REDACTED]', 'g'), '[REDACTION]', '[REDACTED]') AS t FROM b),
+  l AS (SELECT doc_id, {_strip(f"array_to_string(list_transform(string_split({_sub(_sub('t', ' +', ' '), chr(92) + 'n+', chr(10) + chr(10))}, {_NL}), lambda x: {_strip('x')}), {_NL})")} AS t FROM c),
+  q AS (SELECT doc_id, t, string_split(t, {_NL}) AS lines FROM l),
+  i AS (SELECT doc_id, lines, len(lines) AS n, unnest(range(0, len(lines))) AS i FROM q),
+  j AS (SELECT doc_id, i, n, {_strip("lines[i + 1]")} AS x, {_strip("coalesce(lines[i + 2], '')")} AS y, {_strip("coalesce(lines[i + 3], '')")} AS z FROM i),
+  k AS (SELECT doc_id, i, x, CASE WHEN i < n - 2 AND contains(upper(x), 'LICENSED') AND ({_BRIEF.format("y")}) THEN x || {_NL} || y END AS xy,
+    CASE WHEN i < n - 3 AND contains(upper(x), 'LICENSED') AND ({_BRIEF.format("y")}) AND ({_BRIEF.format("z")}) THEN x || {_NL} || y || {_NL} || z END AS xyz FROM j WHERE x <> ''),
+  g AS (SELECT doc_id, i, CASE WHEN {_header("xy")} IS NOT NULL THEN xy WHEN {_header("xyz")} IS NOT NULL THEN xyz ELSE x END AS header, coalesce({_header("xy")}, {_header("xyz")}, {_header("x")}) AS category FROM k),
+  h AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM g WHERE category IS NOT NULL),
+  s AS (SELECT h.doc_id, i, category, header, {_strip(f"array_to_string(lines[i + 2:coalesce(nxt, len(lines))], {_NL})")} AS content FROM h JOIN q USING (doc_id) WHERE i + 1 < coalesce(nxt, len(lines))),
+  o AS (SELECT doc_id, category, header, min(i) AS i, arg_max(content, i) AS content FROM s GROUP BY doc_id, category, header),
+  v AS (SELECT doc_id, category, i, {_said("content")} FROM o),
+  d AS (SELECT doc_id, arg_min(outcome, (CASE WHEN category = 'license_headers' THEN 0 ELSE 1 END, i)) AS outcome,
+      arg_min(outcome, i) FILTER (category = 'license_headers') AS a, arg_min(confidence, i) FILTER (category = 'license_headers') AS ac,
+      arg_min(outcome, i) FILTER (category = 'short_headers') AS b, arg_min(confidence, i) FILTER (category = 'short_headers') AS bc FROM v WHERE confidence > 0.5 GROUP BY doc_id)
+  SELECT doc_id, (SELECT count(*) FROM h WHERE h.doc_id = documents.doc_id) AS headers, (SELECT count(*) FROM o WHERE o.doc_id = documents.doc_id) AS sections, md5(coalesce(l.t, '')) AS cleaned,
+    md5(coalesce((SELECT string_agg(category || chr(1) || header || chr(1) || content, chr(2) ORDER BY i) FROM o WHERE o.doc_id = documents.doc_id), '')) AS contents,
+    CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.doc_id = documents.doc_id AND category = 'license_headers') THEN true END AS has_license_headers,
+    CASE WHEN d.a IS NULL THEN d.b WHEN d.ac < 0.7 AND d.bc > d.ac THEN d.b ELSE d.a END AS decision_outcome
+  FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN d USING (doc_id)""")
 def document_sections(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
-    out = sections.preprocess(docs, "full_text", SECTION_PACK, OUTCOME_PACK)
-    return out.select("doc_id", F.size("headers").alias("headers"), F.size("sections").alias("sections"), F.md5("cleaned_text").alias("cleaned"), "has_license_headers", "decision_outcome")
+    out = sections.preprocess(docs, "full_text", SECTION_PACK, OUTCOME_PACK, ("license_headers", "short_headers"))
+    contents = F.array_join(F.transform("sections", lambda s: F.concat_ws("\x01", s["category"], s["header"], s["content"])), "\x02")
+    return out.select("doc_id", F.size("headers").cast("bigint").alias("headers"), F.size("sections").cast("bigint").alias("sections"), F.md5("cleaned_text").alias("cleaned"), F.md5(contents).alias("contents"), "has_license_headers", "decision_outcome")
 
 
-@query(None)
+_PARTED = f"string_split(regexp_replace(text, '([.!?]){_S}+', '\\1' || chr(1), 'g'), chr(1))"
+_AFTER = "array_to_string(s[{0} + 1:{1} + 1], ' ')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PARTED} AS s FROM documents),
+  m AS (SELECT doc_id, s, list_filter(range(0, len(s)), lambda i: contains(s[i + 1], 'the')) AS pl FROM p),
+  f AS (SELECT *, CASE WHEN pl[1] < 50 THEN pl[1] END AS first, len(pl) AS k FROM m),
+  g AS (SELECT *, s[first + 1] AS line, instr(s[first + 1], 'the') AS cut FROM f),
+  b AS (SELECT *, {_strip("substr(line, 1, cut - 1)")} AS before, CASE WHEN k >= 2 THEN {_strip(_AFTER.format("(pl[k - 1] + 1)", "pl[k]"))} END AS one, CASE WHEN k >= 3 THEN {_strip(_AFTER.format("(pl[k - 2] + 1)", "pl[k]"))} END AS two FROM g)
+  SELECT doc_id, CASE WHEN first IS NOT NULL THEN {_strip("array_to_string(list_concat(s[1:first], CASE WHEN before <> '' THEN [before] ELSE [] END), ' ')")} END AS general_metadata,
+    CASE WHEN first IS NOT NULL THEN {_strip(f"{_strip('substr(line, cut)')} || ' ' || {_strip(_AFTER.format('(first + 1)', '(first + 7)'))}")} END AS suspected_first_case_paragraph,
+    CASE WHEN length(one) >= 100 THEN one WHEN length(two) >= 100 THEN two END AS suspected_last_case_paragraph FROM b""")
 def marker_paragraphs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", sections.marker_paragraphs(F.col("text"), "the", least=100).alias("m"))
     return docs.select("doc_id", "m.*")
@@ -591,14 +721,32 @@ def _annotated(spark, d):
     return docs.join(labels, "doc_id").select("text", (F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2)).alias("label"))
 
 
-@query(None)
+@query("""WITH a AS (SELECT text, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 0 ELSE 2 END AS label FROM documents JOIN labels USING (doc_id)),
+  n AS (SELECT count(*) FILTER (label = 1) AS ones, count(*) FILTER (label = 2) AS twos, CAST(floor(count(*) FILTER (label = 2) * 0.9) AS BIGINT) AS kept FROM a),
+  r AS (SELECT label, text, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || text || '|0'), text) AS r FROM a WHERE label <> 1),
+  z AS (SELECT text FROM r, n WHERE label = 0 AND r <= ones - (twos - kept)),
+  train AS (SELECT text, 0 AS label FROM a WHERE label = 0 AND text NOT IN (SELECT text FROM z) UNION ALL SELECT text, 0 FROM r, n WHERE label = 2 AND r <= kept UNION ALL SELECT 'a silver sentence.', 1),
+  test AS (SELECT text, 1 AS label FROM a WHERE label = 1 UNION ALL SELECT text, 0 FROM z UNION ALL SELECT text, 0 FROM r, n WHERE label = 2 AND r > kept)
+  SELECT 'train' AS split, label, text FROM train UNION ALL SELECT 'test', label, text FROM test""")
 def train_test_split(spark, d):
     silver = spark.createDataFrame([("a silver sentence.", 1)], "text string, label int")
     train, test = datasets.train_test(_annotated(spark, d), silver)
-    counted = lambda df, n: df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("split"), "label", "n")
-    return counted(train, "train").unionByName(counted(test, "test"))
+    return train.select(F.lit("train").alias("split"), "label", "text").unionByName(test.select(F.lit("test").alias("split"), "label", "text"))
 
 
-@query(None)
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) < CAST(floor(0.85 * 4294967296) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM documents")
+def random_split(spark, d):
+    train, test = datasets.random_split(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+_DICE = "CAST('0x' || substr(md5('42|{0}|' || item_id), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH w AS (SELECT item_id, text, {_words("text")} AS w FROM benchmark),
+  d AS (SELECT *, CASE WHEN {_DICE.format(1)} / 4294967296.0 < 0.15 THEN list_filter(w, lambda x, i: i <> {_DICE.format(2)} % len(w) + 1) ELSE w END AS v FROM w),
+  p AS (SELECT *, {_DICE.format(4)} % len(v) + 1 AS a FROM d),
+  q AS (SELECT *, (a - 1 + {_DICE.format(5)} % (len(v) - 1) + 1) % len(v) + 1 AS b FROM p)
+  SELECT item_id, CASE WHEN len(w) <= 3 THEN text ELSE array_to_string(CASE WHEN {_DICE.format(3)} / 4294967296.0 < 0.1 THEN list_transform(v, lambda x, i: CASE WHEN i = a THEN v[b] WHEN i = b THEN v[a] ELSE x END) ELSE v END, ' ') END AS text FROM q""")
 def augmented(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.augment(F.col("text"), F.col("item_id")).alias("text"))

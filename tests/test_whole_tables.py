@@ -27,5 +27,22 @@ def test_purge_duplicates_reads_all_lines(spark, tmp_path):
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    found = {r.name: (r.clean, r.unused) for r in driver.purge_duplicates(spark, str(tmp_path)).collect()}
-    assert found == {"case_texts": (1, 2), "test": (2, 2), "other": (1, 2)}
+    found: dict[str, list[int]] = {}
+    for r in driver.purge_duplicates(spark, str(tmp_path)).collect():
+        found.setdefault(r.name, [0, 0])[0 if r.clean else 1] += r.n
+    assert found == {"case_texts": [1, 2], "test": [2, 2], "other": [1, 2]}
+
+
+def test_split_first_is_exact_and_keeps_equal_rows(spark):
+    from docloom.operators import datasets
+
+    rows = [("hot", 0)] * 500 + [(f"t{i}", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    every = sorted(rows)
+    previous: set[tuple] = set()
+    for n in (-1, 0, 1, 250, 600, 900, 1000):
+        first, rest = datasets.split_first(df.repartition(7), n)
+        a, b = ([tuple(r) for r in x.collect()] for x in (first, rest))
+        assert len(a) == min(max(n, 0), 900) and sorted(a + b) == every
+        assert previous <= set(a)
+        previous = set(a)
