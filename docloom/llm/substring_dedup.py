@@ -17,8 +17,8 @@ Hot anchors: a batch that holds many segments of one anchor sends two of them to
 knows that the anchor is shared, and asks for all of them straight away.  Segments of an anchor with many
 segments are dealt to shards string by string, each distinct string of a batch once.
 
-Hashes only route and group 24-byte grams and segments (64 bits each, both must agree); what stage 3 decides, it
-decides on bytes.
+Equal texts are known by their SHA-256, and equal segments by two hashes of 64 bits that must agree, of the anchor's
+bytes and of all the segment's; so what goes in steps 1 and 2 rests on hashes.  What step 3 decides, it decides on bytes.
 
 Defined cases: null text is empty; texts below LENGTH bytes lose nothing; repeated rows are equals, neither is
 smaller; rows of one doc_id are one document, reported row by row; null ids come after all others; extra columns
@@ -28,6 +28,7 @@ are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ COLLAPSED, ROWS = 1 << 23, 500
 HOT_BATCH, HOT = 32, 1 << 17
 #: Bytes of segments a shard should hold, and shards at most.
 SHARD_BYTES, MAX_SHARDS = 1 << 22, 20_000
+#: Segments whose strings are listed at once.
+SEGMENTS_AT_ONCE = 1 << 13
 OCCURRENCE, REMOVED, WANTED, SPEAKS = 0, 1, 2, 3
 _SPANS = "array<struct<low:bigint,high:bigint>>"
 FINISHED = f"key bigint, n_bytes bigint, spans {_SPANS}, kept binary"
@@ -259,14 +262,43 @@ def _merge(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return key[first], low[first], reach[last] - base[last]
 
 
+class _Open:
+    """An anchor whose rows go on in the next batch, in the order (c, key).
+
+    Bytes of larger documents go at once.  The segments of each c's smallest document are kept only until documents and
+    segments are known to differ; until then they are of one document or of one segment."""
+
+    def __init__(self, shift: int) -> None:
+        self.shift, self.held, self.c, self.first, self.low, self.high, self.several = shift, [], None, 0, None, None, False
+
+    def add(self, a: np.ndarray, c: np.ndarray, key: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(a):
+            return
+        owner, low = key >> self.shift, packed >> 8
+        new = np.append(self.c is None or c[0] != self.c, c[1:] != c[:-1])
+        first = np.where(np.maximum.accumulate(np.where(new, np.arange(len(a)), -1)) < 0, self.first, owner[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))])
+        self.several |= bool((packed & 3 == SPEAKS).any()) or self.c is not None and bool(new[0]) or bool(new[1:].any())
+        self.c, self.first = c[-1], first[-1]
+        self.low = int(owner.min()) if self.low is None else min(self.low, int(owner.min()))
+        self.high = int(owner.max()) if self.high is None else max(self.high, int(owner.max()))
+        gone = owner > first
+        if gone.any():
+            yield _marks(key[gone], np.full(int(gone.sum()), REMOVED), a[gone], low[gone], low[gone] + (packed[gone] >> 2 & 63) + LENGTH)
+        self.held.append((a[~gone], key[~gone], low[~gone], low[~gone] + (packed[~gone] >> 2 & 63)))
+        if self.several and self.high > self.low:
+            for a, key, low, high in self.held:
+                if len(a):
+                    yield _marks(key, np.full(len(a), WANTED), a, low, high)
+            self.held = []
+
+
 def _by_anchor(shift: int):
     """Sorted rows of whole anchors to (key, kind, a, low, high): bytes to remove and segments to cut.
 
-    Rows come sorted by (a, c, key); an anchor that is cut by a batch's end is held until its next rows, of which only what
-    decides is kept: whether documents and segments differ, and the rows of the last segment's smallest document."""
+    Rows come sorted by (a, c, key); an anchor that a batch's end cuts is decided row by row as the rest comes (`_Open`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        going, state = None, None
         for batch in batches:
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             for kind in (REMOVED, WANTED):
@@ -276,17 +308,16 @@ def _by_anchor(shift: int):
                     low = at >> 8
                     yield _marks(key, np.full(len(key), kind), c, low, c if kind == REMOVED else low + (at >> 2 & 63))
                     rows = [x[~passed] for x in rows]
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
-                rest = rows
                 continue
-            # the last anchor may go on
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest = [x[cut:] for x in rows]
-            yield from _decide([x[:cut] for x in rows], shift)
-        if rest is not None:
-            yield from _decide(rest, shift)
+            begin = int(np.searchsorted(rows[0], rows[0][0], "right")) if rows[0][0] == going else 0
+            cut = max(begin, int(np.searchsorted(rows[0], rows[0][-1])))
+            if begin:
+                yield from state.add(*(x[:begin] for x in rows))
+            yield from _decide([x[begin:cut] for x in rows], shift)
+            if cut < len(rows[0]):
+                going, state = rows[0][-1], _Open(shift)
+                yield from state.add(*(x[cut:] for x in rows))
 
     return run
 
@@ -357,29 +388,46 @@ def _cut(shift: int):
 
 
 def _sorted_shard(shift: int, memory: int):
-    """A partition's segments, suffix-sorted together, to the ranges that go."""
+    """A partition's segments, suffix-sorted together, to the ranges that go.  Arriving segments are streamed to files beyond
+    suffix.IN_MEMORY; see there for what the sorter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, keys, lows = [], [], []
-        for batch in batches:
-            segments += [x.as_py() for x in batch.column(3)]
-            keys.append(batch.column(1).to_numpy(zero_copy_only=False))
-            lows.append(batch.column(2).to_numpy(zero_copy_only=False))
-        if not segments:
-            return
-        key, low = np.concatenate(keys), np.concatenate(lows).astype(np.int64)
-        raw = np.frombuffer(b"".join(segments), np.uint8)
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-        del segments
-        begin = np.cumsum(sizes) - sizes
-        count = sizes - LENGTH + 1
-        number = np.repeat(np.arange(len(sizes)), count)
-        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        gone = suffix.repeated(raw, key[number] >> shift, begin[number] + inner, LENGTH, memory=memory)
-        number, inner = number[gone], inner[gone]
-        if len(number):
-            k, lo, hi = _merge(key[number], low[number] + inner, low[number] + inner + LENGTH)
-            yield _marks(k, np.full(len(k), REMOVED), np.zeros(len(k), np.int64), lo, hi)
+        with tempfile.TemporaryDirectory() as here:
+            raw, keys, lows, ends = (suffix.Growing(here, n, kind) for n, kind in (("raw", np.uint8), ("keys", np.int64), ("lows", np.int64), ("ends", np.int64)))
+            for batch in batches:
+                column = batch.column(3)
+                if not len(column):
+                    continue
+                places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                ends.append(raw.size + places[1:] - places[0])
+                raw.append(np.frombuffer(column.buffers()[2], np.uint8)[places[0] : places[-1]].copy())
+                keys.append(batch.column(1).to_numpy(zero_copy_only=False))
+                lows.append(batch.column(2).to_numpy(zero_copy_only=False))
+            if not keys.size:
+                return
+            raw, keys, lows, ends = (x.whole() for x in (raw, keys, lows, ends))
+
+            def strings(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """(segment, string in it, place in raw) of the strings of some segments."""
+                end = ends[k : k + SEGMENTS_AT_ONCE]
+                begin = np.append(ends[k - 1] if k else 0, end[:-1])
+                count = end - begin - LENGTH + 1
+                inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                return np.repeat(np.arange(k, k + len(end)), count), inner, np.repeat(begin, count) + inner
+
+            owners = suffix.storage(here, "owners", np.int64, len(raw))
+            owners[:] = suffix.NOBODY
+            for k in range(0, len(keys), SEGMENTS_AT_ONCE):
+                number, _, place = strings(k)
+                owners[place] = keys[number] >> shift
+            gone = suffix.repeated_places(raw, owners, LENGTH, here, memory)
+            for k in range(0, len(keys), SEGMENTS_AT_ONCE):
+                number, inner, place = strings(k)
+                which = gone[place]
+                number, inner = number[which], inner[which]
+                if len(number):
+                    key, low, high = _merge(keys[number], lows[number] + inner, lows[number] + inner + LENGTH)
+                    yield _marks(key, np.full(len(key), REMOVED), np.zeros(len(key), np.int64), low, high)
 
     return run
 
@@ -416,8 +464,14 @@ def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     if (odd[0] or 0) <= 1 and not odd[1]:
         return base.select(F.col("doc_id").alias("key"), "doc_id", F.col("text").cast("binary").alias("text")), 0
     shift = max(1, int(odd[0] - 1).bit_length())
-    ids = base.select("doc_id").distinct().orderBy(F.asc_nulls_last("doc_id"))
-    ranks = ids.rdd.map(lambda r: r[0]).zipWithIndex().toDF("doc_id bigint, rank bigint")
+    ids = base.select("doc_id").distinct().repartitionByRange(F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
+    placed = materialize(ids.select("doc_id", F.monotonically_increasing_id().alias("at")), "ids")
+    # the number of a range and a place in it become a place in all
+    sizes = sorted(tuple(r) for r in placed.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    before = F.lit(0).cast("long")
+    for part, start in zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False):
+        before = F.when(F.shiftright("at", 33) == part, F.lit(start).cast("long")).otherwise(before)
+    ranks = placed.select("doc_id", (before + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
     # a list of numbers stands for the rows of an id, so that no window has to hold their texts
     rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rows")
     places = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("doc_id", F.posexplode("rows").alias("place", "row"))

@@ -7,8 +7,10 @@ common prefix with the tuple before); its order is the first symbol, then arriva
 one symbol on.  A tuple's common prefix is one more than the least common prefix between the tuples that induced
 it and its neighbour, which range-minimum queries give while the pass runs.
 
-All passes work on blocks of tuples with vector operations, and every list longer than a block lives on disk, as
-the text may (a memory map).  Order and common prefixes are exact up to `depth`; beyond it they don't matter.
+All passes work on blocks of tuples with vector operations.  Beyond IN_MEMORY the text and all that is kept beside each
+place are mapped files, beyond `memory` tuples the queues and lists of places are files, and more LMS places than that
+are split by sampled words into files until each fits: memory doesn't grow with the text.  Order and common prefixes
+are exact up to `depth`; beyond it they don't matter, so the splitting recurses at most depth / PACKED times on equal words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 19
-#: Texts up to this many symbols are held in memory with what is kept beside each (17 bytes a symbol); longer ones are
+#: Texts up to this many symbols are held in memory with what is kept beside each (20 bytes a symbol); longer ones are
 #: files that are mapped.
 IN_MEMORY = 1 << 23
 #: The end of the text, below every byte; bytes are stored one higher.
@@ -36,6 +38,58 @@ def storage(folder: str, name: str, kind: type, n: int) -> np.ndarray:
     return np.asarray(np.memmap(os.path.join(folder, name), kind, "w+", shape=(n,)))
 
 
+class Growing:
+    """Numbers appended block by block: in memory up to IN_MEMORY of them, then in a file that is mapped at the end."""
+
+    def __init__(self, folder: str, name: str, kind: type) -> None:
+        self.path, self.kind, self.held, self.size, self.out = os.path.join(folder, name), kind, [], 0, None
+
+    def append(self, block: np.ndarray) -> None:
+        self.size += len(block)
+        self.held.append(np.ascontiguousarray(block, self.kind))
+        if self.size > IN_MEMORY:
+            self.out = self.out or open(self.path, "wb")  # noqa: SIM115
+            for x in self.held:
+                x.tofile(self.out)
+            self.held = []
+
+    def whole(self) -> np.ndarray:
+        if self.out is None:
+            return np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        self.out.close()
+        return np.asarray(np.memmap(self.path, self.kind, "r"))
+
+
+class Places:
+    """A list of places that is read again in blocks; in a file beyond `memory` of them."""
+
+    def __init__(self, folder: str, memory: int) -> None:
+        self.folder, self.memory, self.held, self.size, self.file = folder, memory, [], 0, None
+
+    def append(self, block: np.ndarray) -> None:
+        self.size += len(block)
+        self.held.append(block)
+        if self.file is not None or self.size > self.memory:
+            self.file = self.file or tempfile.TemporaryFile(dir=self.folder)  # noqa: SIM115
+            self.file.seek(0, os.SEEK_END)
+            for x in self.held:
+                self.file.write(x.astype(np.int64).tobytes())
+            self.held = []
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        if self.file is None:
+            yield from self.held
+            return
+        for k in range(0, self.size, BLOCK):
+            self.file.seek(8 * k)
+            yield np.frombuffer(self.file.read(8 * BLOCK), np.int64)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.held, self.size, self.file = [], 0, None
+
+
 class DiskQueue:
     """A priority queue of (position, common prefix) tuples: lowest symbol first, then first in, first out.
 
@@ -158,13 +212,13 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -
     return out.astype(np.uint8)
 
 
-def sort_by_bytes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The places ordered by the next `depth` symbols.  Sorts by one packed word and recurses into the ties only."""
+def sort_by_bytes(words: np.ndarray, at: np.ndarray, depth: int, begin: int = 0) -> np.ndarray:
+    """The places ordered by the `depth` symbols from `begin` on.  Sorts by one packed word and recurses into the ties only."""
     if len(at) < 2:
         return at
     order, group, last = at, None, len(words) - 1
     live = np.arange(len(at))
-    for skip in range(0, depth, PACKED):
+    for skip in range(begin, begin + depth, PACKED):
         keys = words[np.minimum(order[live] + skip, last)]
         ranked = np.argsort(keys, kind="stable") if group is None else np.lexsort((keys, group))
         order[live] = order[live][ranked]
@@ -182,10 +236,9 @@ def sort_by_bytes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def types(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is below the one after it (S-type)."""
+def types(text: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """True where a suffix is below the one after it (S-type), into `out`."""
     n = len(text)
-    out = np.zeros(n, bool)
     out[n - 1] = True
     next_type = True
     # blocks from the end, each carrying the type of what follows it
@@ -201,6 +254,10 @@ def types(text: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Words sampled to split places, and parts they are split into (and one for each splitting word).
+SAMPLED, PARTS = 4096, 32
+
+
 class Induced:
     """Sorts the suffixes of `text` (bytes plus one, closed by END) to `depth`."""
 
@@ -208,21 +265,61 @@ class Induced:
         self.text, self.depth, self.folder, self.memory = text, depth, folder, memory
         self.words = pack(text, storage(folder, "words", np.uint64, len(text)))
 
+    def _ordered(self, places: Places, skip: int = 0) -> Iterator[np.ndarray]:
+        """Blocks of the places, ordered by the symbols from `skip` to the depth and a word.  Closes `places`."""
+        end = self.depth + PACKED - 1
+        if places.size <= self.memory or skip >= end:
+            found = np.concatenate(list(places.blocks())) if places.size <= self.memory and places.size else None
+            if found is not None and skip < end:
+                found = sort_by_bytes(self.words, found, end - skip, skip)
+            for x in [found[k : k + BLOCK] for k in range(0, len(found), BLOCK)] if found is not None else places.blocks():
+                yield x
+            places.close()
+            return
+        last = len(self.words) - 1
+        keys = lambda x: self.words[np.minimum(x + skip, last)]
+        every = max(1, places.size // SAMPLED)
+        sample = np.sort(np.concatenate([keys(x[::every]) for x in places.blocks()]))
+        pivots = np.unique(sample[:: max(1, len(sample) // PARTS)])
+        parts = [Places(self.folder, self.memory // len(pivots) // 4) for _ in range(2 * len(pivots) + 1)]
+        for x in places.blocks():
+            k = keys(x)
+            low = np.searchsorted(pivots, k, "left")
+            part = 2 * low + (pivots[np.minimum(low, len(pivots) - 1)] == k)
+            by = np.argsort(part, kind="stable")
+            x, part = x[by], part[by]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
+                parts[part[i]].append(x[i:j])
+        places.close()
+        for i, part in enumerate(parts):
+            if part.size:
+                yield from self._ordered(part, skip + PACKED * (i % 2))
+
     def _lms(self) -> DiskQueue:
         """LMS places by symbol, sorted, with common prefixes."""
-        s = types(self.text)
-        found = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+        n = len(self.text)
+        s = types(self.text, storage(self.folder, "types", bool, n))
+        found = [Places(self.folder, self.memory // 64) for _ in range(SYMBOLS)]
+        for low in range(1, n, BLOCK):
+            high = min(low + BLOCK, n)
+            at = np.flatnonzero(s[low:high] & ~s[low - 1 : high - 1]) + low
+            symbols = self.text[at]
+            by = np.argsort(symbols, kind="stable")
+            at, symbols = at[by].astype(np.int64), symbols[by]
+            first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(at) else at
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True) if len(at) else ():
+                found[symbols[i]].append(at[i:j])
         queue = DiskQueue(self.folder, "lms", self.memory)
-        symbols = self.text[found]
-        by = np.argsort(symbols, kind="stable")
-        found, symbols = found[by].astype(np.int64), symbols[by]
-        ends = np.searchsorted(symbols, np.arange(SYMBOLS + 1))
         for c in range(SYMBOLS):
-            part = sort_by_bytes(self.words, found[ends[c] : ends[c + 1]].copy(), self.depth + PACKED - 1)
-            lcp = np.zeros(len(part), np.uint8)
-            lcp[1:] = common_prefix(self.words, part[:-1], part[1:], self.depth)
-            for k in range(0, len(part), BLOCK):
-                queue.push(c, part[k : k + BLOCK], lcp[k : k + BLOCK])
+            before = None
+            for part in self._ordered(found[c]):
+                lcp = np.zeros(len(part), np.uint8)
+                lcp[1:] = common_prefix(self.words, part[:-1], part[1:], self.depth)
+                if before is not None:
+                    lcp[0] = self._seam(before, int(part[0]))
+                before = int(part[-1])
+                queue.push(c, part, lcp)
         return queue
 
     def _induce(self, queue: DiskQueue, at: np.ndarray, lcp: np.ndarray, least: np.ndarray, low: int, high: int) -> None:
@@ -305,48 +402,60 @@ class Induced:
                 yield at, shifted
 
 
-def repeated(text: np.ndarray, owners: np.ndarray, starts: np.ndarray, length: int, folder: str | None = None, memory: int = 4 * BLOCK) -> np.ndarray:
-    """Which of the places `starts` begin a string of `length` bytes that also begins at a place of a smaller owner.
+#: Of a place where no string begins.
+NOBODY = np.iinfo(np.int64).max
 
-    text: bytes; owners: for each place of `starts`.  Strings must not run past what `starts` allows.
-    """
+
+def repeated_places(text: np.ndarray, owners: np.ndarray, length: int, folder: str, memory: int = 4 * BLOCK) -> np.ndarray:
+    """For each place of `text` (bytes) whether the string of `length` bytes there also begins at a place of a smaller owner.
+
+    owners: for each place, NOBODY where no string may begin.  Strings must not run past what that allows.  Equal strings
+    stand together in suffix order, so only the least owner and the places of the open group are kept."""
     n = len(text)
+    symbols = storage(folder, "text", np.uint16, n + 1)
+    for k in range(0, n, BLOCK):
+        symbols[k : min(k + BLOCK, n)] = text[k : k + BLOCK].astype(np.uint16) + 1
+    symbols[n] = END
+    out = storage(folder, "gone", bool, n)
+    out[:] = False
+    group, least = Places(folder, memory), NOBODY
+
+    def settle() -> None:
+        nonlocal group, least
+        for members in group.blocks():
+            out[members[owners[members] > least]] = True
+        group.close()
+        group, least = Places(folder, memory), NOBODY
+
+    def join(members: np.ndarray) -> None:
+        nonlocal least
+        if len(members):
+            group.append(members)
+            least = min(least, int(owners[members].min()))
+
+    for at, lcp in Induced(symbols, length, folder, memory).suffixes():
+        at = np.minimum(at, n - 1) if n else at
+        valid = owners[at] != NOBODY
+        number = np.cumsum(lcp < length)
+        if number[-1] == 0:
+            join(at[valid])
+            continue
+        join(at[valid & (number == 0)])
+        settle()
+        middle = valid & (number > 0) & (number < number[-1])
+        members, ids = at[middle], number[middle]
+        if len(members):
+            best = np.full(int(number[-1]) + 1, NOBODY)
+            np.minimum.at(best, ids, owners[members])
+            out[members[owners[members] > best[ids]]] = True
+        join(at[valid & (number == number[-1])])
+    settle()
+    return out
+
+
+def repeated(text: np.ndarray, owners: np.ndarray, starts: np.ndarray, length: int, folder: str | None = None, memory: int = 4 * BLOCK) -> np.ndarray:
+    """The same for strings that begin at `starts`, with an owner for each."""
     with tempfile.TemporaryDirectory(dir=folder) as here:
-        symbols = storage(here, "text", np.uint16, n + 1)
-        for k in range(0, n, BLOCK):
-            symbols[k : min(k + BLOCK, n)] = text[k : k + BLOCK].astype(np.uint16) + 1
-        symbols[n] = END
-        numbers = storage(here, "number", np.int64, n + 1)
-        numbers[:] = -1
-        numbers[starts] = np.arange(len(starts))
-        out = np.zeros(len(starts), bool)
-        held: list[np.ndarray] = []
-
-        def settle(members: np.ndarray) -> None:
-            mine = owners[members]
-            out[members[mine > mine.min()]] = True
-
-        for at, lcp in Induced(symbols, length, here, memory).suffixes():
-            which = numbers[at]
-            cut = np.flatnonzero(lcp < length)
-            group = np.cumsum(lcp < length)
-            valid = which >= 0
-            if not len(cut):
-                held.append(which[valid])
-                continue
-            head = which[(group == 0) & valid]
-            whole = np.concatenate([*held, head])
-            if len(whole) > 1:
-                settle(whole)
-            tail = group == len(cut)
-            held = [which[tail & valid]]
-            middle = valid & (group > 0) & ~tail
-            ids, members = group[middle], which[middle]
-            if len(members):
-                least = np.full(len(cut) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, ids, owners[members])
-                out[members[owners[members] > least[ids]]] = True
-        whole = np.concatenate(held) if held else np.zeros(0, np.int64)
-        if len(whole) > 1:
-            settle(whole)
-        return out
+        every = np.full(len(text), NOBODY)
+        every[starts] = owners
+        return repeated_places(text, every, length, here, memory)[starts]

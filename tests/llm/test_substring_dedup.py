@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import substring_dedup as d
@@ -85,3 +86,49 @@ def test_every_string_has_one_anchor():
     assert strings == [s for a, b in zip(starts, ends, strict=True) for s in range(a, b - N + 1)]
     assert ((low <= place) & (place + d.GRAM <= high + N)).all()
     assert (starts[text] <= low).all() and (high + N <= ends[text]).all()
+
+
+def test_an_anchor_over_many_batches_is_decided_as_in_one():
+    rng = np.random.Generator(np.random.PCG64(8))
+    for case in range(60):
+        n = int(rng.integers(1, 80))
+        a = np.sort(rng.integers(0, rng.choice([1, 2, 6]), n))
+        c, key, low = rng.integers(0, rng.choice([1, 2, 20]), n), rng.integers(0, rng.choice([1, 2, 30]), n), rng.integers(0, 1000, n)
+        kind = np.where(rng.random(n) < 0.05, d.SPEAKS, d.OCCURRENCE)
+        order = np.lexsort((low, key, c, a))
+        a, c, key, at = a[order], c[order], key[order], d._at(low, low + 5, kind)[order]
+        rows = lambda batches: sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+        want = rows(d._decide([a, c, key, at], 0))
+        for size in (1, 3, 1000):
+            parts = [d._batch(*(x[k : k + size] for x in (a, c, key, at))) for k in range(0, n, size)]
+            assert rows(d._by_anchor(0)(iter(parts))) == want, case
+
+
+def test_an_open_anchor_holds_no_more_than_decides():
+    state = d._Open(0)
+    size = 1000
+    for k in range(50):
+        c, key = np.full(size, k // 25), np.arange(k * size, (k + 1) * size)
+        list(state.add(np.zeros(size, np.int64), c, key, d._at(key * 0, key * 0 + 5, d.OCCURRENCE)))
+        assert sum(len(x[0]) for x in state.held) <= size
+
+
+def test_shards_in_files_equal_brute_force(spark, monkeypatch):
+    for name, value in (("BLOCK", 256), ("IN_MEMORY", 100)):
+        monkeypatch.setattr(d.suffix, name, value)
+    monkeypatch.setattr(d, "SEGMENTS_AT_ONCE", 7)
+    rows = texts(4, 150)
+    segments = [(k, s, r[1].encode()[s : s + 76]) for k, r in enumerate(rows) for s in range(0, max(0, len(r[1].encode()) - 76), 9)]
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int64()), pa.array([i[0] for i in x], pa.int64()), pa.array([i[1] for i in x], pa.int32()), pa.array([i[2] for i in x], pa.binary())], names=["shard", "key", "low", "segment"])
+    parts = [batch(segments), batch([])] if len(segments) < 20 else [batch(segments[:10]).slice(3), batch(segments[:3]), batch([]), batch(segments[10:])]
+    gone = set()
+    for b in d._sorted_shard(0, 300)(iter(parts)):
+        gone |= {(r["key"], x) for r in b.to_pylist() for x in range(r["low"], r["high"])}
+    least, want = {}, set()
+    strings = [(k, s + i, x[i : i + N]) for k, s, x in segments for i in range(len(x) - N + 1)]
+    for k, _, w in strings:
+        least[w] = min(least.get(w, k), k)
+    for k, s, w in strings:
+        if least[w] < k:
+            want |= {(k, x) for x in range(s, s + N)}
+    assert gone == want and want

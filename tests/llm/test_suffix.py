@@ -1,5 +1,7 @@
+import itertools
 import random
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -48,3 +50,42 @@ def test_repeated_equals_brute_force():
         least[w] = min(least.get(w, o), o)
     assert got.tolist() == [bool(least[raw[s : s + 10]] < o) for s, o in zip(starts, owners, strict=True)]
     assert got.any() and not got.all()
+
+
+@pytest.mark.parametrize("memory", [50, 400])
+def test_places_beyond_memory_are_split_in_files(monkeypatch, memory):
+    monkeypatch.setattr(suffix, "BLOCK", 64)
+    monkeypatch.setattr(suffix, "IN_MEMORY", 0)
+    rng = random.Random(memory)
+    for raw in (bytes(rng.randrange(97, 99) for _ in range(4000)), b"ab" * 2000, b"abcdefghijklmnopqrstuvwxyzyx" * 150, bytes(rng.randrange(256) for _ in range(4000))):
+        at, lcp = sort(raw, 20, memory)
+        cut = [raw[i : i + 20] for i in at]
+        assert cut == sorted(cut, reverse=True) and sorted(at.tolist()) == list(range(len(raw)))
+        same = [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y, strict=False))) for x, y in itertools.pairwise(cut)]
+        assert lcp[1:].tolist() == same
+
+
+def test_memory_does_not_grow_with_the_shard(monkeypatch):
+    """Peak memory of a shard of 4 MB is less than a tenth of what it takes in memory.  What is left of its growth is the list of
+    blocks in files, which are tiny here (8,192 tuples; 524,288 in use)."""
+    monkeypatch.setattr(suffix, "BLOCK", 1 << 13)
+    monkeypatch.setattr(suffix, "IN_MEMORY", 1 << 13)
+    rng = np.random.Generator(np.random.PCG64(5))
+
+    def peak(n, memory, limit):
+        monkeypatch.setattr(suffix, "IN_MEMORY", limit)
+        text = rng.integers(97, 101, n).astype(np.uint8)
+        text[n // 2 :] = text[: n - n // 2]
+        with tempfile.TemporaryDirectory() as here:
+            owners = np.memmap(f"{here}/o", np.int64, "w+", shape=(n,))
+            owners[:] = np.arange(n) * 8 // n
+            owners[-50:] = suffix.NOBODY
+            tracemalloc.start()
+            gone = suffix.repeated_places(text, owners, 50, here, memory)
+            found = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert gone[n // 2 : n - 50].all() and not gone[: n // 2].any()
+        return found
+
+    small, large, held = peak(1 << 20, 1 << 14, 1 << 13), peak(1 << 22, 1 << 14, 1 << 13), peak(1 << 22, 1 << 23, 1 << 23)
+    assert large < held / 10 and large - small < 1 << 22, (small, large, held)
