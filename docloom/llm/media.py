@@ -3,10 +3,11 @@
 Writing: every task streams its members into archives of bounded size under names of its own; the driver commits
 the list of the finished ones, so a repeated or failed task leaves nothing that a reader would see.
 
-Reading: the driver only needs the archives' names and sizes.  It cuts each archive into byte ranges, and a
-range's task reads the archive's directory from its end and streams the members whose header begins in the range,
-in Arrow batches of bounded size.  Each member is fetched by its own offset, checked against the directory's
-checksum and retried alone.
+Reading: the driver only needs the archives' names and sizes (some 60 bytes an archive).  It cuts each archive into byte
+ranges, at most MAX_RANGES in all, and a range's task reads the archive's directory from its end and streams the members
+whose header begins in the range, in Arrow batches of bounded size.  Members that lie side by side are read in one request
+of some `block_bytes`, and each is checked against the directory's checksum; one that fails, or whose block does, is fetched
+by its own offset and retried alone.
 
 Texts become 8-bit grey images, 64 samples a row, losslessly (PNG): see `encode` and `decode`.
 
@@ -40,6 +41,7 @@ FORMAT = "docloom_archive"
 SCHEMA = "member string, offset bigint, media binary"
 MANIFEST = "_members.json"
 WIDTH = 64
+MAX_RANGES = 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -195,8 +197,8 @@ class _Window(io.RawIOBase):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, folder: str, range_bytes: int, batch_bytes: int, attempts: int) -> None:
-        self.folder, self.range_bytes, self.batch_bytes, self.attempts = folder, range_bytes, batch_bytes, attempts
+    def __init__(self, folder: str, range_bytes: int, batch_bytes: int, attempts: int, block_bytes: int = 4 << 20) -> None:
+        self.folder, self.range_bytes, self.batch_bytes, self.block_bytes, self.attempts = folder, range_bytes, batch_bytes, block_bytes, attempts
 
     def partitions(self) -> list[InputPartition]:
         where, root = _open(self.folder)
@@ -207,25 +209,50 @@ class ArchiveReader(DataSourceReader):
         else:
             found = where.get_file_info(pafs.FileSelector(root))
             files = sorted((x.base_name, x.size) for x in found if x.base_name.endswith(".zip"))
-        cut = self.range_bytes
+        cut = max(self.range_bytes, -(-sum(size for _, size in files) // MAX_RANGES))
         ranges = [ByteRange(n, size, a, min(size, a + cut)) for n, size in files for a in range(0, size, cut)]
         return ranges or [ByteRange("", 0, 0, 0)]
 
-    def _fetch(self, where: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
-        """One member by its offset, opened anew for each attempt and checked against the directory."""
+    @staticmethod
+    def _member(data: bytes, info: zipfile.ZipInfo) -> bytes:
+        """The media of a member, given its bytes from its header on; checked against the directory."""
+        if data[:4] != b"PK\3\4":
+            raise ValueError("no member header")
+        skip = 30 + sum(struct.unpack_from("<HH", data, 26))
+        media = data[skip : skip + info.compress_size]
+        media = media if info.compress_type == zipfile.ZIP_STORED else zlib.decompress(media, -15)
+        if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
+            raise ValueError("member doesn't match its checksum")
+        return media
+
+    def _blocks(self, where: pafs.FileSystem, path: str, own: list[tuple[zipfile.ZipInfo, int]]) -> Iterator[tuple[zipfile.ZipInfo, bytes]]:
+        """The members (given with their ends, in order) with their media, read block by block."""
+        first = 0
+        while first < len(own):
+            last = first + 1
+            start = own[first][0].header_offset
+            while last < len(own) and own[last][1] - start <= self.block_bytes:
+                last += 1
+            try:
+                with where.open_input_file(path) as f:
+                    block = memoryview(f.read_at(own[last - 1][1] - start, start))
+            except OSError:
+                block = memoryview(b"")
+            for info, end in own[first:last]:
+                try:
+                    media = self._member(bytes(block[info.header_offset - start : end - start]), info)
+                except (ValueError, struct.error, zlib.error):
+                    media = self._fetch(where, path, info, end)
+                yield info, media
+            first = last
+
+    def _fetch(self, where: pafs.FileSystem, path: str, info: zipfile.ZipInfo, end: int) -> bytes:
+        """One member by its offset, opened anew for each attempt."""
         for attempt in range(self.attempts):
             try:
                 with where.open_input_file(path) as f:
-                    head = f.read_at(30, info.header_offset)
-                    if head[:4] != b"PK\3\4":
-                        raise ValueError("no member header")
-                    skip = 30 + sum(struct.unpack_from("<HH", head, 26))
-                    data = f.read_at(info.compress_size, info.header_offset + skip)
-                media = data if info.compress_type == zipfile.ZIP_STORED else zlib.decompress(data, -15)
-                if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
-                    raise ValueError("member doesn't match its checksum")
-                return media
-            except (OSError, ValueError, zlib.error) as e:
+                    return self._member(f.read_at(end - info.header_offset, info.header_offset), info)
+            except (OSError, ValueError, struct.error, zlib.error) as e:
                 if attempt + 1 == self.attempts:
                     raise ValueError(f"{path} at {info.header_offset}: {e}") from e
                 time.sleep(0.1 * 2**attempt)
@@ -237,11 +264,13 @@ class ArchiveReader(DataSourceReader):
         where, root = _open(self.folder)
         path = _join(root, partition.name)
         with where.open_input_file(path) as f, zipfile.ZipFile(io.BufferedReader(_Window(f, partition.size), 1 << 16)) as z:
-            own = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
+            every = sorted(z.infolist(), key=lambda i: i.header_offset)
+            ends = [*(i.header_offset for i in every[1:]), z.start_dir]
+        own = [(i, end) for i, end in zip(every, ends, strict=True) if partition.start <= i.header_offset < partition.end]
         held: list[tuple[str, int, bytes]] = []
         room = self.batch_bytes
-        for info in sorted(own, key=lambda i: i.header_offset):
-            held.append((info.filename, info.header_offset, self._fetch(where, path, info)))
+        for info, media in self._blocks(where, path, own):
+            held.append((info.filename, info.header_offset, media))
             room -= info.file_size
             if room <= 0:
                 yield self._batch(held)
@@ -256,7 +285,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """Options: path; range_bytes and batch_bytes (reading), attempts a member, roll_bytes (writing)."""
+    """Options: path; range_bytes, batch_bytes and block_bytes (reading), attempts a member, roll_bytes (writing)."""
 
     @classmethod
     def name(cls) -> str:
@@ -269,7 +298,7 @@ class ArchiveSource(DataSource):
         return int(self.options.get(key, default))
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ArchiveReader(self.options["path"], self._number("range_bytes", 16 << 20), self._number("batch_bytes", 8 << 20), self._number("attempts", 4))
+        return ArchiveReader(self.options["path"], self._number("range_bytes", 16 << 20), self._number("batch_bytes", 8 << 20), self._number("attempts", 4), self._number("block_bytes", 4 << 20))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"], self._number("roll_bytes", 64 << 20))

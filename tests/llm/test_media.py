@@ -79,3 +79,33 @@ def test_damage_is_reported(tmp_path):
     reader = media.ArchiveReader(str(tmp_path), 1 << 20, 1 << 20, 2)
     with pytest.raises(ValueError, match="checksum"):
         list(reader.read(reader.partitions()[0]))
+
+
+def test_members_are_read_in_blocks(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(500):
+            z.writestr(f"{i}", b"d%d" % i * 100)
+    opened, real = [], media._open
+
+    class Counted:
+        def __init__(self, where):
+            self.where = where
+
+        def __getattr__(self, name):
+            if name == "open_input_file":
+                opened.append(name)
+            return getattr(self.where, name)
+
+    monkeypatch.setattr(media, "_open", lambda path: (Counted(real(path)[0]), real(path)[1]))
+    for block, most in ((4 << 20, 2), (50_000, 10), (1, 501)):
+        reader = media.ArchiveReader(str(tmp_path), 1 << 30, 1 << 20, 3, block)
+        opened.clear()
+        got = [x for b in reader.read(reader.partitions()[0]) for x in b.column("media").to_pylist()]
+        assert got == [b"d%d" % i * 100 for i in range(500)] and len(opened) <= most
+
+
+def test_ranges_are_bounded(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x", b"x" * 100_000)
+    monkeypatch.setattr(media, "MAX_RANGES", 3)
+    assert len(media.ArchiveReader(str(tmp_path), 10, 1 << 20, 3).partitions()) == 3
