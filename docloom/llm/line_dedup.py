@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, materialize
+from docloom.llm.common import BROADCAST_ROWS, let, materialize
 
 BLANKS = " \t\r\x0b\f"
 
@@ -65,15 +65,25 @@ def _cleaned(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages
         keys = hit.groupBy("_dl_row").agg(F.collect_set("_dl_key").alias("_dl_keys"))
         marked = rows.join(keys, "_dl_row", "left").drop("_dl_row")
     full = lambda x: _trim(x) != ""
-    keep = lambda x: ~(full(x) & F.array_contains(F.col("_dl_keys"), F.md5(_trim(x))))
     lines = F.split(F.col(text), "\n")
-    left = F.when(F.col("_dl_keys").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, keep), "\n"))
-    count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n"), full)), F.lit(0)).cast("long")
-    dropped = F.when(F.col("_dl_keys").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: ~keep(x))))
-    return marked.select(
-        *[left.alias(c) if c == text else F.col(c) for c in pages.columns],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(count(F.col(text))).cast("long").alias("_dl_n"),
-        dropped.cast("long").alias("_dl_d"),
+
+    def split(hashes: Column) -> Column:
+        """The text that stays and the lines that go; a page's lines meet its host's set once, by hash."""
+
+        def of(bad: Column) -> Column:
+            gone = lambda i: F.array_contains(bad, F.get(hashes, i))
+            left = F.when(F.size(bad) == 0, F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n"))
+            return F.struct(left.alias("left"), F.size(F.filter(hashes, lambda h: F.array_contains(bad, h))).alias("gone"))
+
+        return let(F.array_intersect(hashes, F.col("_dl_keys")), of)
+
+    clean = F.when(F.col("_dl_keys").isNotNull() & F.col(text).isNotNull(), let(F.transform(lines, lambda x: F.md5(_trim(x))), split))
+    count = F.coalesce(F.size(F.filter(lines, full)), F.lit(0)).cast("long")
+    out = marked.withColumn("_dl_clean", clean)
+    return out.select(
+        *[F.coalesce("_dl_clean.left", text).alias(c) if c == text else F.col(c) for c in pages.columns],
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(count).cast("long").alias("_dl_n"),
+        F.coalesce("_dl_clean.gone", F.lit(0)).cast("long").alias("_dl_d"),
     )
 
 
