@@ -9,6 +9,10 @@ an equality join of the two lists that keeps pairs with at most three differing
 bit differ in parity, and equal halves have the same nearest anchor, so only odd halves are replicated beyond
 their own.
 
+An anchor that is the nearest of more than HOT different fingerprints is split: what differs in at most three bits of the
+other half agrees in one of its quarters but for one bit, so there the lists are joined by the anchor and a quarter, once
+as it is and once with each bit flipped.
+
 Equal fingerprints are one row before anything is replicated: copies cost nothing.  Links between different
 fingerprints are all found; the documents of one fingerprint share its component.
 
@@ -27,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, materialize
+from docloom.llm.common import BROADCAST_ROWS, materialize, semi_checked
 from docloom.llm.components import connected_components
 
 SEED = 42
 LIMIT = 3
+#: Different fingerprints at their nearest anchor beyond which it is split.
+HOT = 256
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -122,15 +128,35 @@ def _replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows]), pa.array(home)], names=["anchor", "fp", "home"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _quarters(rows: DataFrame, flipped: bool) -> DataFrame:
+    """A row for each quarter of the half that the anchor isn't of; `flipped`: and for each bit of it flipped."""
+    other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)]) if flipped else F.array(F.lit(0))
+    parts = F.array(other.bitwiseAND(0xFFFF), F.shiftright(other, 16).bitwiseAND(0xFFFF))
+    keys = F.flatten(F.transform(parts, lambda q, k: F.transform(flips, lambda f: q.bitwiseXOR(f.cast("long")) + k * 65536)))
+    return rows.withColumn("quarter", F.explode(keys))
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): the pairs of different fingerprints of the column `fp` within the limit, from the anchor lists."""
-    lists = distinct.select("fp").mapInArrow(_replicated, "anchor bigint, fp bigint, home boolean")
-    near = lists.where("home").select("anchor", F.col("fp").alias("a"))
-    other = lists.select("anchor", F.col("fp").alias("b"), F.col("home").alias("bh"))
+    lists = materialize(distinct.select("fp").mapInArrow(_replicated, "anchor bigint, fp bigint, home boolean"), "anchors")
+    many = materialize(lists.where("home").groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot-anchors")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # two fingerprints that share their nearest anchor would meet twice there
     once = ~F.col("bh") | (F.col("a") < F.col("b"))
-    return near.join(other, (near.anchor == other.anchor) & (differ <= LIMIT) & (differ > 0) & once).select("a", "b")
+
+    def met(near: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        a, b = near.select(*on, F.col("fp").alias("a")), other.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("fp").alias("b"), F.col("home").alias("bh"))
+        same = F.lit(True)
+        for c in on:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        return a.join(b, same & (differ <= LIMIT) & (differ > 0) & once).select("a", "b")
+
+    if many.isEmpty():
+        return met(lists.where("home"), lists, ["anchor"])
+    few, rest = semi_checked(lists, many, "anchor", "left_anti"), semi_checked(lists, many, "anchor")
+    split = met(_quarters(rest.where("home"), False), _quarters(rest, True), ["anchor", "quarter"])
+    return met(few.where("home"), few, ["anchor"]).unionByName(split.distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

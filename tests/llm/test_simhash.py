@@ -102,3 +102,24 @@ def test_long_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (6, 5)]
     found = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert all(found[i] == 0 for i in range(61)) and all(found[1000 + i] == 1000 for i in range(200))
+
+
+def test_hot_anchors_are_split_exactly(spark):
+    """Fingerprints that share a half, or nearly so: the split finds the same links as brute force."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    half, base = 0x5A5A1234, [int(x) for x in rng.integers(0, 1 << 32, 12)]
+    fps = set()
+    for b in base:
+        for _ in range(25):
+            flips = [int(x) for x in rng.choice(64, int(rng.integers(0, 4)), replace=False)]
+            for low in (True, False):
+                x = half | b << 32 if low else b | half << 32
+                for f in flips:
+                    x ^= 1 << f
+                fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp bigint")
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3}
+    for hot in (2, 10_000):
+        got = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(df, hot).collect()]
+        assert set(got) == want and len(want) > 500
