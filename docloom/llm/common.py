@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +21,47 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own only where it is unset in a local session (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Paths made inside each open `intermediates`, innermost last.
+_MADE: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are made inside at its end: for steps whose result is then written elsewhere."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, _MADE.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What `df` makes, written to the shared folder; the tables made on the way are deleted."""
+    path = shared_path(spark, name)
+    with intermediates(spark):
+        made = df()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -57,3 +57,37 @@ def test_labels_of_held_out_documents_are_not_used(spark):
     b = fm.classify(docs, spark.createDataFrame([(i, 1 - q if i in held else q) for i, q in rows], LABELS))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert {r.doc_id for r in a.collect() if r.held_out} == set(held)
+
+
+def test_query_equals_brute_force_over_pairs(spark, sf):
+    """Every score of the query again, with the pairs summed one by one and features counted from words."""
+    import math
+    import re
+    from collections import Counter
+    from zlib import crc32
+
+    from docloom.llm import factorization as fm
+    from docloom.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = fm.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op4_factorization(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text))[:: max(1, len(rows) // 40)]:
+        raw = r.text.encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        counts = Counter(crc32(w) % fm.WORDS for w in words)
+        length = math.sqrt(sum(c * c for c in counts.values())) or 1.0
+        x = {k: c / length for k, c in counts.items()}
+        places, values = fm.features(r.text, r.n_chars)
+        x |= dict(zip(places[-len(fm.DENSE) :].tolist(), values[-len(fm.DENSE) :].tolist(), strict=True))
+        total = float(model.bias) + sum(float(model.linear[k]) * v for k, v in x.items())
+        keys = sorted(x)
+        if len(keys) > 400:
+            continue
+        v = {k: model.factors[k].astype(float) * x[k] for k in keys}
+        total += sum(float(v[a] @ v[b]) for i, a in enumerate(keys) for b in keys[i + 1 :])
+        want = 1 / (1 + math.exp(-total))
+        assert abs(got[r.doc_id].score - want) < 1e-4
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3) and got[r.doc_id].held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)

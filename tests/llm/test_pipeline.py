@@ -65,3 +65,16 @@ def test_stages_take_empty_and_odd_documents(spark, sf, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, sf), "odd-stage")
         docs.count()
+
+
+def test_tables_made_on_the_way_are_deleted(spark):
+    import os
+
+    from docloom.llm.common import shared_dir, written
+
+    folder = f"{shared_dir(spark).removeprefix('file:')}/docloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = written(lambda: materialize(materialize(spark.range(5), "one").where("id > 1"), "two"), spark, "three")
+    assert sorted(r[0] for r in out.collect()) == [2, 3, 4]
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("three")

@@ -80,3 +80,21 @@ def test_edge_cases(spark):
     assert all(r.base_failed for r in got if r.doc_id in (3, 4, 5, 8))
     assert q.judge(empty(spark), labels).count() == 0
     assert q.keep_good(docs, labels.limit(0)).count() == sum(not r.base_failed for r in got)
+
+
+def test_sql_where_cutoffs_bind(spark):
+    """The query against its own SQL on the largest given table, where cutoffs are certified and reject documents."""
+    import duckdb
+
+    from docloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    found = con.execute(queries.oracle_sql()["op7_quality_rules"])
+    columns = [c[0] for c in found.description]
+    want = sorted(tuple(r) for r in found.fetchall())
+    assert sorted(tuple(r) for r in queries.op7_quality_rules(spark, sf).select(*columns).collect()) == want
+    rows = [dict(zip(columns, r, strict=True)) for r in want]
+    assert sum(not r["kept"] and not r["base_failed"] for r in rows) > 20

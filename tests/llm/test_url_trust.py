@@ -105,3 +105,33 @@ def test_scores_equal_converged_power_iteration_or_fail(spark):
     assert want["n25"] > 0.001 and all(got[n] == pytest.approx(s, abs=1e-8) for n, s in want.items())
     with pytest.raises(RuntimeError, match="settle"):
         u.propagate(edges, seeds, rounds=20)
+
+
+def test_sql_where_hosts_link(spark, tmp_path):
+    """The query against its own SQL on pages whose hosts link: the verdicts of unruled hosts come through propagation."""
+    import random
+
+    import duckdb
+
+    from docloom.llm import queries
+
+    rng = random.Random(7)
+    names = [f"a{i}.net" for i in range(40)] + [f"b{i}.info" for i in range(40)]
+    good, bad = [f"g{i}.org" for i in range(8)], [f"s{i}.com" for i in range(8)]
+    rows = []
+    for k, host in enumerate([*names, *good, *bad] * 3):
+        path = "/de/x" if host in bad else "/about"
+        near = good + names[:40] if host in good or host in names[:40] else bad + names[40:]
+        links = "".join(f'<a href="https://{rng.choice(near)}/p{i}">x</a>' for i in range(rng.randrange(0, 6)))
+        rows.append((k, f"https://{host}{path}", links))
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op10_url_trust(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = con.execute(queries.oracle_sql()["op10_url_trust"])
+    columns = [c[0] for c in found.description]
+    want = sorted(tuple(r) for r in found.fetchall())
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == want
+    unruled = {(dict(zip(columns, r, strict=True))["host"], dict(zip(columns, r, strict=True))["verdict"]) for r in want if dict(zip(columns, r, strict=True))["rule"] is None}
+    # seeds alone would allow them all
+    assert sum(v == "block" for _, v in unruled) > 10 and sum(v == "allow" for _, v in unruled) > 10
