@@ -7,6 +7,8 @@ match_type, rank), best first.  Sentences are exploded once; a sentence that a d
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -283,6 +285,52 @@ def neural(docs: DataFrame, keys: list[str], text: str, scorer: Callable, thresh
     return out.select(*keys, F.col("sentence").alias("text"), F.col("sentence").alias("matched_text"), "score", relative(F.col("pos"), F.col("n")).alias("position"), F.char_length("sentence").alias("length"), F.lit("neural").alias("match_type"), F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"))
 
 
+# -- one form for all extractors --
+
+
+@runtime_checkable
+class Extractor(Protocol):
+    """What evaluations and stages run: documents to a long table of hits."""
+
+    def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Sparse:
+    rules: R.SparseRules = R.LEGAL_SPARSE
+
+    def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return sparse(docs, keys, text, self.rules)
+
+
+@dataclass(frozen=True)
+class Basic:
+    rules: R.BasicRules = R.LEGAL_BASIC
+    examples: DataFrame | None = None
+
+    def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return basic(docs, keys, text, self.rules, self.examples)
+
+
+@dataclass(frozen=True)
+class Ngram:
+    bank: DataFrame
+    rules: R.NgramRules = R.LEGAL_NGRAM
+
+    def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return ngram(docs, keys, text, self.bank, self.rules)
+
+
+@dataclass(frozen=True)
+class Neural:
+    scorer: Callable
+    threshold: float = 0.5
+    strict: bool = False
+
+    def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return neural(docs, keys, text, self.scorer, self.threshold, self.strict)
+
+
 # -- sections --
 
 

@@ -4,11 +4,14 @@ It stands where a fine-tuned language model would: extract.neural takes any scor
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.aggregates import class_weights
@@ -34,3 +37,42 @@ def probabilities(df: DataFrame, model: PipelineModel, text: str = "text") -> Da
     rows = df.withColumn("_given", F.col(text)).withColumn("text", F.coalesce(F.col(text), F.lit("")))
     kept = [F.col("_given").alias(c) if c == text else F.col(c) for c in df.columns if c != "prob"]
     return model.transform(rows).select(*kept, vector_to_array("probability")[1].alias("prob"))
+
+
+def token_ids(text: Column, tokenizer: str, most: int = 512) -> Column:
+    """The first `most` ids of each text by a tokenizer file that every executor can read; null text has none."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(tokenizer)
+        t.enable_truncation(most)
+        for s in batches:
+            yield pd.Series([e.ids for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], index=s.index)
+
+    return run(text)
+
+
+def tokenised(tokenizer: str, load: Callable[[], Callable[[list[list[int]]], list[float]]], most: int = 512, batch: int = 32) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """A scorer for extract.neural: sentences go through the tokenizer, cut at `most` ids, and to the model `batch` at a time.
+
+    load: makes the model, once a task: lists of ids to the probabilities of class 1."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        t, model = Tokenizer.from_file(tokenizer), load()
+        t.enable_truncation(most)
+        for s in batches:
+            ids = [e.ids for e in t.encode_batch(s.tolist(), add_special_tokens=False)]
+            # texts of like length share a batch, so that padding is small
+            order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
+            out = [0.0] * len(ids)
+            for k in range(0, len(order), batch):
+                part = order[k : k + batch]
+                for i, p in zip(part, model([ids[i] for i in part]), strict=True):
+                    out[i] = float(p)
+            yield pd.Series(out)
+
+    return run

@@ -79,29 +79,28 @@ def classify(line: str, rules: R.HeaderRules = R.LEGAL_HEADERS) -> tuple[str, st
     return None
 
 
+def _readings(lines: list[str], i: int, rules: R.HeaderRules) -> Iterator[tuple[int, str]]:
+    """(lines taken, text): the ways to read a header that begins at line i, the preferred first.
+
+    A line with a word of `rules.ahead` may go on over one or two lines that are short or begin with `[`, unless the text's last
+    two (or three) lines would be taken."""
+    brief = [x.startswith("[") or len(x) < 20 for x in lines[i + 1 : i + 3]]
+    reach = 0
+    if any(a in lines[i].upper() for a in rules.ahead):
+        reach = sum(all(brief[:k]) and i + k < len(lines) - 1 for k in (1, 2))
+    return ((n, "\n".join(lines[i : i + n])) for n in (*range(2, reach + 2), 1))
+
+
 def find_headers(text: str, rules: R.HeaderRules = R.LEGAL_HEADERS) -> list[dict]:
-    """The header lines of a text.  A line with a word of `rules.ahead` is tried with the next one or two lines first if
-    these are short or begin with `[`; a hit skips the lines it took."""
-    lines = [x.strip() for x in text.split("\n")]
-    brief = lambda k: lines[k].startswith("[") or len(lines[k]) < 20
-    out, i = [], 0
-    while i < len(lines):
-        line, step, hit = lines[i], 1, None
-        upper = line.upper()
-        if line and any(g in upper for g in rules.gate):
-            tries = []
-            if i < len(lines) - 2 and any(a in upper for a in rules.ahead) and brief(i + 1):
-                tries.append(2)
-                if i < len(lines) - 3 and brief(i + 2):
-                    tries.append(3)
-            for n in [*tries, 1]:
-                joined = "\n".join(lines[i : i + n])
-                hit = classify(joined, rules)
-                if hit:
-                    out.append({"line_number": i, "text": joined, "normalized_text": header_text(joined), "category": hit[0], "term": hit[1]})
-                    step = n
-                    break
-        i += step
+    """The header lines of a text: of each line that isn't part of a header before it, the first reading that is a header."""
+    lines, free, out = [x.strip() for x in text.split("\n")], 0, []
+    gated = (i for i, x in enumerate(lines) if x and any(g in x.upper() for g in rules.gate))
+    for i in gated:
+        found = next(((n, t, hit) for n, t in _readings(lines, i, rules) if (hit := classify(t, rules))), None) if i >= free else None
+        if found:
+            n, joined, (category, term) = found
+            free = i + n
+            out.append({"line_number": i, "text": joined, "normalized_text": header_text(joined), "category": category, "term": term})
     return out
 
 

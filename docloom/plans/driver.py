@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.operators import aggregates, datasets, dedup, enrich, evaluate, extract, keys, sections
+from docloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of the documents, for work that costs more than moving them."""
+    return files.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # Packs that the generated prose has something for.
 PACK = R.BasicRules(
     classes=(
@@ -299,7 +305,7 @@ def column_profile(spark, d):
 
 
 def _each(column) -> Query:
-    return lambda spark, d: table(spark, d, "documents").select("doc_id", F.md5(column(F.col("text"))).alias("h"))
+    return lambda spark, d: texts(spark, d).select("doc_id", F.md5(column(F.col("text"))).alias("h"))
 
 
 _KEEP = _sub(_sub(_sub("t", rf"({_W})''({_W})", r"\1§\2"), rf"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\t-\r \x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}§]", " "), "§", "''")
@@ -432,7 +438,7 @@ _CLEANED_CLAUSE = f"trim({_strip(_sub(_sub(_replaced(f'lower({_CLEANED_CLAUSE})'
   WHERE k IN ({", ".join(map(repr, SPARSE_PACK.phrases))}) OR ((starts_with(k, 'released') OR starts_with(k, 'licensed')) AND contains(k, 'license'))
     OR regexp_matches(k, '(?i)version{_S}+[0-9]+|(^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])of{_S}+the{_S}+{_W}')""")
 def sparse_extraction(spark, d):
-    out = extract.sparse(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", SPARSE_PACK)
+    out = extract.sparse(texts(spark, d), ["doc_id"], "text", SPARSE_PACK)
     return out.select("doc_id", "text", "rank", F.round("position", 9).alias("position"))
 
 
@@ -476,7 +482,7 @@ _GRAM_TEXT = lambda t: _bare(_replaced(f"lower({t})", R.NGRAM_REWRITES))  # noqa
   SELECT doc_id, t AS text, matched AS matched_text, round(CAST(score AS DOUBLE), 6) AS score, kind AS match_type, CAST(place AS INT) AS rank FROM z WHERE place <= 6""")
 def ngram_extraction(spark, d):
     """Benchmark sentences found again in documents."""
-    out = extract.ngram(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", _bank(spark, d), NGRAM_PACK)
+    out = extract.ngram(texts(spark, d), ["doc_id"], "text", _bank(spark, d), NGRAM_PACK)
     return out.select("doc_id", "text", "matched_text", F.round("score", 6).alias("score"), "match_type", "rank")
 
 
@@ -542,7 +548,7 @@ _BRIEF = "starts_with({0}, '[') OR length({0}) < 20"
     CASE WHEN d.a IS NULL THEN d.b WHEN d.ac < 0.7 AND d.bc > d.ac THEN d.b ELSE d.a END AS decision_outcome
   FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN d USING (doc_id)""")
 def document_sections(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
+    docs = texts(spark, d).withColumnRenamed("text", "full_text")
     out = sections.preprocess(docs, "full_text", SECTION_PACK, OUTCOME_PACK, ("license_headers", "short_headers"))
     contents = F.array_join(F.transform("sections", lambda s: F.concat_ws("\x01", s["category"], s["header"], s["content"])), "\x02")
     return out.select("doc_id", F.size("headers").cast("bigint").alias("headers"), F.size("sections").cast("bigint").alias("sections"), F.md5("cleaned_text").alias("cleaned"), F.md5(contents).alias("contents"), "has_license_headers", "decision_outcome")
@@ -561,7 +567,7 @@ _AFTER = "array_to_string(s[{0} + 1:{1} + 1], ' ')"
     CASE WHEN first IS NOT NULL THEN {_strip(f"{_strip('substr(line, cut)')} || ' ' || {_strip(_AFTER.format('(first + 1)', '(first + 7)'))}")} END AS suspected_first_case_paragraph,
     CASE WHEN length(one) >= 100 THEN one WHEN length(two) >= 100 THEN two END AS suspected_last_case_paragraph FROM b""")
 def marker_paragraphs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", sections.marker_paragraphs(F.col("text"), "the", least=100).alias("m"))
+    docs = texts(spark, d).select("doc_id", sections.marker_paragraphs(F.col("text"), "the", least=100).alias("m"))
     return docs.select("doc_id", "m.*")
 
 

@@ -13,7 +13,7 @@ from docloom.functions import text as T
 from docloom.operators import aggregates, datasets, enrich, evaluate, extract, keys, sections
 from docloom.plans import driver
 from docloom.plans.driver import _S, _SCORED, _W, _bare, _replaced, _strip, _sub, _words, query, table
-from docloom.sources import files, sinks
+from docloom.sources import files, sheets, sinks
 
 
 def scratch(spark: SparkSession) -> str:
@@ -77,6 +77,11 @@ def nested_csv(spark, d):
     return out.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("n").cast("bigint").alias("n"), F.md5("turns").alias("turns"))
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def sheet_round_trip(spark, d):
+    return sheets.read_sheets(spark, sheets.write_sheet(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), f"{scratch(spark)}/s.xlsx"))
+
+
 @query("SELECT source FROM documents")
 def single_column(spark, d):
     return files.read_column(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs"), "source")
@@ -284,7 +289,7 @@ _HEADER_TEXT = f"regexp_replace(upper({_strip(_sub('''replace(translate(text, ch
 def text_forms(spark, d):
     t = F.col("text")
     forms = {"grams": T.clean_for_grams(t), "clause": T.clean_sentence(t, driver.SPARSE_PACK.rewrites), "example": T.clean_example(t), "ids": T.remove_ids(t), "header": T.normalize_header(t)}
-    return table(spark, d, "documents").select("doc_id", *[F.md5(c).alias(n) for n, c in forms.items()], T.has_keyword(t, ("license", "of the")).alias("keyword"))
+    return driver.texts(spark, d).select("doc_id", *[F.md5(c).alias(n) for n, c in forms.items()], T.has_keyword(t, ("license", "of the")).alias("keyword"))
 
 
 _LISTED = [_bare(_sub(_sub(f"lower({c})", r"\[|\]|''''|``", " "), rf"({_W})[.]({_W})", r"\1. \2")) for c in ("lang", "source")]

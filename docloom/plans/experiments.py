@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -47,3 +48,12 @@ def run_experiment(experiment: Experiment, validation: DataFrame, expected: Data
 def evaluate_labels(examples: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """Confusion of "has any candidate" against the label of each example (key, text, label)."""
     return evaluate.rounded(evaluate.confusion(evaluate.predictions_from(examples, candidates(examples), key), []))
+
+
+def performance(extractor: Extractor, docs: DataFrame, key: str, path: str) -> dict:
+    """Writes what an extractor finds and says how many cases there were and the milliseconds they took, in all and on average."""
+    cases = docs.select(key).distinct().count()
+    began = time.perf_counter()
+    extractor(docs).write.mode("overwrite").parquet(path)
+    total = 1000 * (time.perf_counter() - began)
+    return {"cases": cases, "total_ms": total, "average_ms": total / cases if cases else 0.0}

@@ -30,6 +30,13 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores where a scan gives fewer than two partitions a core, as a small file of one row group does;
+    larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def sniff_delimiter(spark: SparkSession, path: str, candidates: tuple[str, ...] = DELIMITERS) -> str:
     """The first delimiter that cuts the header into more than one column; the first candidate if none does."""
     row = spark.read.text(path).limit(1).collect()
@@ -79,19 +86,49 @@ def read_column(spark: SparkSession, path: str, column: str, delimiter: str | No
 
 
 def tar_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """(archive, member, content) of the members whose name ends so, of all archives at the path (gz, xz, bz2 or plain)."""
+    """(archive, member, content) of the members whose name ends so, of all archives at the path (gz, xz, bz2 or plain).
+
+    An archive is streamed from its place, member by member, so that only a member has to fit a row.  Where the Python workers
+    can't open the place (a store that only Spark reads), the archive comes as one row, which holds up to 2 GB."""
+    found = spark.read.format("binaryFile").load(path)
+
+    def members(name: str, stream) -> Iterator[pa.RecordBatch]:
+        with tarfile.open(fileobj=stream, mode="r|*") as tar:
+            for m in tar:
+                if m.isfile() and m.name.endswith(suffix):
+                    data = tar.extractfile(m).read()
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.name]), pa.array([data], pa.binary())], names=["archive", "member", "content"])
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where, place = fs.FileSystem.from_uri(name)
+                with where.open_input_stream(place, compression=None) as stream:
+                    yield from members(name, stream)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content.as_buffer()), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(suffix):
-                            data = tar.extractfile(m).read()
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.name]), pa.array([data], pa.binary())], names=["archive", "member", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, content binary")
+                yield from members(name, io.BytesIO(content.as_buffer()))
+
+    schema = "archive string, member string, content binary"
+    first = found.select("path").limit(1).collect()
+    if first and _opens(first[0][0]):
+        return found.select("path").mapInArrow(streamed, schema)
+    return found.select("path", "content").mapInArrow(whole, schema)
+
+
+def _opens(uri: str) -> bool:
+    """Whether Python can open the file itself."""
+    from pyarrow import fs
+
+    try:
+        where, place = fs.FileSystem.from_uri(uri)
+        return where.get_file_info(place).type == fs.FileType.File
+    except (OSError, ValueError, NotImplementedError):
+        return False
 
 
 def read_archived_csv(spark: SparkSession, path: str, delimiter: str, schema: str) -> DataFrame:
