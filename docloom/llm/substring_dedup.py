@@ -46,10 +46,10 @@ SPAN = LENGTH - GRAM + 1
 PART = 1 << 21
 #: Bytes of text in which equal segments are collapsed before they are sent, and rows that are cut or ended at once.
 COLLAPSED, ROWS = 1 << 23, 500
-#: Segments of one anchor in a batch, and in all, beyond which it is hot; a shard of the second many is some 10 MB.
-HOT_BATCH, HOT = 32, 1 << 17
-#: Bytes of segments a shard should hold, and shards at most.
-SHARD_BYTES, MAX_SHARDS = 1 << 22, 20_000
+#: Bytes of segments a shard should hold, and shards at most; beyond that they grow, in files.
+SHARD_BYTES, MAX_SHARDS = 1 << 22, 100_000
+#: Segments of one anchor in a batch, and in all, beyond which it is hot: the latter are more than a shard holds.
+HOT_BATCH, HOT = 32, SHARD_BYTES // (2 * LENGTH - GRAM)
 #: Segments whose strings are listed at once.
 SEGMENTS_AT_ONCE = 1 << 13
 OCCURRENCE, REMOVED, WANTED, SPEAKS = 0, 1, 2, 3
