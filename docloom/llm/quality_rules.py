@@ -9,7 +9,7 @@ sequence needs no correction along itself) and the level is split over all rules
 with probability 1 - `level`, no rule in any stratum rejects more than `risk` of good documents.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null stratum is a stratum of its own;
-a stratum without enough labels gets no cutoffs and only the base rule holds there; several labels of one
+names starting with `_qr_` are reserved; a stratum without enough labels gets no cutoffs and only the base rule holds there; several labels of one
 document count as good only if all are 1; repeated rows are judged alike; empty tables give empty tables.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WS_CHARS, let, materialize, semi_checked, text_or_empty, words_of
+from docloom.llm.common import BROADCAST_ROWS, WS_CHARS, let, materialize, semi_checked, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Candidate cutoffs of each rule, laxest first; a text is rejected above its cutoff.
@@ -37,7 +37,7 @@ MIN_WORDS = 50
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window occurring at least twice in the text.
 
-    Windows are named by their XXH64.  Only texts that repeat a window sort (window, place) pairs; the places of
+    Windows are named by their XXH64; two different ones of a text share a name with a chance of n^2 / 2^65.  Only texts that repeat a window sort (window, place) pairs; the places of
     repeated windows, in order, then cover min(3, gap to the next) words each.
     """
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
@@ -139,15 +139,27 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0
     return {r[stratum]: certified({rule: [r[f"{rule}_{i}"] for i in range(len(c))] for rule, c in CANDIDATES.items()}, r["_qr_n"], risk, each) for r in rows}
 
 
-def rejected(cutoffs: dict, stratum: str, of: Callable[[str], Column] = F.col) -> Column:
-    """True where a certified cutoff of the row's stratum is exceeded."""
+def _stratum(column: str) -> Column:
+    """A stratum as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def with_cutoffs(docs: DataFrame, cutoffs: dict, stratum: str) -> DataFrame:
+    """`docs` plus _qr_cutoffs, the certified cutoffs of the row's stratum (null where there is none).
+
+    One row a stratum with any; broadcast up to a tenth of BROADCAST_ROWS."""
+    rows = [(f"={k}" if k is not None else "", *rules.values()) for k, rules in cutoffs.items() if any(c is not None for c in rules.values())]
+    table = docs.sparkSession.createDataFrame(rows, "_qr_stratum string, " + ", ".join(f"{r} double" for r in CANDIDATES))
+    table = table.select("_qr_stratum", F.struct(*CANDIDATES).alias("_qr_cutoffs"))
+    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS // 10 else table
+    return docs.withColumn("_qr_stratum", _stratum(stratum)).join(table, "_qr_stratum", "left").drop("_qr_stratum")
+
+
+def rejected(of: Callable[[str], Column] = F.col) -> Column:
+    """True where a certified cutoff in _qr_cutoffs is exceeded."""
     out = F.lit(False)
-    for value, rules in sorted(cutoffs.items(), key=lambda x: (x[0] is None, str(x[0]))):
-        over = F.lit(False)
-        for rule, m in measures(of).items():
-            if rules[rule] is not None:
-                over = over | (m > rules[rule])
-        out = F.when(F.col(stratum).eqNullSafe(F.lit(value)), over).otherwise(out)
+    for rule, m in measures(of).items():
+        out = out | F.coalesce(m > F.col(f"_qr_cutoffs.{rule}"), F.lit(False))
     return out
 
 
@@ -155,14 +167,14 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str =
     """doc_id, the statistics, base_failed and kept for every row of `docs`."""
     stats = materialize(text_statistics(docs, text, ("doc_id", stratum)), "statistics")
     cutoffs = calibrate(stats, labels, stratum, risk, level)
-    judged = stats.withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs, stratum)).drop(stratum)
+    judged = with_cutoffs(stats, cutoffs, stratum).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected()).drop(stratum, "_qr_cutoffs")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", risk: float = 0.0125, level: float = 0.05) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they were.
 
-    The cutoffs are constants, so the verdict is computed beside each row and nothing is joined.
+    The cutoffs of its stratum come to each row, so the verdict is computed beside it and no text is moved.
     """
     labelled = materialize(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality"), "labelled")
     held = semi_checked(docs, labelled.select("doc_id").distinct(), "doc_id")
@@ -170,5 +182,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
     cutoffs = calibrate(stats, labelled, stratum, risk, level)
     t = text_or_empty(text)
     # one expression, so that the filter measures a text once however often it names a statistic
-    good = let(_measured(t, words_of(t)), lambda m: ~base_failed(m.getField) & ~rejected(cutoffs, stratum, m.getField))
-    return docs.where(good)
+    good = let(_measured(t, words_of(t)), lambda m: ~base_failed(m.getField) & ~rejected(m.getField))
+    return with_cutoffs(docs, cutoffs, stratum).where(good).select(*docs.columns)

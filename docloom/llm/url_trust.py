@@ -9,7 +9,7 @@ all ruled pages, so their masses compare; a host is blocked when its distrust is
 Defined cases: a null URL or one without `://` has empty host and path, no rule, and the verdict of the empty host, which
 takes no part in links: allow; null HTML has no links; links to the own host don't count; rules of equal length
 prefer the longer host, then block; repeated rows are separate pages; an empty table gives an empty table; extra columns
-pass through unless named like the results.
+pass through unless named like the results (names starting with `_ut_` are reserved).
 """
 
 from __future__ import annotations
