@@ -39,7 +39,13 @@ BUCKETS, DIMS, BITS = 256, 4, 12
 SEED = 20
 #: What only the defining tokenizer takes: code points on which the fast one wasn't compared with it, the special
 #: token, and long runs of white space, over which the fast one's pattern recurses once a character.
-EXACT_ONLY = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>|\s{4096}")
+UNUSUAL, SPECIAL = re.compile("[^\x00-ɏ]"), "<|endoftext|>"
+RUN = 4096
+LONG_RUN = re.compile(rf"\s{{{RUN}}}")
+
+
+def _exact_only(text: str) -> bool:
+    return bool(UNUSUAL.search(text)) or SPECIAL in text or len(text) >= RUN and bool(LONG_RUN.search(text))
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -58,11 +64,11 @@ def _encoders():
 def token_ids(text: str | None) -> np.ndarray:
     """uint16 ids of the text, then the end id.
 
-    Both encoders hold one vocabulary and pattern; the fast one takes all texts without EXACT_ONLY.
+    Both encoders hold one vocabulary and pattern; see _exact_only for what the fast one doesn't take.
     """
     fast, exact = _encoders()
     t = text or ""
-    if EXACT_ONLY.search(t):
+    if _exact_only(t):
         ids = exact.encode(t, add_special_tokens=False).ids
     else:
         ids = fast(t)
