@@ -61,10 +61,37 @@ def test_stages_take_empty_and_odd_documents(spark, sf, tmp_path):
     from tests.llm.data import documents
 
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (documents(spark).select(columns).limit(0), documents(spark).select(columns)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = materialize(stage(spark, docs, sf), "odd-stage")
-        docs.count()
+    docs = documents(spark).select(columns).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "odd-stage")
+    assert docs.count() == 0
+    docs, seen = documents(spark).select(columns), {}
+    for name, stage in corpus_pipeline.STAGES:
+        given = docs.collect()
+        docs = materialize(stage(spark, docs, sf), "odd-stage")
+        seen[name] = docs.collect()
+        if name == "quality rules":
+            # three rows of one text of 63 words in repeated windows, and the long one, whose windows repeat in nearly all words
+            want = [r for r in given if (b := test_quality_rules.brute(r.text))[0] >= 50 and 100 * b[4] <= 50 * b[0]]
+            assert sorted(map(key, seen[name])) == sorted(map(key, want))
+    assert all(p.doc_id in {r.doc_id for r in seen["mixing"]} for p in seen["packing"])
+
+
+def test_each_stage_takes_odd_documents_by_itself(spark, sf):
+    from tests.llm.data import documents
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = documents(spark).select(columns)
+    given = docs.collect()
+    got = {name: stage(spark, docs, sf).collect() for name, stage in corpus_pipeline.STAGES}
+    assert sorted((r.doc_id or -1, r.text or "") for r in got["line dedup"]) == sorted((r.doc_id or -1, r.text or "") for r in given)
+    # equal texts, blank texts and rows of one id are one document each; a row without an id stays
+    near = sorted((r.doc_id for r in got["simhash near-dedup"]), key=str)
+    assert near == sorted([1, 3, 6, 7, 8, 9, 10, None], key=str)
+    words = lambda rows: Counter({s: sum(len(WORD.findall(r.text or "")) for r in rows if r.source == s) for s in {r.source for r in rows}})
+    aims, taken = mixing.targets(words(given)), words(got["mixing"])
+    assert all(abs(taken[s] - a) <= 1 for s, a in aims.items())
+    assert {p.doc_id for p in got["packing"]} == {r.doc_id for r in given}
 
 
 def test_tables_made_on_the_way_are_deleted(spark):

@@ -123,3 +123,14 @@ def test_hot_anchors_are_split_exactly(spark):
     for hot in (2, 10_000):
         got = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(df, hot).collect()]
         assert set(got) == want and len(want) > 500
+
+
+def test_a_very_long_text_is_counted_whole():
+    """More shingles than are counted at once."""
+    words = [f"w{i * i % 5_021}" for i in range(150_000)]
+    counts = [0] * 64
+    for i in range(len(words) - 2):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    assert simhash.fingerprint(" ".join(words)) == sum(1 << b for b in range(64) if 2 * counts[b] > len(words) - 2)

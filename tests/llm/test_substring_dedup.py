@@ -132,3 +132,13 @@ def test_shards_in_files_equal_brute_force(spark, monkeypatch):
         if least[w] < k:
             want |= {(k, x) for x in range(s, s + N)}
     assert gone == want and want
+
+
+def test_very_long_texts(spark):
+    """Texts of several parts that share a passage, and one that repeats a string throughout."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    shared, hot = prose(3000), "the same string of more than fifty bytes, again and again. "
+    rows = [(1, prose(40_000) + shared), (2, shared + prose(40_000)), (3, hot * 4000), (4, prose(50) + hot * 3), (5, prose(100) + hot * 2 + shared[:100])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert digest(d.remove_repeats(docs, part=1 << 16)) == brute(rows)
