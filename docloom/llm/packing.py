@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,15 +50,22 @@ PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequenc
 
 
 @lru_cache(maxsize=1)
-def _encoders():
+def _fast() -> Callable[[str], list[int]]:
     import public_tokenizers as P
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary, Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    return tiktoken.Encoding("bytes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@lru_cache(maxsize=1)
+def _exact():
+    """The defining tokenizer; only loaded where a text needs it."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def token_ids(text: str | None) -> np.ndarray:
@@ -66,12 +73,8 @@ def token_ids(text: str | None) -> np.ndarray:
 
     Both encoders hold one vocabulary and pattern; see _exact_only for what the fast one doesn't take.
     """
-    fast, exact = _encoders()
     t = text or ""
-    if _exact_only(t):
-        ids = exact.encode(t, add_special_tokens=False).ids
-    else:
-        ids = fast(t)
+    ids = _exact().encode(t, add_special_tokens=False).ids if _exact_only(t) else _fast()(t)
     ids.append(END_ID)
     return np.array(ids, np.uint16)
 
