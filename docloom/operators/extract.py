@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.functions import text as T
+from docloom.sources.sinks import stored
 
 FIELDS = ("text", "matched_text", "score", "position", "length", "match_type")
 _EXTRACTION = "struct<text:string,matched_text:string,score:double,position:double,length:int,match_type:string>"
@@ -203,13 +204,19 @@ def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGA
     """(cleaned, matched_text, match): the best bank sentence of each distinct cleaned sentence of three words or more.
 
     An equal one scores 1; else a substring match of at least the threshold; else the share of the sentence's grams
-    that the bank sentence has, if it reaches the threshold.  Ties go to the first text in order."""
-    rows = cleaned.select("cleaned").distinct().where(F.size(T.words(F.col("cleaned"))) >= 3)
+    that the bank sentence has, if it reaches the threshold.  Ties go to the first text in order.
+
+    Each of the three ways reads the sentences, so they are written once.  A gram that is shared holds pairs of words that are in
+    the bank, and each pair begins at most one gram of each size: a sentence with too few such pairs isn't cut further."""
+    rows = stored(cleaned.select("cleaned").distinct().where(F.size(T.words(F.col("cleaned"))) >= 3))
     small = bank.limit(SMALL_BANK + 1).count() <= SMALL_BANK
     hint = F.broadcast if small else (lambda df: df)
     equal = rows.join(bank, rows.cleaned == bank.text).select("cleaned", "text", F.lit(1.0).alias("match"), F.lit(0).alias("way"))
     sub = substring_matches(rows, bank, small=small).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))
-    grams = rows.select("cleaned", T.ngrams(F.col("cleaned"), rules.min_gram, rules.max_gram).alias("_g"))
+    low, sizes = rules.min_gram, rules.max_gram - rules.min_gram + 1
+    pairs = bank.select(F.explode(F.array_distinct(T.ngrams(F.col("text"), low, low))).alias("gram")).distinct()
+    some = rows.select("cleaned", F.explode(T.ngrams(F.col("cleaned"), low, low)).alias("gram")).join(hint(pairs), "gram").groupBy("cleaned").agg(F.count(F.lit(1)).alias("_b"))
+    grams = some.select("cleaned", "_b", T.ngrams(F.col("cleaned"), low, rules.max_gram).alias("_g")).where(F.col("_b") * sizes >= rules.threshold * F.size("_g"))
     probes = grams.select("cleaned", F.size("_g").alias("total"), F.explode("_g").alias("gram"))
     shared = probes.join(hint(gram_index(bank, rules)), "gram").groupBy("cleaned", "text", "total").agg(F.count(F.lit(1)).alias("c"))
     shared = shared.select("cleaned", "text", (F.col("c") / F.col("total")).alias("match"), F.lit(2).alias("way"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +11,7 @@ from docloom.operators import aggregates, datasets, enrich, evaluate, extract, k
 from docloom.plans import driver
 from docloom.plans.driver import _S, _SCORED, _W, _bare, _replaced, _strip, _sub, _words, query, table
 from docloom.sources import files, sheets, sinks
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder of its own in the one that the cluster's machines share; a local session without one gets a temporary folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/docloom/io-{uuid.uuid4().hex}"
+from docloom.sources.sinks import scratch
 
 
 _DOCS = "SELECT doc_id, lang, source, n_chars, md5(text) AS h FROM documents"
