@@ -712,12 +712,56 @@ def _silver(spark, d):
     return datasets.silver_positives(rows, "doc_id", keywords=("of", "the", "la"))
 
 
-@query(None)
+def re2(pattern: str) -> str:
+    """A pattern with Unicode classes in RE2's words, quotes doubled for SQL."""
+    words, blanks, digits = r"\p{L}\p{M}\p{Nd}\p{Pc}", r"\t-\r \x{85}\x{A0}\x{2028}\x{2029}", r"\p{Nd}"
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two in (r"\w", r"\s", r"\d"):
+            named = {r"\w": words, r"\s": blanks, r"\d": digits}[two]
+            out, i = out + (named if inside else f"[{named}]"), i + 2
+        elif two[0] == "\\":
+            out, i = out + two, i + 2
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out, i = out + two[0], i + 1
+    return out.replace("'", "''")
+
+
+def chained(t: str, pairs) -> str:
+    for pattern, to in pairs:
+        t = f"regexp_replace({t}, '(?i){re2(pattern)}', '{to}', 'g')"
+    return t
+
+
+def _numbers_out(t: str) -> str:
+    """Counterpart of the look-behind for numbers: digits beside a letter are set aside, the others go, and they come back."""
+    for k in range(10):
+        t = _sub(_sub(t, f"([a-zA-Z]){k}", f"\\1{chr(0xE000 + k)}"), f"{k}([a-zA-Z])", f"{chr(0xE000 + k)}\\1")
+    return f"translate({_sub(t, re2(chr(92) + 'd+(?:' + chr(92) + 's*-' + chr(92) + 's*' + chr(92) + 'd+)*'), '')}, '{''.join(chr(0xE000 + k) for k in range(10))}', '0123456789')"
+
+
+_TRAINED = _sub(chained(r"replace(replace(t, '\n', ' '), '\r', ' ')", ((p, "") for p in R.DOCUMENT_IDS)), f"{_S}+", " ")
+_TRAINED = _sub(_sub(_TRAINED, re2(r"\[\d+\]"), ""), re2(rf"\d{{1,2}}\s+(?:{R.MONTHS})\s+\d{{4}}"), "")
+_PARTS = ("t1", _sub(_sub("t0", r"\[.*?\]", ""), r"\(.*?\)", "")), ("t2", _sub(_sub("t1", re2(r"^[-\\/\s]+"), ""), re2(r"[-\\/\s]+$"), "")), ("t3", f"rtrim({_sub(_sub('t2', _S + '+[.]', '.'), '[.]' + _S + '*', '. ')}, '. ')"), ("t4", _strip("CASE WHEN t3 = '' THEN t3 ELSE t3 || '.' END"))
+_JUDGED = f"""{_SCORED}, k0 AS (SELECT doc_id, rank AS place, rank = 1 AS sure, sentence AS t FROM r WHERE (best >= 10 AND score >= greatest(5, best * 0.7) AND rank <= 5) OR (best < 10 AND rank <= 3)),
+  k1 AS (SELECT doc_id, place, sure, {_TRAINED} AS n FROM k0), k2 AS (SELECT doc_id, place, sure, {_numbers_out("n")} AS t0 FROM k1)"""
+for _i, (_name, _expression) in enumerate(_PARTS, 3):
+    _JUDGED += f",\n  k{_i} AS (SELECT doc_id, place, sure, {_expression} AS {_name} FROM k{_i - 1})"
+_JUDGED += f""",
+  k7 AS (SELECT doc_id, place, sure, CASE WHEN length(t4) < 5 OR regexp_full_match(t4, '{re2(r"[" + chr(92) + "d" + chr(92) + "s" + chr(92) + "-" + chr(92) * 2 + "/" + chr(92) + ".]+")}') THEN '' ELSE t4 END AS cleaned FROM k6),
+  k8 AS (SELECT *, CASE WHEN length(cleaned) > 200 THEN 'too_long' WHEN NOT sure AND NOT regexp_matches(lower(cleaned), 'of|the|la') THEN 'no_keyword' WHEN cleaned = '' THEN 'empty' ELSE 'accepted' END AS s0 FROM k7),
+  judged AS (SELECT *, CASE WHEN s0 = 'accepted' AND row_number() OVER (PARTITION BY lower(trim(cleaned)), s0 ORDER BY NOT sure, doc_id, place) > 1 THEN 'duplicate' ELSE s0 END AS status FROM k8)"""
+
+
+@query(f"WITH {_JUDGED} SELECT cleaned AS text, 1 AS label FROM judged WHERE status = 'accepted'")
 def silver_set(spark, d):
     return datasets.silver_set(_silver(spark, d))
 
 
-@query(None)
+@query(f"""WITH {_JUDGED} SELECT CASE WHEN sure THEN 'sparse_explicit_extraction' ELSE 'reasons_basic_extraction' END AS "column",
+  {", ".join(f"count(*) FILTER (status = '{n}') AS {n}" for n in ("accepted", "duplicate", "empty", "too_long", "no_keyword"))} FROM judged GROUP BY sure""")
 def silver_statistics(spark, d):
     return datasets.silver_statistics(_silver(spark, d))
 

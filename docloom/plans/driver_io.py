@@ -9,7 +9,7 @@ from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.operators import aggregates, datasets, enrich, evaluate, extract, keys, sections
 from docloom.plans import driver
-from docloom.plans.driver import _S, _SCORED, _W, _bare, _replaced, _strip, _sub, _words, query, table
+from docloom.plans.driver import _S, _SCORED, _W, _bare, _strip, _sub, _words, chained, query, table
 from docloom.sources import files, sheets, sinks
 from docloom.sources.sinks import scratch
 
@@ -242,37 +242,14 @@ def extractor_votes(spark, d):
 # -- text functions --
 
 
-def re2(pattern: str) -> str:
-    """A pattern with Unicode classes in RE2's words, quotes doubled for SQL."""
-    words, blanks, digits = r"\p{L}\p{M}\p{Nd}\p{Pc}", r"\t-\r \x{85}\x{A0}\x{2028}\x{2029}", r"\p{Nd}"
-    out, inside, i = "", False, 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two in (r"\w", r"\s", r"\d"):
-            named = {r"\w": words, r"\s": blanks, r"\d": digits}[two]
-            out, i = out + (named if inside else f"[{named}]"), i + 2
-        elif two[0] == "\\":
-            out, i = out + two, i + 2
-        else:
-            inside = two[0] == "[" or inside and two[0] != "]"
-            out, i = out + two[0], i + 1
-    return out.replace("'", "''")
-
-
-def _chained(t: str, pairs) -> str:
-    for pattern, to in pairs:
-        t = f"regexp_replace({t}, '(?i){re2(pattern)}', '{to}', 'g')"
-    return t
-
-
 _EXAMPLE = _sub(_sub(_sub(_strip("text"), r"^\[''|''\]$", ""), rf'^"|"{_S}*$', ""), f"{_S}+", " ")
-_EXAMPLE = _chained(_EXAMPLE, (("isallowed", "is allowed"), ("isset", "is set"), ("isallowedin", "is allowed in"), ("allowedforjin", "allowed for jin"), (r"allowed\.the", "allowed. The")))
+_EXAMPLE = chained(_EXAMPLE, (("isallowed", "is allowed"), ("isset", "is set"), ("isallowedin", "is allowed in"), ("allowedforjin", "allowed for jin"), (r"allowed\.the", "allowed. The")))
 _CLAUSE_TEXT = driver._CLEANED_CLAUSE.replace("(x", "(text")
 _HEADER_TEXT = f"regexp_replace(upper({_strip(_sub('''replace(translate(text, chr(34) || chr(39), ''), 'ß', 'ss')''', _S + '+', ' '))}), '[.:]$', '')"
 
 
 @query(f"""SELECT doc_id, md5({driver._GRAM_TEXT("text")}) AS grams, md5({_CLAUSE_TEXT}) AS clause, md5({_EXAMPLE}) AS example,
-  md5({_chained("text", ((p, "") for p in R.DOCUMENT_IDS))}) AS ids, md5({_HEADER_TEXT}) AS header, regexp_matches(lower(text), 'license|of the') AS keyword FROM documents""")
+  md5({chained("text", ((p, "") for p in R.DOCUMENT_IDS))}) AS ids, md5({_HEADER_TEXT}) AS header, regexp_matches(lower(text), 'license|of the') AS keyword FROM documents""")
 def text_forms(spark, d):
     t = F.col("text")
     forms = {"grams": T.clean_for_grams(t), "clause": T.clean_sentence(t, driver.SPARSE_PACK.rewrites), "example": T.clean_example(t), "ids": T.remove_ids(t), "header": T.normalize_header(t)}
