@@ -41,6 +41,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def oracle_text(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basic_selection(spark, sf_dir)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.operators import aggregates, datasets, enrich, evaluate, extract, keys, sections
-from docloom.plans import driver
+from docloom.plans import driver, experiments, staged
 from docloom.plans.driver import _S, _SCORED, _W, _bare, _strip, _sub, _words, chained, query, table
 from docloom.sources import files, sheets, sinks
 from docloom.sources.sinks import scratch
@@ -276,3 +279,79 @@ def list_texts(spark, d):
   SELECT header, count FROM c WHERE NOT regexp_matches(header, 'NIL|CORAM|AMENDED|PRIVATE|HUIS|CLOS') AND length(regexp_replace(header, '\P{L}', '', 'g')) * 2 >= length(header) AND length(header) <= 30""")
 def true_headers(spark, d):
     return sections.true_headers(sections.header_counts(sections.header_lines(table(spark, d, "documents"), "doc_id", "text")))
+
+
+# -- archives, examples, whole runs --
+
+
+def _archived(spark: SparkSession, d: str) -> str:
+    """An archive of text files named like cases, one file that isn't, and a CSV of the regions."""
+    rows = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    regions = "r_regionkey;r_name\n" + "".join(f"{r.r_regionkey};{r.r_name}\n" for r in table(spark, d, "region").orderBy("r_regionkey").collect())
+    files_ = {f"cases/2021canlii{r.n_nationkey}.txt": r.n_name for r in rows} | {"cases/readme.md": "no case", "regions.csv": regions}
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, text in files_.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text.encode())
+            tar.addfile(info, io.BytesIO(text.encode()))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/all.tar.gz")
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    return at.toString()
+
+
+@query("""SELECT '2021' AS year, CAST(n_nationkey AS VARCHAR) AS "decisionID", n_name AS full_text FROM nation""")
+def archived_cases(spark, d):
+    return files.read_case_archive(spark, _archived(spark, d))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def archived_csv(spark, d):
+    return files.read_archived_csv(spark, _archived(spark, d), ";", "r_regionkey int, r_name string")
+
+
+@query("""SELECT '.txt' AS extension, count(*) AS members, CAST(sum(strlen(n_name)) AS BIGINT) AS bytes FROM nation UNION ALL SELECT '.md', 1, 7
+  UNION ALL SELECT '.csv', 1, CAST(19 + (SELECT sum(strlen(CAST(r_regionkey AS VARCHAR)) + strlen(r_name) + 2) FROM region) AS BIGINT)""")
+def archive_contents(spark, d):
+    return files.archive_profile(spark, _archived(spark, d)).drop("archive")
+
+
+@query("""SELECT doc_id, '{"lang": "' || lang || '", "source": "' || source || '"}' AS record FROM documents""")
+def ascii_records(spark, d):
+    record = files.ascii_json(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    return table(spark, d, "documents").select("doc_id", record.alias("record"))
+
+
+@query("SELECT DISTINCT t AS text FROM (SELECT p_name AS t FROM part UNION ALL SELECT p_type FROM part) WHERE length(trim(t)) > 10")
+def example_bank(spark, d):
+    """Training examples of a list column that is kept as text."""
+    raw = table(spark, d, "part").select(F.to_json(F.array("p_name", "p_type")).alias("raw"))
+    return extract.basic_examples(raw, "raw")
+
+
+_FOUND = "SELECT doc_id, score FROM r WHERE (best >= 10 AND score >= greatest(5, best * 0.7) AND rank <= 5) OR (best < 10 AND rank <= 3)"
+
+
+@query(f"""WITH {_SCORED}, f AS (SELECT 'basic' AS extractor, doc_id FROM ({_FOUND}) UNION ALL SELECT 'strong', doc_id FROM ({_FOUND}) WHERE score >= 10),
+  k AS (SELECT extractor, doc_id, n_chars % 4 AS expected, (SELECT count(*) FROM f WHERE f.doc_id = documents.doc_id AND f.extractor = x.extractor) AS found FROM documents, (VALUES ('basic'), ('strong')) x(extractor)),
+  m AS (SELECT *, found / greatest(1, expected) AS ratio FROM k)
+  SELECT 'driver' AS experiment, extractor, round(avg(found), 9) AS avg_extracted_count, round(avg(expected), 9) AS avg_expected_count, round(avg(ratio), 9) AS avg_count_ratio,
+  count(*) FILTER (ratio >= 1) AS cases_meeting_expected, count(*) AS total_cases, round(count(*) FILTER (ratio >= 1) / count(*), 9) AS pct_meeting_expected FROM m GROUP BY extractor""")
+def experiment_summary(spark, d):
+    """Two extractors over one validation set."""
+    docs = driver.texts(spark, d).join(table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 4).alias("determination_count")), "doc_id")
+    basic = lambda v: extract.Basic(driver.PACK).extract(v, ["doc_id"], "text")
+    run = experiments.Experiment("driver", {"basic": basic, "strong": lambda v: basic(v).where("score >= 10")})
+    out = experiments.run_experiment(run, docs, docs.select("doc_id", "text"), "doc_id", "text")
+    return out.withColumns({c: F.round(c, 9) for c in ("avg_extracted_count", "avg_expected_count", "avg_count_ratio", "pct_meeting_expected")})
+
+
+@query(f"""WITH {_SCORED}, x AS ({driver.oracle_text("sparse_extraction")}), y AS ({_FOUND})
+  SELECT doc_id, CAST((SELECT count(*) FROM x WHERE x.doc_id = documents.doc_id) AS INT) AS sparse, CAST((SELECT count(*) FROM y WHERE y.doc_id = documents.doc_id AND score >= 5) AS INT) AS basic FROM documents""")
+def staged_run(spark, d):
+    """The staged pipeline: sparse, then basic, each stage a table that the next one reads."""
+    config = {"key": "doc_id", "text": "text", "sections": ["text"], "active_stages": ["sparse", "basic"]}
+    out = staged.run(spark, driver.texts(spark, d), scratch(spark), config, staged.Context(sparse=driver.SPARSE_PACK, basic=driver.PACK))
+    return spark.read.parquet(out["final"]).select("doc_id", F.col("sparse_explicit_extraction_count").alias("sparse"), F.col("text_basic_extraction_count").alias("basic"))
