@@ -167,8 +167,14 @@ def gram_index(bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFram
 
 
 _HEAD = 8
-#: Bank sentences up to which a bank's heads and grams may be broadcast (some 100 bytes each).
-SMALL_BANK = 50_000
+#: Bytes of a bank's pieces (each carries its sentence) up to which they, its heads and its grams may be broadcast.
+SMALL_BANK = 1 << 26
+
+
+def is_small(bank: DataFrame) -> bool:
+    """Whether all pieces of a bank's sentences, by their measured lengths, are at most SMALL_BANK bytes."""
+    n = F.octet_length("text").cast("long")
+    return (bank.agg(F.sum(n * (n + 16))).first()[0] or 0) <= SMALL_BANK
 
 
 def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, high: float = 1.4, small: bool = False) -> DataFrame:
@@ -209,7 +215,7 @@ def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGA
     Each of the three ways reads the sentences, so they are written once.  A gram that is shared holds pairs of words that are in
     the bank, and each pair begins at most one gram of each size: a sentence with too few such pairs isn't cut further."""
     rows = stored(cleaned.select("cleaned").distinct().where(F.size(T.words(F.col("cleaned"))) >= 3))
-    small = bank.limit(SMALL_BANK + 1).count() <= SMALL_BANK
+    small = is_small(bank)
     hint = F.broadcast if small else (lambda df: df)
     equal = rows.join(bank, rows.cleaned == bank.text).select("cleaned", "text", F.lit(1.0).alias("match"), F.lit(0).alias("way"))
     sub = substring_matches(rows, bank, small=small).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))

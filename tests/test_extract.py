@@ -156,3 +156,12 @@ def test_sections_pivot(spark):
     out = extract.pivot_extractions(df, extract.basic(long, ["id", "section"], "text"), "id", ["a_text", "b_text"], "basic", 5.0).orderBy("id").collect()
     assert [r.a_text_basic_extraction_count for r in out] == [1, 0] and out[1].a_text_basic_extraction == []
     assert [r[0] for r in df.orderBy("id").select(extract.scored_text(df, ["a_text", "b_text"])).collect()] == ["appeal is allowed", "d"]
+
+
+def test_a_large_bank_is_joined_by_shuffles_alike(spark, monkeypatch):
+    bank = spark.createDataFrame([(f"the appeal number {i} is allowed by this court today",) for i in range(30)], "text string")
+    rows = spark.createDataFrame([(f"the appeal number {i} is allowed by this court",) for i in range(40)] + [("something else stands here",)], "cleaned string")
+    small = sorted(map(tuple, extract.gram_match(rows, bank).collect()))
+    assert extract.is_small(bank)
+    monkeypatch.setattr(extract, "SMALL_BANK", 1)
+    assert not extract.is_small(bank) and sorted(map(tuple, extract.gram_match(rows, bank).collect())) == small and len(small) >= 30
