@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, materialize, semi_checked
+from docloom.llm.common import BROADCAST_ROWS, materialize, semi_checked, written
 from docloom.llm.components import connected_components
 
 SEED = 42
@@ -173,9 +173,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_first(docs: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS, find: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
     """One document of each component that `find` names stays, the one of the smallest doc_id; columns as they were.
 
-    Rows that repeat a doc_id are one document: of those the first by text (null first) stays.
+    Rows that repeat a doc_id are one document: of those the first by text (null first) stays.  The tables that `find` makes on
+    its way are deleted when the components are written.
     """
-    found = materialize(find(docs, text).select("doc_id", "component_id"), "components")
+    found = written(lambda: find(docs, text).select("doc_id", "component_id"), docs.sparkSession, "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
