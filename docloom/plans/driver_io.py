@@ -90,8 +90,8 @@ def ragged_lines(spark, d):
     return files.read_ragged(spark, at, ";")
 
 
-@query("""SELECT 'customer.csv' AS name, count(*) AS n, sum(CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END) AS ids FROM customer
-  UNION ALL SELECT 'supplier.csv', count(*), sum(s_suppkey) FROM supplier""")
+@query("""SELECT 'customer.csv' AS name, count(*) AS n, CAST(sum(CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END) AS BIGINT) AS ids FROM customer
+  UNION ALL SELECT 'supplier.csv', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier""")
 def folder_of_sources(spark, d):
     """Every CSV of a folder, with safe ids."""
     at = scratch(spark)
@@ -120,7 +120,7 @@ def case_files(spark, d):
     return files.read_cases(spark, at)
 
 
-@query("SELECT 'train' AS split, doc_id, quality AS label FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT 'test', doc_id, quality FROM labels WHERE doc_id % 5 = 0")
+@query("SELECT 'train' AS split, doc_id, CAST(quality AS BIGINT) AS label FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT 'test', doc_id, CAST(quality AS BIGINT) FROM labels WHERE doc_id % 5 = 0")
 def stored_split(spark, d):
     """Train and test tables, with checked labels."""
     at = scratch(spark)
