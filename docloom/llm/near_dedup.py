@@ -1,42 +1,84 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: banded MinHash finds candidates, the sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash with anchor points finds candidates, the sets decide.
 
 A document is the set of its shingles of `SIZE` words (ASCII lower case; fewer words are one shingle; none an empty set).
 Two link when the Jaccard similarity of their sets is `SIMILARITY` or more, computed from the whole sets: no link is
-wrong.  Two sets meet as candidates when all `ROWS` minima of one of `BANDS` bands agree; at similarity 0.8 a pair
-meets in none with a chance of (1 - 0.8^4)^32 = 5e-8, at 0.9 of 3e-15.
-
-Equal sets are one row before anything else.  A bucket (the sets that share a band) isn't compared pair by pair: its
-members are first compared with its centre, the one that meets most others over all its buckets.  Only members that are
-then outside the bucket's largest component are compared with all others, block by block (`_crossed`), as links within a
-component change nothing.
+wrong.
+
+Candidates come from operator 9's method at a wider threshold.  At similarity 0.8 two fingerprints differ in up to 15.1 % of
+their bits, arccos(8/9)/pi, which 64 bits don't tell from chance and no covering of few bits reaches.  So the fingerprint has
+`BITS` bits (the same majority rule, a hash of its own every 64 bits), and `BLOCKS` blocks of it have covering codes of their own:
+the anchors of a block are pairs of words of the perfect Golay code (23 bits, covering radius 3, 2^12 anchors), and a
+fingerprint is listed at its nearest anchor of every block.  Two lists meet in a block with a chance of 1.5 % at similarity 0.8
+and 2.7 % at 0.85; over all blocks a pair of exactly 0.8 is missed with a chance of about 1e-5 (`missed` calculates it), less
+above.  More rows at fewer blocks, as operator 9 replicates, cost more here for the same chance.  Sets of at most `FEW` shingles, whose
+bits tie more often, have `FEW_BLOCKS`.
+
+Equal sets are one row before anything else.  The comparison runs per anchor: sets that differ in more than `FAR` of 128 bits are no
+candidates, and of the rest each set is first compared with one other.  Then only sets of different components are
+compared: all that meet at anchors of up to `PAIRED` sets, and at larger ones everybody, block by block (`_crossed`), so the pairs
+of a large anchor are not rows; those that a large group has at small anchors are.
 
 Defined cases as in simhash: null, empty and blank texts are equal; rows without an id always stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
-from docloom.llm.common import BROADCAST_ROWS, materialize, semi_checked
+from docloom.llm.common import BROADCAST_ROWS, materialize, release, semi_checked
 from docloom.llm.components import connected_components
 
 SIZE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
-#: Sets in a block of those that are compared in full.
-CELL = 256
+#: Bits of a fingerprint, and blocks it is listed in.
+BITS, BLOCKS = 2048, 1000
+#: Sets of up to FEW shingles are listed in FEW_BLOCKS.
+FEW, FEW_BLOCKS = 30, 4000
+#: Differing bits of the first 128 beyond which a pair is no candidate: 6 standard deviations from similarity 0.8.
+FAR = 45
+#: Sets at an anchor up to which they are compared as pairs, and sets in a block of those that are compared in full.
+PAIRED, CELL = 32, 256
+#: Bytes of lists that a pass makes for each byte of text, and the least blocks of a pass.
+LISTED, LEAST = 0.7, 50
 _RNG = np.random.Generator(np.random.PCG64(simhash.SEED))
-FACTORS, TERMS = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+FACTORS, TERMS = (_RNG.integers(0, 1 << 63, BITS // 64 - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles whose values are computed at once, and rows sent on at once.
-BLOCK, SLICE = 512, 256
+#: Shingles whose bits are counted at once (they fit a byte), and rows sent on at once.
+BLOCK, SLICE = 255, 64
+
+
+def _golay() -> tuple[np.ndarray, np.ndarray]:
+    """Syndromes of the three bytes of a word, and the error that each syndrome stands for."""
+
+    def syndrome(v: int) -> int:
+        for i in range(22, 10, -1):
+            if v >> i & 1:
+                v ^= 0b101011100011 << (i - 11)
+        return v
+
+    parts = np.array([[syndrome((b << 8 * k) & 0x7FFFFF) for b in range(256)] for k in range(3)], np.uint32)
+    errors = np.zeros(2048, np.uint32)
+    for places in (c for w in range(1, 4) for c in combinations(range(23), w)):
+        error = sum(1 << i for i in places)
+        errors[syndrome(error)] = error
+    return parts, errors
+
+
+SYNDROMES, ERRORS = _golay()
+#: The places of each block, two words of 23 and a zero before each; every cut of the bits uses none twice.
+_CUT = BITS // 46
+_ORDERS = np.concatenate([_RNG.permutation(BITS)[: _CUT * 46].reshape(_CUT, 2, 23) for _ in range(-(-FEW_BLOCKS // _CUT))])[:FEW_BLOCKS]
+PLACES = np.concatenate([np.full((FEW_BLOCKS, 2, 1), BITS), _ORDERS], axis=2)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -53,16 +95,46 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], simhash.SEED) for a, b in zip(starts[:m].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, m))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key a band; an empty set has none."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.min([(hashes[k : k + BLOCK, None] * FACTORS + TERMS).min(axis=0) for k in range(0, len(hashes), BLOCK)], axis=0).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        key = (key ^ least[:, j]) * MIX
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bytes of a set's fingerprint: a bit is 1 if set in over half of its shingles' hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        part = hashes[k : k + BLOCK, None]
+        more = part * FACTORS + TERMS
+        more = (more ^ (more >> np.uint64(32))) * MIX
+        words = np.concatenate([part, more ^ (more >> np.uint64(29))], axis=1)
+        counts += np.add.reduce(np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes))
+
+
+def anchors(prints: np.ndarray, first: int, last: int) -> np.ndarray:
+    """A row a fingerprint, a column a block from `first` to before `last`: the block and its nearest anchor."""
+    bits = np.concatenate([np.unpackbits(prints, axis=1), np.zeros((len(prints), 1), np.uint8)], axis=1)
+    packed = np.packbits(bits[:, PLACES[first:last].reshape(-1)].reshape(-1, 24), axis=1)
+    words = packed[:, 0].astype(np.uint32) << 16 | packed[:, 1].astype(np.uint32) << 8 | packed[:, 2]
+    syndromes = SYNDROMES[0][packed[:, 2]] ^ SYNDROMES[1][packed[:, 1]] ^ SYNDROMES[2][packed[:, 0]]
+    # the high 12 bits of a code word name it
+    names = ((words ^ ERRORS[syndromes]) >> 11).astype(np.int64).reshape(len(prints), -1, 2)
+    return np.arange(first, last, dtype=np.int64) << 24 | names[:, :, 0] << 12 | names[:, :, 1]
+
+
+def missed(differ: float, blocks: int = BLOCKS) -> float:
+    """The chance that two fingerprints whose bits differ with the chance `differ` share no anchor."""
+    words = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 23, 1 << 15, dtype=np.uint32)
+
+    def nearest(v: np.ndarray) -> np.ndarray:
+        return v ^ ERRORS[SYNDROMES[0][v & 255] ^ SYNDROMES[1][v >> 8 & 255] ^ SYNDROMES[2][v >> 16]]
+
+    # equal anchors mean that the difference is the sum of a word of the code and two errors, so of at most 6 bits for the zero word
+    rng, meet = np.random.Generator(np.random.PCG64(2)), np.zeros(7)
+    for w in range(7):
+        flips = np.argsort(rng.random((len(words), 23)), axis=1)[:, :w].astype(np.uint32)
+        meet[w] = (nearest(words) == nearest(words ^ (np.uint32(1) << flips).sum(axis=1).astype(np.uint32))).mean()
+    z = np.linspace(-6, 6, 601)
+    share = np.clip(differ + z * (differ * (1 - differ) / BITS) ** 0.5, 1e-9, 1)
+    once = sum(comb(23, w) * share**w * (1 - share) ** (23 - w) * meet[w] for w in range(7)) ** 2
+    weight = np.exp(-z * z / 2)
+    return float((weight * (1 - once) ** blocks).sum() / weight.sum())
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -74,9 +146,40 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, SLICE):
             part = batch.slice(k, SLICE)
             sets = [shingles(t.as_py()) for t in part.column(1)]
+            prints = [fingerprint(s) for s in sets]
             fps = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
-            columns = [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "bands"])
+            near = np.array(prints)[:, :16].copy().view(np.int64)
+            columns = [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "fp", "n", "w0", "w1", "print"])
+
+
+def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                fps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(prints, first, last).reshape(-1)), pa.array(fps)], names=["band", "fp"])
+
+    return lists
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (band, fp) to (band, first, fp, place): every set of an anchor but its first one.  Holds one row."""
+    band, first, place = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bands, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        new = np.concatenate(([bands[0] != band if band is not None else True], bands[1:] != bands[:-1]))
+        at = np.arange(len(bands))
+        start = np.maximum.accumulate(np.where(new, at, -1))
+        firsts = np.where(start < 0, first, fps[start])
+        places = np.where(start < 0, place + 1 + at, at - start)
+        keep = ~new
+        band, first, place = bands[-1], firsts[-1], int(places[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bands, firsts, fps, places)], names=["band", "first", "fp", "place"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,37 +257,85 @@ def _crossed(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     return cells.mapInArrow(_compared, "fp bigint, other bigint")
 
 
-def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(fp, root): the components of the sets that meet in the buckets (band, fp, n, meetings) and are similar enough; sets
-    without links have no row."""
-    alike = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    centres = buckets.groupBy("band").agg(F.max(F.struct("meetings", "fp", "n")).alias("centre")).select("band", F.col("centre.fp").alias("other"), F.col("centre.n").alias("m"))
-    pairs = buckets.join(centres, "band").where((F.col("fp") != F.col("other")) & alike)
-    pairs = materialize(pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "candidates")
-    good = materialize(similar(pairs, sets), "similar")
+def _differ(a: tuple[str, str], b: tuple[str, str]) -> Column:
+    return F.bit_count(F.col(a[0]).bitwiseXOR(F.col(b[0]))) + F.bit_count(F.col(a[1]).bitwiseXOR(F.col(b[1])))
+
+
+def plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose sizes and first 128 bits allow the similarity."""
+    side = lambda c: distinct.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "w0", "w1")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
+    return both.where(alike & (_differ(("w0a", "w1a"), ("w0b", "w1b")) <= FAR)).select("a", "b")
+
+
+def meetings(distinct: DataFrame, size: float) -> DataFrame:
+    """(band, first, fp, place): the sets (fp, n, print) that share an anchor with a smaller fp, and the first of that anchor.
+
+    The lists are made in passes of some LISTED bytes for each byte of text (`size` a set), each sorted and dropped by itself."""
+    spark, step = distinct.sparkSession, min(BLOCKS, max(LEAST, int(LISTED * size / 16)))
+    given = distinct.where("n > 0")
+    few = given.where(F.col("n") <= FEW)
+    spans = [(given, k, min(k + step, BLOCKS)) for k in range(0, BLOCKS, step)]
+    if not few.isEmpty():
+        spans += [(few, k, min(k + BLOCKS, FEW_BLOCKS)) for k in range(BLOCKS, FEW_BLOCKS, BLOCKS)]
+    out = []
+    for rows, first, last in spans:
+        lists = rows.select("fp", "print").mapInArrow(_listed(first, last), "band bigint, fp bigint")
+        lists = lists.repartition("band").sortWithinPartitions("band", "fp")
+        out.append(materialize(lists.mapInArrow(_met, "band bigint, first bigint, fp bigint, place bigint"), "meetings"))
+        release(spark)
+    return reduce(DataFrame.unionByName, out)
+
+
+def candidates(met: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the plausible pairs that share an anchor, of large anchors one a set only; and the members (band, fp) of the large
+    anchors, whose other pairs `_crossed` compares."""
+    crowded = materialize(met.groupBy("band").agg(F.max("place").alias("last")).where("last > 1"), "crowded")
+    small, large = (crowded.where(c).select("band") for c in (F.col("last") < PAIRED, F.col("last") >= PAIRED))
+    rest = semi_checked(met, small, "band").select("band", "fp")
+    others = rest.select("band", F.col("fp").alias("a")).join(rest.select("band", F.col("fp").alias("b")), "band").where("a < b").select("a", "b")
+    members = semi_checked(met, large, "band")
+    stars = members.groupBy(F.col("fp").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+    firsts = semi_checked(met, large, "band", "left_anti").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    pairs = firsts.unionByName(stars).unionByName(others).distinct()
+    members = members.select("band", "fp").unionByName(members.where("place = 1").select("band", F.col("first").alias("fp")))
+    return materialize(plausible(pairs, distinct), "candidates"), materialize(members, "large-anchors")
+
+
+def links(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, root): the components of the `candidates` that are similar enough; sets without links have no row."""
+    stars = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    good = materialize(similar(stars, sets), "similar")
     roots = materialize(connected_components(good).select(F.col("node").alias("fp"), "root"), "set-roots")
-    crossed = _crossed(buckets, roots, sets).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    found = good.unionByName(materialize(crossed, "crossed"))
+    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = materialize(similar(apart.select("a", "b"), sets), "similar")
+    found = good.unionByName(more)
+    if not members.isEmpty():
+        roots = materialize(connected_components(found).select(F.col("node").alias("fp"), "root"), "set-roots")
+        crossed = _crossed(members, roots, sets).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+        found = found.unionByName(materialize(crossed.distinct(), "crossed"))
     return connected_components(found).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     texts = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    all_marks = materialize(texts.mapInArrow(_marks, "doc_id bigint, fp bigint, n bigint, bands array<bigint>"), "shingle-marks")
+    all_marks = materialize(texts.mapInArrow(_marks, "doc_id bigint, fp bigint, n bigint, w0 bigint, w1 bigint, print binary"), "shingle-marks")
     marks = all_marks.select("doc_id", "fp")
-    distinct = materialize(all_marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sets")
-    listed = distinct.select("fp", "n", F.explode("bands").alias("band"))
-    shared = listed.groupBy("band").count().where("count > 1")
-    buckets = materialize(listed.join(shared, "band").select("band", "fp", "n", "count"), "buckets")
-    meetings = buckets.groupBy("fp").agg(F.sum("count").alias("meetings"))
-    buckets = materialize(buckets.join(meetings, "fp").select("band", "fp", "n", "meetings"), "bucket-members")
-    wanted = materialize(buckets.select("fp").distinct(), "bucket-sets")
-    ids = materialize(distinct.join(wanted, "fp").select(F.col("first").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "bucket-ids")
+    each = [F.first(c).alias(c) for c in ("n", "w0", "w1", "print")]
+    distinct = materialize(all_marks.groupBy("fp").agg(F.min("doc_id").alias("first"), *each), "distinct-sets")
+    size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    met = meetings(distinct, size)
+    pairs, members = candidates(met, distinct)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    wanted = materialize(ends.unionByName(members.select("fp")).distinct(), "met-sets")
+    ids = materialize(distinct.join(wanted, "fp").select(F.col("first").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "met-ids")
     given = semi_checked(texts, ids, "doc_id").unionByName(texts.where("doc_id IS NULL"))
     sets = semi_checked(given.select("text").mapInArrow(_sets, "fp bigint, members array<bigint>"), wanted, "fp")
     sets = materialize(sets.groupBy("fp").agg(F.first("members").alias("members")), "sets")
-    roots = links(buckets, sets)
+    roots = links(pairs, members, sets)
     named = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marks.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
