@@ -13,10 +13,11 @@ and 2.7 % at 0.85; over all blocks a pair of exactly 0.8 is missed with a chance
 above.  More rows at fewer blocks, as operator 9 replicates, cost more here for the same chance.  Sets of at most `FEW` shingles, whose
 bits tie more often, have `FEW_BLOCKS`.
 
-Equal sets are one row before anything else.  The comparison runs per anchor: sets that differ in more than `FAR` of 128 bits are no
-candidates, and of the rest each set is first compared with one other.  Then only sets of different components are
-compared: all that meet at anchors of up to `PAIRED` sets, and at larger ones everybody, block by block (`_crossed`), so the pairs
-of a large anchor are not rows; those that a large group has at small anchors are.
+Equal sets are one row before anything else.  The comparison runs per anchor: sets that share one and differ in at most `FAR` of
+192 bits, which the lists carry, are of one family, and so is what is reached over such sets.  An anchor gives rows that tie its
+families, not pairs; what the first blocks have tied is one family in the later ones, so those only give what ties families.
+Chance meetings of unlike sets end there.  In a family each set is first compared with the family's first one, and then all
+that are outside the family's largest component with everybody, block by block (`_crossed`), so pairs are never rows.
 
 Defined cases as in simhash: null, empty and blank texts are equal; rows without an id always stay.
 """
@@ -31,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
@@ -44,12 +45,14 @@ SIMILARITY = 0.8
 BITS, BLOCKS = 2048, 1000
 #: Sets of up to FEW shingles are listed in FEW_BLOCKS.
 FEW, FEW_BLOCKS = 30, 4000
-#: Differing bits of the first 128 beyond which a pair is no candidate: 6 standard deviations from similarity 0.8.
-FAR = 45
-#: Sets at an anchor up to which they are compared as pairs, and sets in a block of those that are compared in full.
-PAIRED, CELL = 32, 256
-#: Bytes of lists that a pass makes for each byte of text, and the least blocks of a pass.
-LISTED, LEAST = 0.7, 50
+#: Words of 64 bits of the fingerprint that lists carry, and differing bits of those beyond which a pair is no candidate: 7 standard
+#: deviations from similarity 0.8, 5 from the most that sets of FEW shingles differ in.
+WORDS, FAR = 3, 64
+#: Sets at an anchor up to which all pairs are compared at once, sets that a task holds of an anchor, and sets in a block of those
+#: that are compared in full.
+PAIRED, HELD, CELL = 32, 1 << 20, 256
+#: Bytes of lists that a pass makes for each byte of text, the least blocks of a pass, and the most whose families are tied first.
+LISTED, LEAST, EARLY = 1.2, 50, 100
 _RNG = np.random.Generator(np.random.PCG64(simhash.SEED))
 FACTORS, TERMS = (_RNG.integers(0, 1 << 63, BITS // 64 - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -146,11 +149,13 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, SLICE):
             part = batch.slice(k, SLICE)
             sets = [shingles(t.as_py()) for t in part.column(1)]
-            prints = [fingerprint(s) for s in sets]
             fps = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
-            near = np.array(prints)[:, :16].copy().view(np.int64)
-            columns = [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "fp", "n", "w0", "w1", "print"])
+            columns = [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([fingerprint(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "n", "print"])
+
+
+LISTS = ", ".join(["band bigint", "fp bigint", *[f"w{i} bigint" for i in range(WORDS)]])
+MET = "band bigint, first bigint, fp bigint, place bigint"
 
 
 def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,27 +164,111 @@ def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                fps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors(prints, first, last).reshape(-1)), pa.array(fps)], names=["band", "fp"])
+                words = prints[:, : 8 * WORDS].copy().view(np.int64)
+                each = [part.column(0).to_numpy(zero_copy_only=False), *words.T]
+                columns = [anchors(prints, first, last).reshape(-1), *[np.repeat(c, last - first) for c in each]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "fp", *[f"w{i}" for i in range(WORDS)]])
 
     return lists
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (band, fp) to (band, first, fp, place): every set of an anchor but its first one.  Holds one row."""
-    band, first, place = None, 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bands, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        new = np.concatenate(([bands[0] != band if band is not None else True], bands[1:] != bands[:-1]))
-        at = np.arange(len(bands))
-        start = np.maximum.accumulate(np.where(new, at, -1))
-        firsts = np.where(start < 0, first, fps[start])
-        places = np.where(start < 0, place + 1 + at, at - start)
-        keep = ~new
-        band, first, place = bands[-1], firsts[-1], int(places[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bands, firsts, fps, places)], names=["band", "first", "fp", "place"])
+def _differ(words: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+
+
+def _reached(same: np.ndarray, words: np.ndarray, far: int) -> np.ndarray:
+    """The first row reachable from each row of one anchor, over rows within `far` bits or of equal `same`.
+
+    A reached row is only compared with what is not reached yet, so an anchor of much alike sets costs little."""
+    out, left = np.empty(len(same), np.int64), np.arange(len(same))
+    while len(left):
+        start = left[0]
+        hit = same[left] == same[start]
+        queue: list[int] = []
+        while True:
+            out[left[hit]] = start
+            queue += left[hit].tolist()
+            left = left[~hit]
+            while queue and len(left):
+                close = _differ(words, queue.pop(), left) <= far
+                if close.any():
+                    hit = np.isin(same[left], same[left[close]])
+                    break
+            else:
+                break
+    return out
+
+
+def _tied(columns: list[np.ndarray], paired: int, far: int, all_one: bool = False) -> pa.RecordBatch:
+    """Rows of whole anchors in the order of (band, fp) to (band, first, fp, place): each fp that is reached from a smaller one over rows
+    of unlike fp within `far` bits, the smallest so reached, and its place there.  all_one: whole anchors are."""
+    bands, fps, words = columns[0], columns[1], np.array(columns[2:]).view(np.uint64)
+    n = len(bands)
+    begins = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))[: n or 0]
+    sizes = np.diff(np.append(begins, n))
+    ends = np.repeat(begins + sizes, sizes)
+    # the first row of the same fp at the anchor
+    new = np.concatenate(([True], (bands[1:] != bands[:-1]) | (fps[1:] != fps[:-1])))[:n]
+    same = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    label = np.repeat(begins, sizes) if all_one else same.copy()
+    if not all_one:
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= paired), sizes))
+        found = []
+        for d in range(1, paired):
+            at = at[at + d < ends[at]]
+            if not len(at):
+                break
+            a = at[same[at] != same[at + d]]
+            a = a[_differ(words, a, a + d) <= far]
+            found.append((a, a + d))
+        a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(2))
+        while True:
+            low = np.minimum(label[a], label[b])
+            less = label.copy()
+            np.minimum.at(less, same[a], low)
+            np.minimum.at(less, same[b], low)
+            less = less[same]
+            if (less == label).all():
+                break
+            label = less
+        for k, size in zip(begins[sizes > paired].tolist(), sizes[sizes > paired].tolist(), strict=True):
+            if new[k : k + size].sum() > 1:
+                label[k : k + size] = k + _reached(same[k : k + size], words[:, k : k + size], far)
+    rows = np.flatnonzero(new)
+    rows = rows[np.argsort(label[rows], kind="stable")]
+    place = np.arange(len(rows)) - np.searchsorted(label[rows], label[rows])
+    rows, place = rows[place > 0], place[place > 0]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (bands[rows], fps[label[rows]], fps[rows], place)], names=["band", "first", "fp", "place"])
+
+
+def _met(paired: int, held_rows: int, far: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`_tied` over rows in the order of (band, fp).  Holds one anchor; one of more than `held_rows` rows is taken as reached as a whole,
+    and then only its first row is held."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over = None, False
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+            if not len(columns[0]):
+                continue
+            if over:
+                end = np.searchsorted(columns[0], columns[0][0], "right")
+                yield _tied([c[:end] for c in columns], paired, far, all_one=True)
+                if end == len(columns[0]):
+                    held = [c[:1] for c in columns]
+                    continue
+                columns, over = [c[end:] for c in columns], False
+            cut = np.searchsorted(columns[0], columns[0][-1])
+            yield _tied([c[:cut] for c in columns], paired, far)
+            held = [c[cut:] for c in columns]
+            if len(held[0]) > held_rows:
+                yield _tied(held, paired, far, all_one=True)
+                held, over = [c[:1] for c in held], True
+        if held and not over:
+            yield _tied(held, paired, far)
+
+    return met
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +291,16 @@ CELLS = "cell bigint, side int, fp bigint, root bigint, members array<bigint>"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole cells, residents (side 0) before guests, to (fp, other): for each guest one resident of each other
-    component that is similar enough.  Holds the residents of one cell."""
+    """Rows of whole cells, residents (side 0) before guests, to (fp, other): guests and residents of other components
+    that are similar enough, as many as tie these components.  Holds the residents of one cell."""
     cell, held, index = None, [], None
+    above: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
     for batch in batches:
         cells, sides, fps, roots = (batch.column(i).to_pylist() for i in range(4))
         found: list[tuple[int, int]] = []
@@ -212,6 +308,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.asarray(members.values).view(np.uint64)
             if cells[k] != cell:
                 cell, held, index = cells[k], [], None
+                above.clear()
             if sides[k] == 0:
                 held.append((fps[k], roots[k], mine))
                 continue
@@ -227,29 +324,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = high - low
             at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
             common = np.bincount(owner[at], minlength=len(held))
-            first = {held[i][1]: held[i][0] for i in np.flatnonzero(common >= SIMILARITY * (sizes + len(mine) - common))[::-1]}
-            found += [(fps[k], other) for root, other in first.items() if root != roots[k]]
+            for i in np.flatnonzero(common / (sizes + len(mine) - common) >= SIMILARITY).tolist():
+                if (one := top(held[i][1])) != (other := top(roots[k])):
+                    above[one] = other
+                    found.append((fps[k], held[i][0]))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["fp", "other"])
 
 
-def _crossed(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(fp, other): links between sets that share a bucket and are in different components so far.
+def _crossed(families: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, other): links between sets of one family (fp, family) that are in different components so far.
 
-    A bucket's largest component is its host, the members of other components are guests.  All that meet in the buckets of
-    one host are one group, in which guests are compared with everybody.  A group is cut into blocks of some CELL sets,
-    and each block of guests meets each block of the group in a cell of its own, so no task holds more than a block,
-    and pairs are never rows."""
-    state = buckets.join(roots, "fp", "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = state.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    hosts = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("host"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    met = state.join(hosts.select("band", F.col("host.root").alias("host")), "band").select("host", "fp", "root").distinct()
-    met = materialize(met, "met")
+    A family's largest component is its host, the members of other components are guests and are compared with everybody.
+    A family is cut into blocks of some CELL sets, and each block of guests meets each block of the family in a cell of
+    its own, so no task holds more than a block, and pairs are never rows."""
+    state = families.join(roots, "fp", "left").select("family", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = state.groupBy("family", "root").agg(F.count(F.lit(1)).alias("c"))
+    hosts = sizes.groupBy("family").agg(F.max(F.struct("c", "root")).alias("host"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    met = materialize(state.join(hosts.select("family", F.col("host.root").alias("host")), "family"), "met")
     guest = F.col("root") != F.col("host")
     blocks = lambda n: F.ceil(n / CELL).cast("int")
-    sized = met.groupBy("host").agg(blocks(F.count(F.lit(1))).alias("rows"), blocks(F.count_if(guest)).alias("columns"))
-    full = met.join(sized, "host").join(sets, "fp")
+    sized = met.groupBy("family").agg(blocks(F.count(F.lit(1))).alias("rows"), blocks(F.count_if(guest)).alias("columns"))
+    full = met.join(sized, "family").join(sets, "fp")
     place = F.xxhash64("fp")
-    of = lambda side, row, column: F.struct(F.xxhash64("host", row, column).alias("cell"), F.lit(side).alias("side"))
+    of = lambda side, row, column: F.struct(F.xxhash64("family", row, column).alias("cell"), F.lit(side).alias("side"))
     resident = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: of(0, F.pmod(place, "rows").cast("int"), j))
     visits = F.when(guest, F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: of(1, i, F.pmod(place, "columns").cast("int"))))
     cells = full.select("fp", "root", "members", F.explode(F.concat(resident, F.coalesce(visits, F.array().cast("array<struct<cell:bigint,side:int>>")))).alias("c"))
@@ -257,85 +354,66 @@ def _crossed(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     return cells.mapInArrow(_compared, "fp bigint, other bigint")
 
 
-def _differ(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    return F.bit_count(F.col(a[0]).bitwiseXOR(F.col(b[0]))) + F.bit_count(F.col(a[1]).bitwiseXOR(F.col(b[1])))
-
-
-def plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and first 128 bits allow the similarity."""
-    side = lambda c: distinct.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "w0", "w1")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    return both.where(alike & (_differ(("w0a", "w1a"), ("w0b", "w1b")) <= FAR)).select("a", "b")
+def _step(size: float) -> int:
+    """Blocks of a pass, for sets of `size` bytes of text each."""
+    return min(BLOCKS, max(LEAST, int(LISTED * size / (8 * (WORDS + 2)))))
 
 
-def meetings(distinct: DataFrame, size: float) -> DataFrame:
-    """(band, first, fp, place): the sets (fp, n, print) that share an anchor with a smaller fp, and the first of that anchor.
+def meetings(distinct: DataFrame, size: float, far: int = 64 * WORDS, start: int = 0, stop: int = FEW_BLOCKS) -> DataFrame:
+    """(band, first, fp, place): the sets (fp, n, print) that are tied to a smaller fp at an anchor of the blocks from `start` to before
+    `stop`, and the smallest of those tied there.
 
     The lists are made in passes of some LISTED bytes for each byte of text (`size` a set), each sorted and dropped by itself."""
-    spark, step = distinct.sparkSession, min(BLOCKS, max(LEAST, int(LISTED * size / 16)))
+    spark, step = distinct.sparkSession, _step(size)
     given = distinct.where("n > 0")
     few = given.where(F.col("n") <= FEW)
-    spans = [(given, k, min(k + step, BLOCKS)) for k in range(0, BLOCKS, step)]
-    if not few.isEmpty():
-        spans += [(few, k, min(k + BLOCKS, FEW_BLOCKS)) for k in range(BLOCKS, FEW_BLOCKS, BLOCKS)]
+    spans = [(given, k, min(k + step, stop, BLOCKS)) for k in range(start, min(stop, BLOCKS), step)]
+    if stop > BLOCKS and not few.isEmpty():
+        spans += [(few, k, min(k + BLOCKS, stop)) for k in range(max(start, BLOCKS), stop, BLOCKS)]
     out = []
     for rows, first, last in spans:
-        lists = rows.select("fp", "print").mapInArrow(_listed(first, last), "band bigint, fp bigint")
+        lists = rows.select("fp", "print").mapInArrow(_listed(first, last), LISTS)
         lists = lists.repartition("band").sortWithinPartitions("band", "fp")
-        out.append(materialize(lists.mapInArrow(_met, "band bigint, first bigint, fp bigint, place bigint"), "meetings"))
+        out.append(materialize(lists.mapInArrow(_met(PAIRED, HELD, far), MET), "meetings"))
         release(spark)
     return reduce(DataFrame.unionByName, out)
 
 
-def candidates(met: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): the plausible pairs that share an anchor, of large anchors one a set only; and the members (band, fp) of the large
-    anchors, whose other pairs `_crossed` compares."""
-    crowded = materialize(met.groupBy("band").agg(F.max("place").alias("last")).where("last > 1"), "crowded")
-    small, large = (crowded.where(c).select("band") for c in (F.col("last") < PAIRED, F.col("last") >= PAIRED))
-    rest = semi_checked(met, small, "band").select("band", "fp")
-    others = rest.select("band", F.col("fp").alias("a")).join(rest.select("band", F.col("fp").alias("b")), "band").where("a < b").select("a", "b")
-    members = semi_checked(met, large, "band")
-    stars = members.groupBy(F.col("fp").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
-    firsts = semi_checked(met, large, "band", "left_anti").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    pairs = firsts.unionByName(stars).unionByName(others).distinct()
-    members = members.select("band", "fp").unionByName(members.where("place = 1").select("band", F.col("first").alias("fp")))
-    return materialize(plausible(pairs, distinct), "candidates"), materialize(members, "large-anchors")
-
-
-def links(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(fp, root): the components of the `candidates` that are similar enough; sets without links have no row."""
-    stars = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    good = materialize(similar(stars, sets), "similar")
+def families(distinct: DataFrame, size: float) -> DataFrame:
+    """(fp, family): the families of more than one of the sets (fp, n, print), named by their smallest fp."""
+    early = min(_step(size), EARLY)
+    edges = meetings(distinct, size, FAR, stop=early).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    tied = materialize(connected_components(edges).select(F.col("node").alias("fp"), "root"), "early-tied")
+    named = materialize(distinct.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), "n", "print"), "early-families")
+    later = meetings(named, size, FAR, start=early).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    edges = tied.select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(later)
+    return connected_components(edges).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+
+
+def links(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, root): the components of the families (fp, family) by similarity; sets without links have no row."""
+    good = materialize(similar(found.where("fp <> family").select(F.col("family").alias("a"), F.col("fp").alias("b")), sets), "similar")
     roots = materialize(connected_components(good).select(F.col("node").alias("fp"), "root"), "set-roots")
-    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = materialize(similar(apart.select("a", "b"), sets), "similar")
-    found = good.unionByName(more)
-    if not members.isEmpty():
-        roots = materialize(connected_components(found).select(F.col("node").alias("fp"), "root"), "set-roots")
-        crossed = _crossed(members, roots, sets).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-        found = found.unionByName(materialize(crossed.distinct(), "crossed"))
-    return connected_components(found).select(F.col("node").alias("fp"), "root")
+    crossed = _crossed(found, roots, sets).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    edges = roots.select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(materialize(crossed.distinct(), "crossed"))
+    return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     texts = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    all_marks = materialize(texts.mapInArrow(_marks, "doc_id bigint, fp bigint, n bigint, w0 bigint, w1 bigint, print binary"), "shingle-marks")
+    all_marks = materialize(texts.mapInArrow(_marks, "doc_id bigint, fp bigint, n bigint, print binary"), "shingle-marks")
     marks = all_marks.select("doc_id", "fp")
-    each = [F.first(c).alias(c) for c in ("n", "w0", "w1", "print")]
+    each = [F.first(c).alias(c) for c in ("n", "print")]
     distinct = materialize(all_marks.groupBy("fp").agg(F.min("doc_id").alias("first"), *each), "distinct-sets")
     size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    met = meetings(distinct, size)
-    pairs, members = candidates(met, distinct)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-    wanted = materialize(ends.unionByName(members.select("fp")).distinct(), "met-sets")
+    found = materialize(families(distinct, size), "families")
+    wanted = found.select("fp")
     ids = materialize(distinct.join(wanted, "fp").select(F.col("first").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "met-ids")
     given = semi_checked(texts, ids, "doc_id").unionByName(texts.where("doc_id IS NULL"))
     sets = semi_checked(given.select("text").mapInArrow(_sets, "fp bigint, members array<bigint>"), wanted, "fp")
     sets = materialize(sets.groupBy("fp").agg(F.first("members").alias("members")), "sets")
-    roots = links(pairs, members, sets)
+    roots = links(found, sets)
     named = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marks.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
