@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, factorization, line_dedup, media, mixing, packing, quality_rules, simhash, substring_dedup, url_trust
+from docloom.llm import best_fit, chat, factorization, line_dedup, media, mixing, packing, quality_rules, simhash, spelling, substring_dedup, url_trust, whitening
 from docloom.llm.common import table
 
 
@@ -86,10 +86,24 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(pages, URL_RULES).drop("url")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), every=97))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = best_fit.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_media, op2_line_dedup, op3_chat, op4_factorization, op5_mixing,
         op6_packing, op7_quality_rules, op8_substring_dedup, op9_simhash, op10_url_trust,
+        op11_spelling, op12_whitening, op13_best_fit,
     )}
 
 
@@ -195,5 +209,25 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT node
 """
 
 
+#: The CRC-32 table from its polynomial, then one step a byte; runs only hold code points up to U+00FF.
+_OP11 = f"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_trust.UPPER}', '{url_trust.LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+spelled AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM counted),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + xor(c & 255, x)]), 4294967295), 4294967295) AS h FROM spelled, crc_table),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+deleted AS MATERIALIZED (SELECT word, p, left(word, CAST(p - 1 AS INT)) || substr(word, CAST(p + 1 AS INT)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+near AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM deleted a JOIN deleted b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM deleted d JOIN words w ON w.word = d.rest
+  UNION SELECT w.word, d.word FROM deleted d JOIN words w ON w.word = d.rest),
+best AS (SELECT a AS word, count(*) AS n_near, min(ROW(-w.n, w.word)) AS m FROM near JOIN words w ON w.word = b GROUP BY a),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.m[1] >= 2 * w.n THEN b.m[2] END AS form, CASE WHEN -b.m[1] >= 2 * w.n THEN -b.m[1] END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (SELECT word, word AS root, form AS up FROM formed UNION ALL SELECT k.word, k.up, f.form FROM walk k JOIN formed f ON f.word = k.up)
+SELECT f.word, f.form, k.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM formed f JOIN walk k ON k.word = f.word AND k.up IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op3_chat": _OP3, "op7_quality_rules": _OP7, "op10_url_trust": _op10()}
+    return {"op2_line_dedup": _OP2, "op3_chat": _OP3, "op7_quality_rules": _OP7, "op10_url_trust": _op10(), "op11_spelling": _OP11}
