@@ -11,7 +11,7 @@ Tasks tokenise a text once, cut what is longer than LENGTH and number the pieces
 counts by task and length are summed to each task's first number, and a piece finds its sequence and place in the
 plan by its number.  No text is sorted or moved, no key is hot.
 
-Words are tokenised once a task: the tokenizer drops white space and never looks across it, so what stands between
+Words are tokenised once a worker: the tokenizer drops white space and never looks across it, so what stands between
 blanks is looked up, in memory of a fixed size, and given to the tokenizer where it is new.
 
 Defined cases: null text is empty and gives just the end id; texts of any length are taken whole; repeated rows are
@@ -34,9 +34,9 @@ from docloom.llm.common import BROADCAST_ROWS, materialize
 
 END_ID = 0
 LENGTH = 2048
-#: Entries of a task's memory of words, in each of its two halves, and the longest word it takes.
-REMEMBERED, LONGEST = 1 << 17, 64
-#: Documents tokenised, and pieces sent on, at once.
+#: Entries of a worker's memory of words in each of its two halves (some 150 bytes each), and the longest word it takes.
+REMEMBERED, LONGEST = 1 << 19, 64
+#: Pieces sent on at once.
 HELD = 512
 TOKENIZER = "word_bpe_49k.json"
 
@@ -125,34 +125,31 @@ class Words(dict):
         super().__init__()
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Takes the new ones of these in one call of the tokenizer."""
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for w in words:
-            if w not in self:
-                found = self.older.get(w)
-                if found is None:
-                    new.append(w)
-                else:
-                    self[w] = found
-        for k in range(0, len(new), HELD):
-            part = new[k : k + HELD]
-            for w, e in zip(part, _tokenizer().encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u2").tobytes()
-
     def __missing__(self, word: bytes) -> bytes:
-        return np.array(_tokenizer().encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u2").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = np.array(_tokenizer().encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u2").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
+@lru_cache(maxsize=1)
+def _words() -> Words:
+    """One memory for all tasks that a worker runs."""
+    return Words()
 
 
 _END = np.array([END_ID], "<u2").tobytes()
 
 
 def token_ids(text: bytes, words: Words) -> np.ndarray:
-    """The ids of a UTF-8 text, then the end id."""
-    return np.frombuffer(b"".join([*map(words.__getitem__, text.split()), _END]), "<u2")
+    """The ids of a UTF-8 text, then the end id.  The tokenizer lowers case itself, but knows special tokens by theirs."""
+    parts = (text if b"<|" in text else text.lower()).split()
+    return np.frombuffer(b"".join([*map(words.__getitem__, parts), _END]), "<u2")
 
 
 _TOKENS = "doc_id bigint, piece int, start bigint, length int, part int, number bigint, ids binary"
@@ -165,25 +162,18 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, seen, part, out = Words(), [0] * (LENGTH + 1), TaskContext.get().partitionId(), []
+    words, seen, part, out = _words(), [0] * (LENGTH + 1), TaskContext.get().partitionId(), []
     for batch in batches:
-        for k in range(0, batch.num_rows, HELD):
-            docs = batch.slice(k, HELD)
-            texts = [x or b"" for x in docs.column(1).to_pylist()]
-            fresh: set[bytes] = set()
-            for t in texts:
-                fresh.update(t.split())
-            words.learn({w for w in fresh if len(w) <= LONGEST})
-            for doc_id, t in zip(docs.column(0).to_pylist(), texts, strict=True):
-                ids = token_ids(t, words)
-                for piece, start in enumerate(range(0, len(ids), LENGTH)):
-                    cut = ids[start : start + LENGTH]
-                    n = len(cut)
-                    out.append((doc_id, piece, start, n, part, seen[n], cut.tobytes()))
-                    seen[n] += 1
-                    if len(out) >= HELD:
-                        yield _pieces(out)
-                        out = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = token_ids(text.as_py() or b"", words)
+            for piece, start in enumerate(range(0, len(ids), LENGTH)):
+                cut = ids[start : start + LENGTH]
+                n = len(cut)
+                out.append((doc_id, piece, start, n, part, seen[n], cut.tobytes()))
+                seen[n] += 1
+                if len(out) >= HELD:
+                    yield _pieces(out)
+                    out = []
     yield _pieces(out)
 
 
