@@ -21,6 +21,7 @@ packed one by one, also those without a doc_id; extra columns are not read; an e
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +40,8 @@ REMEMBERED, LONGEST = 1 << 19, 64
 #: Pieces sent on at once.
 HELD = 512
 TOKENIZER = "word_bpe_49k.json"
+#: Signs behind a letter at a word's end: no token goes over that place (but for special tokens), so the word before is looked up by itself.
+TAIL = re.compile(rb"(?<=[a-z])[^A-Za-z'\x80-\xff]+\Z")
 
 
 # -- the plan --
@@ -126,8 +129,10 @@ class Words(dict):
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        found = self.older.get(word)
-        if found is None:
+        found, tail = self.older.get(word), TAIL.search(word) if b"<|" not in word else None
+        if found is None and tail:
+            found = self[word[: tail.start()]] + self[tail[0]]
+        elif found is None:
             found = np.array(_tokenizer().encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u2").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:

@@ -64,7 +64,7 @@ def test_tree_finds_the_tightest():
         assert tree.tightest(least) == min((k for k, n in held.items() if n and k >= least), default=None)
 
 
-ODD = ["", " ", "a b", "Ünï côde \U0001f600 wörds", "<|endoftext|> x<|startoftext|>y", "it's we'll\x85x\xa0y　z\x1cq\x00r", "ΑΣ ΑΣ́ İx é ́x", "line sep​zero", "7" * 300, "x" * 50_000, "%$#" * 700, "a " * 9000, "\n\t" * 5000, "ﬁ Ǆ ẞ ß", "don't DON'T 's", "<|EndOfText|> A<|endoftext|>B", "A\u0300E\u0301 \u212a"]
+ODD = ["x, y.) don't, it's. 'tis' a'. end's!?) a1, b1.5 c_d__ é, né, <|endoftext|>, a<|endoftext|>. s't., x\u0301. n.\u0301 o,\u201d", " ", "a b", "Ünï côde \U0001f600 wörds", "<|endoftext|> x<|startoftext|>y", "it's we'll\x85x\xa0y　z\x1cq\x00r", "ΑΣ ΑΣ́ İx é ́x", "line sep​zero", "7" * 300, "x" * 50_000, "%$#" * 700, "a " * 9000, "\n\t" * 5000, "ﬁ Ǆ ẞ ß", "don't DON'T 's", "<|EndOfText|> A<|endoftext|>B", "A\u0300E\u0301 \u212a"]
 
 
 def test_words_by_themselves_give_the_tokenizers_ids():
