@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.functions import text as T
+from docloom.operators.containment import containment
 from docloom.sources.sinks import stored
 
 FIELDS = ("text", "matched_text", "score", "position", "length", "match_type")
@@ -166,44 +167,48 @@ def gram_index(bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFram
     return index.join(usual, "gram")
 
 
-_HEAD = 8
-#: Bytes of a bank's pieces (each carries its sentence) up to which they, its heads and its grams may be broadcast.
+#: Bytes of a bank's texts with their grams up to which they may be broadcast.
 SMALL_BANK = 1 << 26
 
 
 def is_small(bank: DataFrame) -> bool:
-    """Whether all pieces of a bank's sentences, by their measured lengths, are at most SMALL_BANK bytes."""
+    """Whether a bank's grams, by the measured lengths of its texts, are at most SMALL_BANK bytes."""
     n = F.octet_length("text").cast("long")
-    return (bank.agg(F.sum(n * (n + 16))).first()[0] or 0) <= SMALL_BANK
+    return (bank.agg(F.sum(n * 32)).first()[0] or 0) <= SMALL_BANK
 
 
-def substring_matches(cleaned: DataFrame, bank: DataFrame, low: float = 0.6, high: float = 1.4, small: bool = False) -> DataFrame:
-    """(cleaned, text, ratio): one of both contains the other and their lengths are close.
+def rarest_grams(rows: DataFrame, index: DataFrame, bank: DataFrame, rules: R.NgramRules, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cleaned, grams, probes): the grams of each sentence that may reach the threshold, and the rarest of them that the index has.
 
-    The contained one's first characters (_HEAD, or all of it) stand somewhere in the other, so equal pieces of that
-    length join them; lengths and containment are checked then.  Shorter heads only fit texts that are short, too.  Texts that are
-    too short or too long for any of the bank are not cut; pieces carry a hash of their text, which is joined back.
-    small: the bank was counted and may be broadcast, so that the other side's pieces aren't moved."""
-    short = int(_HEAD / low)
-    hint = F.broadcast if small else (lambda df: df)
-    least, most = bank.agg(F.min(F.char_length("text")), F.max(F.char_length("text"))).first()
-    keyed = cleaned.where(F.char_length("cleaned").between((least or 0) / high, (most or 0) / low)).select("cleaned", F.xxhash64("cleaned").alias("_key"), F.char_length("cleaned").alias("_n"))
-
-    def heads(df: DataFrame, c: str, *carried: str) -> DataFrame:
-        return df.select(*carried, F.left(F.col(c), F.lit(_HEAD)).alias("_head"))
-
-    def pieces(df: DataFrame, c: str, *carried: str) -> DataFrame:
-        n = F.char_length(c)
-        of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        return df.select(*carried, F.explode(F.array_distinct(F.when(n <= short, F.flatten(F.array(*[of(k) for k in range(1, _HEAD + 1)]))).otherwise(of(_HEAD)))).alias("_head"))
-
-    near = F.char_length("text").between(F.col("_n") * low, F.col("_n") * high)
-    inside = pieces(keyed, "cleaned", "_key", "_n").join(hint(heads(bank, "text", "text")), "_head").where(near)
-    outside = heads(keyed, "cleaned", "_key", "_n").join(hint(pieces(bank, "text", "text")), "_head").where(near)
-    met = inside.select("_key", "text").unionByName(outside.select("_key", "text")).distinct()
-    met = met.join(keyed, "_key").where(F.contains("cleaned", F.col("text")) | F.contains("text", F.col("cleaned")))
-    ratio = F.least(F.char_length("text"), F.col("_n")) / F.greatest(F.char_length("text"), F.col("_n"))
-    return met.select("cleaned", "text", ratio.alias("ratio"))
+    A gram that is shared holds pairs of words that are in the bank, and each pair begins at most one gram of each size: a sentence
+    with too few such pairs isn't cut further.  Of n grams t must be shared, so one of any n - t + 1 is: those that fewest sentences
+    of the bank have are taken, first of all those that none has."""
+    low, sizes = rules.min_gram, rules.max_gram - rules.min_gram + 1
+    pairs = bank.select(F.explode(F.array_distinct(T.ngrams(F.col("text"), low, low))).alias("gram")).distinct()
+    some = rows.select("cleaned", F.explode(T.ngrams(F.col("cleaned"), low, low)).alias("gram")).join(hint(pairs), "gram").groupBy("cleaned").agg(F.count(F.lit(1)).alias("_b"))
+    cut = some.select("cleaned", "_b", T.ngrams(F.col("cleaned"), low, rules.max_gram).alias("_g")).where(F.col("_b") * sizes >= rules.threshold * F.size("_g"))
+    spread = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
+    weighed = cut.select("cleaned", F.explode("_g").alias("gram")).join(hint(spread), "gram", "left")
+    ordered = weighed.groupBy("cleaned").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "gram"))).alias("_o"))
+    n = F.size("_o")
+    needed = F.ceil(n * rules.threshold - 1e-6).cast("int")
+    first = F.filter(F.slice("_o", F.lit(1), F.least(n, n - needed + 1)), lambda x: x["f"] > 0)
+    probes = F.array_distinct(F.transform(first, lambda x: x["gram"]))
+    return ordered.select("cleaned", F.transform("_o", lambda x: x["gram"]).alias("grams"), probes.alias("probes")).where(F.size("probes") > 0)
+
+
+def shared_grams(rows: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFrame:
+    """(cleaned, text, match): the share of a sentence's grams that a sentence of the bank has, where it reaches the threshold.
+
+    Only a sentence's rarest grams are looked up in the index; the share of those it meets is counted on whole lists."""
+    hint = F.broadcast if is_small(bank) else (lambda df: df)
+    index = stored(gram_index(bank, rules))
+    lists = stored(rarest_grams(rows, index, bank, rules, hint))
+    met = lists.select("cleaned", F.explode("probes").alias("gram")).join(hint(index), "gram").select("cleaned", "text").distinct()
+    sets = index.groupBy("text").agg(F.collect_set("gram").alias("_set"))
+    both = met.join(lists.select("cleaned", "grams"), "cleaned").join(hint(sets), "text")
+    share = F.size(F.filter("grams", lambda g: F.array_contains("_set", g))) / F.size("grams")
+    return both.select("cleaned", "text", share.alias("match")).where(F.col("match") >= rules.threshold)
 
 
 def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGAL_NGRAM) -> DataFrame:
@@ -212,20 +217,12 @@ def gram_match(cleaned: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGA
     An equal one scores 1; else a substring match of at least the threshold; else the share of the sentence's grams
     that the bank sentence has, if it reaches the threshold.  Ties go to the first text in order.
 
-    Each of the three ways reads the sentences, so they are written once.  A gram that is shared holds pairs of words that are in
-    the bank, and each pair begins at most one gram of each size: a sentence with too few such pairs isn't cut further."""
+    Each of the three ways reads the sentences, so they are written once."""
     rows = stored(cleaned.select("cleaned").distinct().where(F.size(T.words(F.col("cleaned"))) >= 3))
-    small = is_small(bank)
-    hint = F.broadcast if small else (lambda df: df)
+    bank = stored(bank.select("text").distinct())
     equal = rows.join(bank, rows.cleaned == bank.text).select("cleaned", "text", F.lit(1.0).alias("match"), F.lit(0).alias("way"))
-    sub = substring_matches(rows, bank, small=small).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))
-    low, sizes = rules.min_gram, rules.max_gram - rules.min_gram + 1
-    pairs = bank.select(F.explode(F.array_distinct(T.ngrams(F.col("text"), low, low))).alias("gram")).distinct()
-    some = rows.select("cleaned", F.explode(T.ngrams(F.col("cleaned"), low, low)).alias("gram")).join(hint(pairs), "gram").groupBy("cleaned").agg(F.count(F.lit(1)).alias("_b"))
-    grams = some.select("cleaned", "_b", T.ngrams(F.col("cleaned"), low, rules.max_gram).alias("_g")).where(F.col("_b") * sizes >= rules.threshold * F.size("_g"))
-    probes = grams.select("cleaned", F.size("_g").alias("total"), F.explode("_g").alias("gram"))
-    shared = probes.join(hint(gram_index(bank, rules)), "gram").groupBy("cleaned", "text", "total").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.select("cleaned", "text", (F.col("c") / F.col("total")).alias("match"), F.lit(2).alias("way"))
+    sub = containment(rows, bank).select("cleaned", "text", F.col("ratio").alias("match"), F.lit(1).alias("way"))
+    shared = shared_grams(rows, bank, rules).select("cleaned", "text", "match", F.lit(2).alias("way"))
     every = equal.unionByName(sub).unionByName(shared).where(F.col("match") >= rules.threshold)
     rank = F.row_number().over(Window.partitionBy("cleaned").orderBy("way", F.desc("match"), "text"))
     return every.withColumn("_r", rank).where("_r = 1").select("cleaned", F.col("text").alias("matched_text"), "match")
