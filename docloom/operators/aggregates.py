@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.hitters import SMALL, most_frequent
+from docloom.operators.quantiles import percentiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), column)
@@ -17,8 +22,16 @@ def section_statistics(long: DataFrame, section: str = "section", doc: str = "do
 
 
 def top_values(df: DataFrame, column: str, order: str, n: int) -> DataFrame:
-    """The n most frequent values; ties by first occurrence in `order`."""
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("_seen"))
+    """The n most frequent values; ties by first occurrence in `order`.
+
+    Only values that may be among them are counted one by one (`hitters`), so what is shuffled doesn't grow with the different values;
+    where values are so evenly frequent that summaries can't tell, all are counted."""
+    found = most_frequent(df.where(F.col(column).isNotNull()), column, n)
+    rows = df
+    if found is not None:
+        small = (found.agg(F.sum(F.octet_length("value").cast("long") + 64)).first()[0] or 0) <= SMALL
+        rows = df.join(F.broadcast(found) if small else found, F.col(column).cast("string") == F.col("value"), "left_semi").unionByName(df.where(F.col(column).isNull()))
+    counted = rows.groupBy(column).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("_seen"))
     return counted.orderBy(F.desc("count"), "_seen", column).limit(n).drop("_seen")
 
 
@@ -31,8 +44,9 @@ def dictionary_counts(df: DataFrame, column: str, dictionary: tuple[tuple[str, t
 
 def axis_maximum(df: DataFrame, columns: list[str], q: float = 0.995) -> DataFrame:
     """The largest q-quantile of the columns, rounded up to a multiple of 5, or of 10 above 100."""
-    top = F.greatest(F.lit(0.0), *[F.coalesce(F.percentile(c, F.lit(q)), F.lit(0.0)) for c in columns])
-    return df.agg(top.alias("q")).select(F.when(F.col("q") > 100, F.ceil(F.col("q") / 10) * 10).otherwise(F.ceil(F.col("q") / 5) * 5).cast("double").alias("maximum"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("_x")).select("_x.*")
+    top = F.greatest(F.lit(0.0), F.max("percentile"))
+    return percentiles(long, ["axis"], "v", q).agg(top.alias("q")).select(F.when(F.col("q") > 100, F.ceil(F.col("q") / 10) * 10).otherwise(F.ceil(F.col("q") / 5) * 5).cast("double").alias("maximum"))
 
 
 def histogram(df: DataFrame, column: str, width: float, most: float) -> DataFrame:
@@ -45,7 +59,11 @@ def histogram(df: DataFrame, column: str, width: float, most: float) -> DataFram
 def describe(df: DataFrame, group: list[str], column: str, denominator: str | None = None) -> DataFrame:
     """count, mean, median and sample deviation, and the mean ratio to `denominator` where that isn't 0."""
     more = [F.avg(F.try_divide(F.col(column), F.col(denominator))).alias("mean_ratio")] if denominator else []
-    return df.groupBy(*group).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("std"), *more)
+    means = df.groupBy(*group).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), *more)
+    middle = percentiles(df, group, column, 0.5).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("percentile").alias("median"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], F.lit(True))
+    rest = ["mean_ratio"] if denominator else []
+    return means.join(middle, same, "left").select(*group, "n", "mean", "median", "std", *rest)
 
 
 def outliers(df: DataFrame, group: str, column: str, key: str, deviations: float = 2.0, n: int = 3) -> DataFrame:

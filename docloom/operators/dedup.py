@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.blooms import KeySet
 from docloom.operators.keys import MISSING, NOT_A_NUMBER
 
 
@@ -16,15 +17,17 @@ def duplicate_keys(df: DataFrame, key: str, strict: bool = True) -> DataFrame:
 
 def split_by_keys(df: DataFrame, bad: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key isn't in `bad`, the others).  Null keys are in the first."""
-    return df.join(bad, key, "left_anti"), df.join(bad, key, "left_semi")
+    return KeySet(bad, key).split(df)
 
 
 def purge(tables: dict[str, DataFrame], key: str, texts: str = "case_texts", test: str = "test", strict: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(clean, unused): ids that are duplicated among the texts or in the test table leave every other table whole;
     the texts lose their own duplicated ids only."""
-    own = duplicate_keys(tables[texts], key, strict)
-    everywhere = own.union(duplicate_keys(tables[test], key, strict)).distinct() if test in tables else own
-    pairs = {name: split_by_keys(df, own if name == texts else everywhere, key) for name, df in tables.items()}
+    found = duplicate_keys(tables[texts], key, strict)
+    own = everywhere = KeySet(found, key)
+    if test in tables:
+        everywhere = KeySet(own.keys.union(duplicate_keys(tables[test], key, strict)), key)
+    pairs = {name: (own if name == texts else everywhere).split(df) for name, df in tables.items()}
     return {n: p[0] for n, p in pairs.items()}, {n: p[1] for n, p in pairs.items()}
 
 
