@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,102 +14,84 @@ HEADERS = "array<struct<line_number:int,text:string,normalized_text:string,categ
 SECTIONS = "array<struct<category:string,header:string,content:string>>"
 
 
-# -- header lines: a scan that skips the lines of a header, so one function a document --
+# -- header lines --
 
 
-@lru_cache(maxsize=8)
-def _compiled(rules: R.HeaderRules) -> list[tuple]:
-    """(category, term, words, forms anywhere in a line, forms of a whole line) in the pack's order."""
-    out = []
-    for category, terms in rules.categories:
-        for term in terms:
-            t = re.escape(term.upper())
-            anywhere = re.compile(rf"{t}\Z|{t}\s*\[\d+\]|[.!?]\s+(?:THE\s+)?{t}")
-            spaced = r"\s+".join(r"\s*".join(map(re.escape, w)) for w in term.split())
-            whole = re.compile(rf"\s*{spaced}(?:\s*\Z|\s+.*\Z|\s*\[\d+\])", re.IGNORECASE)
-            exact = re.compile(rf"\s*(?:\d+\s+)?(?:THE\s+)?{t}\s*[.:]?\s*(?:\[\d+\])?\s*\Z")
-            end = re.compile(rf"(.*?[.!?]\s+)({t})(?:\s*\Z|\s*\[\d+\])", re.IGNORECASE)
-            out.append((category, term, term.upper().split(), anywhere, whole, exact, end))
-    return out
-
+def _first(hits: list[Column]) -> Column:
+    return F.coalesce(*hits) if hits else F.lit(None).cast("struct<category:string,term:string>")
 
-_NUMBERED = re.compile(r"\s*\d+\s+([A-Z][A-Za-z\s]+)\s*\Z")
 
-
-def bare_line(line: str, rules: R.HeaderRules = R.LEGAL_HEADERS) -> str:
+def bare_line(line: Column, rules: R.HeaderRules = R.LEGAL_HEADERS) -> Column:
     """A line without quotes and number, or just the term that stands behind its last sentence."""
-    line = re.sub(r"\n+", " ", line.translate({34: None, 39: None}))
-    numbered = _NUMBERED.match(line)
-    if numbered:
-        return numbered[1].strip()
-    upper = line.upper()
-    if any(g in upper for g in rules.gate):
-        for _, term, *_, end in _compiled(rules):
-            found = end.match(line) if term in upper else None
-            if found:
-                return found[2].strip()
-    return line.strip()
 
+    def made(x: Column) -> Column:
+        numbered = T.strip(F.nullif(F.regexp_extract(x, r"(?U)\A\s*\d+\s+([A-Z][A-Za-z\s]+)\s*\z", 1), F.lit("")))
+        upper = F.upper(x)
+        ends = [F.when(F.contains(upper, F.lit(t)), F.nullif(F.regexp_extract(x, rf"(?diuU)\A.*?[.!?]\s+({R.quoted((t.upper(),))})(?:\s*\z|\s*\[\d+\])", 1), F.lit(""))) for _, terms in rules.categories for t in terms]
+        return F.coalesce(numbered, F.when(upper.rlike(R.quoted(rules.gate)), F.coalesce(*ends)), T.strip(x))
 
-def header_text(line: str) -> str:
-    line = re.sub(r"\s+", " ", line.translate({34: None, 39: None}).strip()).upper()
-    return line[:-1] if line[-1:] in (".", ":") else line
+    return T.let(F.regexp_replace(F.translate(line, "\"'", ""), "\n+", " "), made)
 
 
-def classify(line: str, rules: R.HeaderRules = R.LEGAL_HEADERS) -> tuple[str, str] | None:
-    """(category, term) of a line, the first in the pack's order; None if it is no header.
+def classify(line: Column, rules: R.HeaderRules = R.LEGAL_HEADERS) -> Column:
+    """struct(category, term) of a line, the first in the pack's order; null if it is no header.
 
     A strict pack takes whole-line headers only."""
-    upper = line.upper()
-    if not any(g in upper for g in rules.gate):
-        return None
-    terms = _compiled(rules)
-    if rules.strict:
-        return next(((c, t) for c, t, _, _, _, exact, _ in terms if exact.match(upper)), None)
-    for category, term, _, anywhere, *_ in terms:
-        if term.upper() in upper and anywhere.search(upper):
-            return category, term
-    normal = header_text(bare_line(line, rules))
-    for category, term, parts, _, whole, *_ in terms:
-        if any(w in upper for w in parts) and whole.match(normal):
-            return category, term
-    return None
-
-
-def _readings(lines: list[str], i: int, rules: R.HeaderRules) -> Iterator[tuple[int, str]]:
-    """(lines taken, text): the ways to read a header that begins at line i, the preferred first.
+    terms = [(F.struct(F.lit(c).alias("category"), F.lit(t).alias("term")), t) for c, of in rules.categories for t in of]
+    quoted = lambda t: R.quoted((t.upper(),))
+    spaced = lambda t: r"\s+".join(r"\s*".join(map(re.escape, w)) for w in t.split())
+
+    def said(upper: Column) -> Column:
+        if rules.strict:
+            return _first([F.when(upper.rlike(rf"(?U)\A\s*(?:\d+\s+)?(?:THE\s+)?{quoted(t)}\s*[.:]?\s*(?:\[\d+\])?\s*\z"), hit) for hit, t in terms])
+        anywhere = [F.when(F.contains(upper, F.lit(t.upper())) & upper.rlike(rf"(?U){quoted(t)}\z|{quoted(t)}\s*\[\d+\]|[.!?]\s+(?:THE\s+)?{quoted(t)}"), hit) for hit, t in terms]
+        whole = lambda normal: _first([F.when(upper.rlike(R.quoted(tuple(t.upper().split()))) & normal.rlike(rf"(?diuU)\A\s*{spaced(t)}(?:\s*\z|\s+.*\z|\s*\[\d+\])"), hit) for hit, t in terms])
+        return F.coalesce(_first(anywhere), T.let(T.normalize_header(bare_line(line, rules)), whole))
+
+    upper = F.upper(line)
+    return F.when(upper.rlike(R.quoted(rules.gate)), T.let(upper, said))
+
+
+def _reading(lines: Column, x: Column, i: Column, rules: R.HeaderRules) -> Column:
+    """struct(line_number, next, text, category, term): the preferred reading of line i as a header; null if there is none.
 
     A line with a word of `rules.ahead` may go on over one or two lines that are short or begin with `[`, unless the text's last
     two (or three) lines would be taken."""
-    brief = [x.startswith("[") or len(x) < 20 for x in lines[i + 1 : i + 3]]
-    reach = 0
-    if any(a in lines[i].upper() for a in rules.ahead):
-        reach = sum(all(brief[:k]) and i + k < len(lines) - 1 for k in (1, 2))
-    return ((n, "\n".join(lines[i : i + n])) for n in (*range(2, reach + 2), 1))
-
-
-def find_headers(text: str, rules: R.HeaderRules = R.LEGAL_HEADERS) -> list[dict]:
-    """The header lines of a text: of each line that isn't part of a header before it, the first reading that is a header."""
-    lines, free, out = [x.strip() for x in text.split("\n")], 0, []
-    gated = (i for i, x in enumerate(lines) if x and any(g in x.upper() for g in rules.gate))
-    for i in gated:
-        found = next(((n, t, hit) for n, t in _readings(lines, i, rules) if (hit := classify(t, rules))), None) if i >= free else None
-        if found:
-            n, joined, (category, term) = found
-            free = i + n
-            out.append({"line_number": i, "text": joined, "normalized_text": header_text(joined), "category": category, "term": term})
-    return out
+    one = F.struct(F.lit(1).alias("n"), x.alias("text"))
+    if rules.ahead:
+        brief = lambda y: F.startswith(y, F.lit("[")) | (F.char_length(y) < 20)
+        y, z, last = F.get(lines, i + 1), F.get(lines, i + 2), F.size(lines) - 1
+        goes = F.upper(x).rlike(R.quoted(rules.ahead)) & (i + 1 < last) & brief(y)
+        joined = lambda *parts: F.array_join(F.array(*parts), "\n")
+        two = F.when(goes, F.struct(F.lit(2).alias("n"), joined(x, y).alias("text")))
+        three = F.when(goes & (i + 2 < last) & brief(z), F.struct(F.lit(3).alias("n"), joined(x, y, z).alias("text")))
+        readings = F.filter(F.array(two, three, one), lambda r: r.isNotNull())
+    else:
+        readings = F.array(one)
+    record = lambda r, c: F.struct(i.alias("line_number"), (i + r["n"]).alias("next"), r["text"].alias("text"), c["category"].alias("category"), c["term"].alias("term"))
+    made = F.transform(readings, lambda r: T.let(classify(r["text"], rules), lambda c: F.when(c.isNotNull(), record(r, c))))
+    return F.get(F.filter(made, lambda h: h.isNotNull()), F.lit(0))
+
+
+def _apart(found: Column) -> Column:
+    """The readings without those that begin inside one before them: a fold over the readings, whose state is the first line
+    that is free and the lines that weren't."""
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("taken"))
+    step = lambda s, h: F.when(h["line_number"] >= s["free"], F.struct(h["next"].alias("free"), s["taken"].alias("taken"))).otherwise(F.struct(s["free"].alias("free"), F.concat(s["taken"], F.array(h["line_number"])).alias("taken")))
+    return T.let(F.aggregate(found, start, step)["taken"], lambda taken: F.filter(found, lambda h: ~F.array_contains(taken, h["line_number"])))
 
 
 def headers(text: Column, rules: R.HeaderRules = R.LEGAL_HEADERS) -> Column:
-    """The header lines of a text column, Arrow batches at a time.  Null text has none."""
+    """The header lines of a text: of each line that isn't part of a header before it, the first reading that is a header.  Null text
+    has none."""
 
-    @F.pandas_udf(HEADERS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: find_headers(t, rules) if t else [])
+    def scan(lines: Column) -> Column:
+        passes = lambda x: (x != "") & F.upper(x).rlike(R.quoted(rules.gate))
+        found = F.filter(F.transform(lines, lambda x, i: F.when(passes(x), _reading(lines, x, i, rules))), lambda h: h.isNotNull())
+        kept = T.let(found, _apart) if rules.ahead else found
+        return F.transform(kept, lambda h: F.struct(h["line_number"].alias("line_number"), h["text"].alias("text"), T.normalize_header(h["text"]).alias("normalized_text"), h["category"].alias("category"), h["term"].alias("term")))
 
-    return run(text)
+    return F.coalesce(T.let(F.transform(F.split(text, "\n"), T.strip), scan), F.array().cast(HEADERS))
 
 
 def sections(text: Column, found: Column) -> Column:

@@ -1,8 +1,12 @@
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.operators import sections as S
+from tests.header_scan import find_headers
 
 BODY = "intro\n\n{}\n\nbody text that is long enough here\n\nmore body text in lines"
 EXPECTED = [
@@ -22,20 +26,48 @@ EXPECTED = [
 ]
 
 
-@pytest.mark.parametrize(("line", "mid", "last"), EXPECTED)
-def test_header_lines(line, mid, last):
-    for text, want in ((BODY.format(line), mid), (f"a\n\n{line}", last)):
-        got = [(h["category"].removesuffix("_headers"), h["term"]) for h in S.find_headers(text)]
-        assert got == ([want] if want else [])
-
+def test_header_lines(spark):
+    cases = [(text, want) for line, mid, last in EXPECTED for text, want in ((BODY.format(line), mid), (f"a\n\n{line}", last))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    for r in df.select("i", S.headers(F.col("t")).alias("h")).collect():
+        want = cases[r.i][1]
+        assert [(h.category.removesuffix("_headers"), h.term) for h in r.h] == ([want] if want else [])
 
-def test_strict_pack_takes_whole_lines_only():
-    from dataclasses import replace
 
+def test_strict_pack_takes_whole_lines_only(spark):
     strict = replace(R.LEGAL_HEADERS, strict=True)
-    assert S.classify("Decision makers must act", strict) is None
-    assert S.classify("The Decision:", strict) == ("decision_headers", "DECISION")
-    assert S.classify("8 CONCLUSION [18]", strict) == ("conclusion_headers", "CONCLUSION")
+    df = spark.createDataFrame([(0, "Decision makers must act"), (1, "The Decision:"), (2, "8 CONCLUSION [18]")], "i int, t string")
+    got = [r.c and tuple(r.c) for r in df.select("i", S.classify(F.col("t"), strict).alias("c")).orderBy("i").collect()]
+    assert got == [None, ("decision_headers", "DECISION"), ("conclusion_headers", "CONCLUSION")]
+
+
+def random_texts(n=400):
+    """Lines of header words, glue and short continuations, in every order that a scan could trip over."""
+    rng = random.Random(11)
+    terms = [t for _, of in R.LEGAL_HEADERS.categories for t in of] + ["FINDINGS", "D E C I S I O N", "decision", "The Conclusion", "analysis"]
+    glue = ["", " ", ".", ":", " [18]", "[3]", "8 ", "12 THE ", "He said. ", "so it is! ", "\"", "'", " makers must act", "\t", "the ", " follows.", "!? "]
+    line = lambda: "".join(rng.choice([rng.choice(terms), rng.choice(glue)]) for _ in range(rng.randint(0, 4)))
+    lines = lambda: rng.choice([line, lambda: rng.choice(["", "[2]", "short one", "a line that is clearly longer than twenty characters", "\u00a0x", "\r"])])()
+    return ["\n".join(lines() for _ in range(rng.randint(0, 9))) for _ in range(n)] + ["", "DECISION", "\nDECISION\n\n", "DECISION\n[1]\n[2]\n[3]\nCONCLUSION\nx\ny\nz"]
+
+
+@pytest.mark.parametrize("rules", [R.LEGAL_HEADERS, replace(R.LEGAL_HEADERS, strict=True), replace(R.LEGAL_HEADERS, ahead=())])
+def test_headers_equal_a_plain_scan(spark, rules):
+    cases = random_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(-1, None)], "i int, t string").repartition(4)
+    out = df.select("i", S.headers(F.col("t"), rules).alias("h"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: [h.asDict() for h in r.h] for r in out.collect()}
+    assert got.pop(-1) == []
+    assert got == {i: find_headers(t, rules) for i, t in enumerate(cases)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_lines_of_a_header_are_skipped_in_long_texts(spark):
+    text = "DECISION\n[1]\n" * 3000
+    df = spark.createDataFrame([(text,)], "t string")
+    rules = replace(R.LEGAL_HEADERS, strict=True)
+    assert [h.asDict() for h in df.select(S.headers(F.col("t"), rules).alias("h")).first().h] == find_headers(text, rules)
 
 
 def test_sections_between_headers(spark):
