@@ -37,6 +37,19 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return path
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int | None = None, path: str | None = None, name: str | None = None) -> DataFrame:
+    """The table in files dealt by `key` and sorted by it, so that joins, groupings and windows on the key read it as it lies.
+
+    Tables of one number of buckets (by default that of shuffle partitions) fit each other.  They are known to the session's catalog
+    as `name`; their files are at `path`, by default in the shared folder."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    # one file a bucket: dealt as the buckets are
+    df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path or scratch(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Lists, maps and structs as JSON text, for formats without them."""
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, ArrayType | MapType | StructType)})
