@@ -13,8 +13,8 @@ and 2.7 % at 0.85; over all blocks a pair of exactly 0.8 is missed with a chance
 above.  More rows at fewer blocks, as operator 9 replicates, cost more here for the same chance.  Sets of at most `FEW` shingles, whose
 bits tie more often, have `FEW_BLOCKS`.
 
-Equal sets are one row before anything else.  The comparison runs per anchor: sets that share one and differ in at most `FAR` of
-192 bits, which the lists carry, are of one family, and so is what is reached over such sets.  An anchor gives rows that tie its
+Equal sets are one row before anything else.  Lists only name their sets; at most anchors a set is alone, and its row ends there.
+The comparison runs per anchor: sets that share one and differ in at most `FAR` of 192 bits are of one family, and so is what is reached over such sets.  An anchor gives rows that tie its
 families, not pairs; what the first blocks have tied is one family in the later ones, so those only give what ties families.
 Chance meetings of unlike sets end there.  In a family each set is first compared with the family's first one, and then all
 that are outside the family's largest component with everybody, block by block (`_crossed`), so pairs are never rows.
@@ -154,24 +154,51 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([fingerprint(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "n", "print"])
 
 
-LISTS = ", ".join(["band bigint", "fp bigint", *[f"w{i} bigint" for i in range(WORDS)]])
+LISTS, KEPT = "band bigint, fp bigint, own bigint", ", ".join(["own bigint", *[f"w{i} bigint" for i in range(WORDS)]])
 MET = "band bigint, first bigint, fp bigint, place bigint"
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        words = prints[:, : 8 * WORDS].copy().view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w) for w in words.T]], names=["own", *[f"w{i}" for i in range(WORDS)]])
+
+
 def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                words = prints[:, : 8 * WORDS].copy().view(np.int64)
-                each = [part.column(0).to_numpy(zero_copy_only=False), *words.T]
-                columns = [anchors(prints, first, last).reshape(-1), *[np.repeat(c, last - first) for c in each]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "fp", *[f"w{i}" for i in range(WORDS)]])
+                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                each = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), last - first) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchors(prints, first, last).reshape(-1), *each)], names=["band", "fp", "own"])
 
     return lists
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (band, fp) those of anchors where different fps are listed; holds the rows of one fp at one anchor,
+    and sends them on unseen where they are more than HELD."""
+    held, band, mixed = None, None, False
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+        bands, fps = columns[:2]
+        n = len(bands)
+        if not n:
+            continue
+        begins = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))
+        many = fps[np.append(begins[1:], n) - 1] != fps[begins]
+        many[0] |= mixed and bands[0] == band
+        band, mixed = bands[-1], bool(many[-1]) or n - begins[-1] > HELD
+        many[-1] = mixed
+        keep = np.repeat(many, np.diff(np.append(begins, n)))
+        cut = n if mixed else begins[-1]
+        held = None if mixed else [c[cut:] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:cut][keep[:cut]]) for c in columns], names=["band", "fp", "own"])
+
+
 def _differ(words: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
 
@@ -356,25 +383,30 @@ def _crossed(families: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
 
 def _step(size: float) -> int:
     """Blocks of a pass, for sets of `size` bytes of text each."""
-    return min(BLOCKS, max(LEAST, int(LISTED * size / (8 * (WORDS + 2)))))
+    return min(BLOCKS, max(LEAST, int(LISTED * size / 24)))
 
 
 def meetings(distinct: DataFrame, size: float, far: int = 64 * WORDS, start: int = 0, stop: int = FEW_BLOCKS) -> DataFrame:
     """(band, first, fp, place): the sets (fp, n, print) that are tied to a smaller fp at an anchor of the blocks from `start` to before
-    `stop`, and the smallest of those tied there.
+    `stop`, and the smallest of those tied there.  `own` names a set apart from its fp, where that is a family's.
 
-    The lists are made in passes of some LISTED bytes for each byte of text (`size` a set), each sorted and dropped by itself."""
+    The lists are made in passes of some LISTED bytes for each byte of text (`size` a set), each sorted and dropped by itself.  They
+    name sets only; the bits that decide are joined to those that share an anchor with another."""
     spark, step = distinct.sparkSession, _step(size)
     given = distinct.where("n > 0")
+    given = given if "own" in given.columns else given.withColumn("own", F.col("fp"))
+    words = materialize(given.select("own", "print").mapInArrow(_words, KEPT), "set-words")
     few = given.where(F.col("n") <= FEW)
     spans = [(given, k, min(k + step, stop, BLOCKS)) for k in range(start, min(stop, BLOCKS), step)]
     if stop > BLOCKS and not few.isEmpty():
         spans += [(few, k, min(k + BLOCKS, stop)) for k in range(max(start, BLOCKS), stop, BLOCKS)]
     out = []
     for rows, first, last in spans:
-        lists = rows.select("fp", "print").mapInArrow(_listed(first, last), LISTS)
+        lists = rows.select("fp", "own", "print").mapInArrow(_listed(first, last), LISTS)
         lists = lists.repartition("band").sortWithinPartitions("band", "fp")
-        out.append(materialize(lists.mapInArrow(_met(PAIRED, HELD, far), MET), "meetings"))
+        shared = materialize(lists.mapInArrow(_shared, LISTS), "shared").join(words, "own").select("band", "fp", *[f"w{i}" for i in range(WORDS)])
+        shared = shared.repartition("band").sortWithinPartitions("band", "fp")
+        out.append(materialize(shared.mapInArrow(_met(PAIRED, HELD, far), MET), "meetings"))
         release(spark)
     return reduce(DataFrame.unionByName, out)
 
@@ -384,7 +416,7 @@ def families(distinct: DataFrame, size: float) -> DataFrame:
     early = min(_step(size), EARLY)
     edges = meetings(distinct, size, FAR, stop=early).select(F.col("first").alias("a"), F.col("fp").alias("b"))
     tied = materialize(connected_components(edges).select(F.col("node").alias("fp"), "root"), "early-tied")
-    named = materialize(distinct.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), "n", "print"), "early-families")
+    named = materialize(distinct.join(tied, "fp", "left").select(F.coalesce("root", "fp").alias("fp"), F.col("fp").alias("own"), "n", "print"), "early-families")
     later = meetings(named, size, FAR, start=early).select(F.col("first").alias("a"), F.col("fp").alias("b"))
     edges = tied.select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(later)
     return connected_components(edges).select(F.col("node").alias("fp"), F.col("root").alias("family"))

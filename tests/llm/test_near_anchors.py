@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from docloom.llm import near_dedup
@@ -72,3 +73,18 @@ def test_large_anchors_equal_brute_force(spark, monkeypatch):
     docs = rows.collect()
     want = brute_components([r.text for r in docs], [r.doc_id for r in docs])
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()} == {r.doc_id: c for r, c in zip(docs, want, strict=True)}
+
+
+def test_only_shared_anchors_go_on(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(3))
+    for held, size in ((1 << 20, 1), (1 << 20, 7), (1 << 20, 1000), (2, 5)):
+        monkeypatch.setattr(near_dedup, "HELD", held)
+        rows = sorted((int(rng.integers(0, 40)), int(rng.integers(0, 3)) * int(rng.integers(0, 2)), i) for i in range(90))
+        fps = defaultdict(set)
+        for band, fp, _ in rows:
+            fps[band].add(fp)
+        want = [r for r in rows if len(fps[r[0]]) > 1]
+        table = pa.table(list(map(list, zip(*rows, strict=True))), names=["band", "fp", "own"])
+        got = pa.Table.from_batches(near_dedup._shared(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        got = [tuple(r.values()) for r in got]
+        assert got == want if held > 2 else set(want) <= set(got)

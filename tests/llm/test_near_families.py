@@ -35,7 +35,9 @@ def test_rows_made_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
         want = brute_components([t for _, t in rows], [i for i, _ in rows])
         assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == want and 2 < len(set(want)) < n
-    met = made.pop("meetings")
+    met, shared = made.pop("meetings"), made.pop("shared")
+    # at most the lists themselves, a row a set and block
+    assert all(shared[n] <= near_dedup.BLOCKS * n for n in sizes)
     assert all(met[n] <= near_dedup.EARLY * n for n in sizes)
     assert all(x[sizes[1]] <= 5 * max(x.get(sizes[0], 0), sizes[0]) for x in made.values()), dict(made)
 
