@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _all() -> None:
-    from docloom.plans import driver_io  # noqa: F401  adds its queries
+    from docloom.plans import driver_chain, driver_io  # noqa: F401  add their queries
 
 
 def queries() -> dict[str, Query]:

@@ -32,6 +32,11 @@ def clean(tables: dict[str, DataFrame], key: str = KEY, strict: bool = True) ->
     return good, unused, summary
 
 
+def bucketed(tables: dict[str, DataFrame], target: str | None = None, key: str = KEY, buckets: int | None = None) -> dict[str, DataFrame]:
+    """The tables dealt and sorted by key once, so that no join of the enrichment moves them again; in `target` by name where given."""
+    return {n: sinks.write_bucketed(df, key, buckets, target and f"{target}/{n}") for n, df in tables.items()}
+
+
 def enriched(tables: dict[str, DataFrame], base: str, key: str = KEY) -> DataFrame:
     """The named split with texts, labels, entities and sentences, one row an id."""
     return enrich.enrich(tables[base], tables["case_texts"], tables["determination"], tables["entities"], tables["all_sentences"], key)
@@ -47,9 +52,9 @@ def run(spark: SparkSession, source: str, target: str, names: list[str] | None =
     if missing:
         raise FileNotFoundError(f"{source}: {', '.join(missing)}")
     good, unused, summary = clean(prepared(tables))
-    out = {f"clean/{n}": sinks.write_table(df, f"{target}/clean/{n}") for n, df in good.items()}
+    kept = bucketed(good, f"{target}/clean")
+    out = {f"clean/{n}": f"{target}/clean/{n}" for n in good}
     out |= {f"unused/{n}": sinks.write_table(df, f"{target}/unused/{n}") for n, df in unused.items()}
-    kept = {n: spark.read.parquet(p) for n, p in ((n, out[f"clean/{n}"]) for n in good)}
     out |= {f"enriched/{s}": sinks.write_table(enriched(kept, s), f"{target}/enriched/{s}") for s in ("train", "test")}
     out["summary"] = sinks.write_table(summary, f"{target}/summary")
     return out
