@@ -278,6 +278,11 @@ def ngram(docs: DataFrame, keys: list[str], text: str, bank: DataFrame, rules: R
 # -- neural scorers --
 
 
+def hits(out: DataFrame, keys: list[str]) -> DataFrame:
+    """Scored sentences in text order as hits."""
+    return out.select(*keys, F.col("sentence").alias("text"), F.col("sentence").alias("matched_text"), "score", relative(F.col("pos"), F.col("n")).alias("position"), F.char_length("sentence").alias("length"), F.lit("neural").alias("match_type"), F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"))
+
+
 def neural(docs: DataFrame, keys: list[str], text: str, scorer: Callable, threshold: float = 0.5, strict: bool = False) -> DataFrame:
     """Sentences whose probability reaches the threshold (or, strict, is above it).
 
@@ -291,8 +296,7 @@ def neural(docs: DataFrame, keys: list[str], text: str, scorer: Callable, thresh
 
     scored = rows.select("sentence").distinct().withColumn("score", run("sentence"))
     hit = F.col("score") > threshold if strict else F.col("score") >= threshold
-    out = rows.join(scored.where(hit), "sentence")
-    return out.select(*keys, F.col("sentence").alias("text"), F.col("sentence").alias("matched_text"), "score", relative(F.col("pos"), F.col("n")).alias("position"), F.char_length("sentence").alias("length"), F.lit("neural").alias("match_type"), F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"))
+    return hits(rows.join(scored.where(hit), "sentence"), keys)
 
 
 # -- one form for all extractors --

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+from docloom.operators import extract, neural
 from docloom.plans import preprocess
 from docloom.plans.driver import query, table
+from docloom.sources import files
 
 
 @query("""WITH own AS (SELECT n_chars AS id FROM documents GROUP BY n_chars HAVING count(*) > 1),
@@ -33,3 +36,18 @@ def preprocessing_chain(spark, d):
     out = preprocess.enriched(preprocess.bucketed({n: good[n] for n in good if n != "test"}), "train")
     listed = F.array_join("extracted_sentences_determination", ",")
     return out.select(F.col(key).alias("id"), "decision_outcome", F.md5("full_text").alias("full_text"), "determination_count", listed.alias("determinations"), "decision_outcome_estimated", "balance", F.md5("sentence_text").alias("sentence_text"))
+
+
+#: A public vocabulary; any tokenizer file that the executors can read serves.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query()
+def neural_extraction(spark, d):
+    """Sentences that a network finds likely to stand in toxic documents: trained on sentences of the labelled ones, applied to all."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    examples = extract.explode_sentences(docs.join(labels, "doc_id"), ["label"], "text", T.model_sentences).select(F.col("sentence").alias("text"), "label")
+    weights, _ = neural.train(examples, TOKENIZER)
+    out = neural.Network(weights, TOKENIZER, 0.6).extract(files.spread(docs), ["doc_id"], "text")
+    return out.select("doc_id", "text", F.round("score", 6).alias("score"), "rank")
