@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.containment import touched_within
 from docloom.operators.dedup import first_by
 from docloom.operators.keys import suffixed
+from docloom.sources.sinks import stored
 
 
 def joined_text(df: DataFrame, key: str, text: str, order: str, name: str = "sentence_text", separator: str = " ") -> DataFrame:
@@ -50,12 +52,9 @@ def enrich(base: DataFrame, texts: DataFrame, labels: DataFrame, entities: DataF
     return left_unique(out, joined_text(sentences, key, "Text", "sentence_order"), key)
 
 
-def contains_either(a: Column, b: Column) -> Column:
-    return F.contains(a, b) | F.contains(b, a)
-
-
 def unmatched(expected: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of `expected` that no text of the same key in `found` contains or is contained in (lower case, trimmed)."""
-    low = lambda c: F.lower(F.trim(c))
-    other = found.select(F.col(key).alias("_k"), low(F.col(text)).alias("_t")).where("_t IS NOT NULL")
-    return expected.join(other, (F.col(key) == F.col("_k")) & contains_either(low(F.col(text)), F.col("_t")), "left_anti")
+    low = F.lower(F.trim(F.col(text)))
+    one = stored(expected.select(F.col(key).alias("key"), low.alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
+    hit = one.join(touched_within(one, found.select(F.col(key).alias("key"), low.alias("t"))), "id").select(F.col("key").alias("_k"), F.col("t").alias("_t"))
+    return expected.join(hit, (F.col(key) == F.col("_k")) & (low == F.col("_t")), "left_anti")

@@ -1,10 +1,12 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
-from docloom.operators import extract
-from docloom.operators.containment import Bank, containment, shards
+from docloom.operators import enrich, extract
+from docloom.operators.containment import Bank, containment, shards, touched_within
 
 RULES = R.NgramRules(direct=(), phrases=(), markers=(), long_openers=(), short_openers=(), threshold=0.6, stop_gram=5)
 
@@ -90,3 +92,29 @@ def test_shared_grams_equal_all_pairs_and_probe_few(spark):
     assert got == want and len(want) > 60
     lists = extract.rarest_grams(rows, extract.gram_index(bank, RULES), bank, RULES, lambda df: df).collect()
     assert sum(len(r.probes) for r in lists) < 0.5 * sum(len(r.grams) for r in lists)
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 60])
+def test_unmatched_equals_all_pairs(spark, chars, monkeypatch):
+    monkeypatch.setattr(touched_within, "__defaults__", (chars,))
+    rng = random.Random(12)
+    say = lambda: rng.choice(["", None, "Odd"]) if rng.random() < 0.05 else "".join(rng.choice("aB ") for _ in range(rng.randint(1, 12)))
+    key = lambda: rng.choice([1, 1, 1, 2, 3, 4, 5, None])
+    given, found = [(i, key(), say()) for i in range(400)], [(key(), say()) for _ in range(40)] + [(3, "x" * 500), (4, "ab" * 40)]
+    given += [(900, 3, "x" * 70), (901, 3, "x" * 70 + "y"), (902, 7, "a")]
+    low = lambda t: t.strip(" ").lower()
+    want = [i for i, k, t in given if k is None or t is None or not any(k == k2 and t2 is not None and (low(t) in low(t2) or low(t2) in low(t)) for k2, t2 in found)]
+    a, b = spark.createDataFrame(given, "i int, k int, t string").repartition(3), spark.createDataFrame(found, "k int, t string")
+    out = enrich.unmatched(a, b, "k", "t")
+    assert sorted(r.i for r in out.collect()) == want and 20 < len(want) < 380
+    assert out.columns == ["i", "k", "t"]
+    assert enrich.unmatched(a, b.limit(0), "k", "t").count() == len(given)
+
+
+def test_a_hot_key_of_100_000_texts(spark):
+    """All pairs would be 2.5 * 10^9 comparisons."""
+    rows = spark.range(100_000).select(F.lit(1).alias("k"), F.concat(F.lit("sentence "), F.md5(F.col("id").cast("string"))).alias("t"), F.col("id"))
+    found = rows.where("id < 50000").select("k", F.substring("t", 3, 30).alias("t"))
+    begin = time.monotonic()
+    assert enrich.unmatched(rows.where("id >= 25000"), found, "k", "t").count() == 50_000
+    assert time.monotonic() - begin < 120
