@@ -122,34 +122,6 @@ def basic_examples(raw: DataFrame, column: str) -> DataFrame:
     return found.select(T.clean_example(F.col("text")).alias("text")).where(F.char_length("text") > 5).distinct()
 
 
-def learned_patterns(examples: list[str]) -> tuple[str, ...]:
-    """Patterns of training sentences in three groups by keyword, in which names and file numbers may vary.
-
-    Driver-side: for the bounded list of examples that should generalise; exact ones are a table of any size."""
-    import re
-
-    def general(s: str) -> set[str]:
-        out = {s}
-        for lead in ("appeal of ", "appeal for "):
-            head, found, tail = s.partition(lead)
-            name, link, rest = tail.partition(" is ")
-            if found and link and len(name.split()) <= 3:
-                out.add(f"{head}{lead}\0 is {rest}")
-        head, found, tail = s.partition("file ")
-        parts = tail.split()
-        if found and parts and re.fullmatch(r"[a-z0-9\-]+", parts[0]):
-            out.add(f"{head}file \1 {' '.join(parts[1:])}")
-        return out
-
-    def grouped(s: str) -> bool:
-        outcome = "appeal" in s and any(w in s for w in ("allowed", "dismissed", "refused"))
-        status = "appellant" in s and "status" in s
-        return outcome or status or any(w in s for w in ("humanitarian", "removal order", "refugee", "protection"))
-
-    templates = sorted({t for e in examples if grouped(e.lower()) for t in general(e.lower())})
-    return tuple(re.escape(t).replace("\0", r"[a-z0-9\s.\-]+").replace("\1", r"[a-z0-9\-]+") for t in templates)
-
-
 # -- n-gram index --
 
 

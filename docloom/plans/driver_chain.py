@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import extract, neural
+from docloom.operators import extract, neural, templates
 from docloom.plans import preprocess
-from docloom.plans.driver import query, table
+from docloom.plans.driver import _sentences, _words, query, table, texts
 from docloom.sources import files
 
 
@@ -51,3 +51,25 @@ def neural_extraction(spark, d):
     weights, _ = neural.train(examples, TOKENIZER)
     out = neural.Network(weights, TOKENIZER, 0.6).extract(files.spread(docs), ["doc_id"], "text")
     return out.select("doc_id", "text", F.round("score", 6).alias("score"), "rank")
+
+
+TEMPLATE_PACK = templates.TemplateRules(
+    groups=(r"licensed|released|rights", r"the .* and "),
+    slots=(
+        templates.Slot(r"(?s)^(.*?under the )(.*?)( license.*)$", r"[a-z0-9\s.\-]+"),
+        templates.Slot(r"(?s)^(.*?version )([0-9.]+)(.*)$", r"[0-9.]+", 1),
+        templates.Slot(r"(?s)^(.*?the )(.*?)( and .*)$", r"[^,]+"),
+    ),
+)
+_FILLED = [f"CASE WHEN len({_words(f"regexp_extract(t, '{s.pattern}', 2)")}) BETWEEN 1 AND {s.words} THEN regexp_replace(t, '{s.pattern}', '\\1' || chr({k + 1}) || '\\3') END" for k, s in enumerate(TEMPLATE_PACK.slots)]
+
+
+@query(f"""WITH s AS (SELECT lower(unnest({_sentences("text")})) AS t FROM documents),
+  g AS (SELECT t FROM s WHERE {" OR ".join(f"regexp_matches(t, '{g}')" for g in TEMPLATE_PACK.groups)}),
+  m AS (SELECT unnest(list_distinct(list_filter([t, {", ".join(_FILLED)}], lambda x: x IS NOT NULL))) AS template FROM g)
+  SELECT md5(template) AS template, count(*) AS n FROM m GROUP BY template""")
+def mined_templates(spark, d):
+    """Templates of all sentences of the documents that belong to a group."""
+    rows = texts(spark, d).select(F.explode(T.sentences(F.col("text"))).alias("text"))
+    return templates.mined(rows, "text", TEMPLATE_PACK).select(F.md5("template").alias("template"), "n")
+

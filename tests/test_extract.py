@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
-from docloom.operators import extract
+from docloom.operators import extract, templates
 
 
 def docs(spark, *texts):
@@ -40,8 +40,8 @@ def test_basic_scores(spark):
     assert score("it was thus allowed by them") == 2.5
     assert score("thus, it was over") == 0
     assert score("a " * 31) == -0.5
-    learned = R.BasicRules(classes=(), exact=(), keywords=(), outcomes=(), learned=extract.learned_patterns(["The appeal of John Doe is allowed", "File AB-1 refugee claim", "nothing of note"]))
-    assert len(learned.learned) == 4
+    learned = R.BasicRules(classes=(), exact=(), keywords=(), outcomes=(), learned=templates.learned_patterns(spark.createDataFrame([("The appeal of John Doe is allowed",), ("File AB-1 refugee claim",), ("nothing of note",)], "text string")))
+    assert 1 <= len(learned.learned) <= 4
     assert score("the appeal of someone else is allowed", learned) == 5.5
     assert score("file zz-9 refugee claim", learned) == 5
     assert score("nothing of note", learned) == 0
