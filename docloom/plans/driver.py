@@ -629,10 +629,10 @@ def error_shares(spark, d):
 def _cases(spark, d):
     c = table(spark, d, "conversations")
     cases = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("determination_count"))
-    return cases, c.where("role = 'assistant' AND turn > 1").select("conv_id", "text"), c.where("role = 'user'").select("conv_id", "text")
+    return cases, c.where("role = 'assistant'").select("conv_id", "text"), c.where("role = 'user'").select("conv_id", "text")
 
 
-_CASES = """c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS expected_count, count(*) FILTER (role = 'assistant' AND turn > 1) AS extracted_count FROM conversations GROUP BY conv_id),
+_CASES = """c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS expected_count, count(*) FILTER (role = 'assistant') AS extracted_count FROM conversations GROUP BY conv_id),
   m AS (SELECT *, extracted_count / greatest(1, expected_count) AS count_ratio FROM c)"""
 
 
@@ -650,14 +650,14 @@ def case_summary(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("avg_extracted_count", "avg_expected_count", "avg_count_ratio", "pct_meeting_expected")})
 
 
-@query(f"""WITH {_CASES}, top AS (SELECT *, expected_count - extracted_count AS gap FROM m WHERE expected_count > 1 AND count_ratio < 0.5 ORDER BY gap DESC, conv_id LIMIT 20),
-  lone AS (SELECT conv_id, count(*) AS missing FROM conversations e WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations f WHERE f.conv_id = e.conv_id AND f.role = 'assistant' AND f.turn > 1
+@query(f"""WITH {_CASES}, top AS (SELECT *, expected_count - extracted_count AS gap FROM m WHERE expected_count > 1 AND count_ratio < 1 ORDER BY gap DESC, conv_id LIMIT 20),
+  lone AS (SELECT conv_id, count(*) AS missing FROM conversations e WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations f WHERE f.conv_id = e.conv_id AND f.role = 'assistant'
     AND (contains(lower(trim(e.text)), lower(trim(f.text))) OR contains(lower(trim(f.text)), lower(trim(e.text))))) GROUP BY conv_id)
   SELECT conv_id, gap, coalesce(missing, 0) AS missing FROM top LEFT JOIN lone USING (conv_id)""")
 def under_extracted(spark, d):
     cases, found, expected = _cases(spark, d)
     texts = expected.groupBy("conv_id").agg(F.min("text").alias("full_text"))
-    out = evaluate.under_extracted(evaluate.case_metrics(cases, found, "conv_id"), expected, found, texts, "conv_id")
+    out = evaluate.under_extracted(evaluate.case_metrics(cases, found, "conv_id"), expected, found, texts, "conv_id", ratio=1.0)
     return out.select("conv_id", "gap", F.size("missing").cast("bigint").alias("missing"))
 
 

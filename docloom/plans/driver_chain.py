@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.operators import extract, neural, templates
-from docloom.plans import preprocess
-from docloom.plans.driver import _sentences, _words, query, table, texts
+from docloom.plans import driver, driver_io, preprocess, staged
+from docloom.plans.driver import _S, _SCORED, _sentences, _strip, _sub, _words, query, table, texts
 from docloom.sources import files
+from docloom.sources.sinks import stored
 
 
 @query("""WITH own AS (SELECT n_chars AS id FROM documents GROUP BY n_chars HAVING count(*) > 1),
@@ -73,3 +78,43 @@ def mined_templates(spark, d):
     rows = texts(spark, d).select(F.explode(T.sentences(F.col("text"))).alias("text"))
     return templates.mined(rows, "text", TEMPLATE_PACK).select(F.md5("template").alias("template"), "n")
 
+
+
+# RE2 has no look-ahead: what ends a field is put back; the prose has no list literals, court files or reviews to cut.
+_CUTS = (
+    (r"\\u[0-9a-fA-F]{4}", " "), (r"(?i)\[REDACTED.*?\]", " "), (r"\[\d+\]", " "), (r"\b\d{5,}\b", " "),
+    (rf"(?i)({R.MONTHS}){_S}+\d{{1,2}},{_S}+\d{{4}}", " "), (r"\b\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\b", " "),
+    (rf"(?i)(File|Client|UCI|Application){_S}+(No|Number|ID)\.*{_S}*:.*?({_S}{_S}|$)", r" \3"), (rf"(?i)Date{_S}*:{_S}*.*?({_S}{_S}|$)", r" \1"), (rf"(?i)\(signed\).*?({_S}{_S}|$)", r" \1"),
+    (rf"{_S}+", " "), (rf"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\t-\r \x{{85}}\x{{A0}}.,!?;:''-]", " "), (rf"{_S}+", " "),
+)
+
+
+def _for_model(t: str) -> str:
+    t = f"replace(replace({_strip(t)}, chr(92) || 'n', ' '), chr(10), ' ')"
+    for pattern, to in _CUTS:
+        t = _sub(t, pattern, to)
+    return _strip(t)
+
+
+@query(rf"""WITH c AS (SELECT doc_id, {_for_model("text")} AS t FROM documents),
+  s AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?]) ([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM c),
+  k AS (SELECT doc_id, list_filter(s, lambda x: len({_words("x")}) >= 3 AND NOT regexp_matches(x, '(?i){R.ADMIN_SENTENCE}') AND 3 * len(regexp_extract_all(x, '\p{{Nd}}+')) <= len({_words("x")})) AS s FROM s)
+  SELECT c.doc_id, md5(t) AS cleaned, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences FROM c JOIN k USING (doc_id)""")
+def model_sentences(spark, d):
+    """Documents cleaned and cut for a neural scorer."""
+    out = texts(spark, d).select("doc_id", F.md5(T.clean_for_model(F.col("text"))).alias("cleaned"), T.model_sentences(F.col("text")).alias("s"))
+    return out.select("doc_id", "cleaned", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences"))
+
+
+@query(f"""WITH {_SCORED}, k AS (SELECT doc_id, lang, n_chars, count(*) FILTER (score >= 5) AS n FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id, lang, n_chars)
+  SELECT lang || '_text' AS section, 'basic' AS model, count(*) AS n, round(avg(n), 6) AS mean, median(n) AS median, round(stddev_samp(n), 6) AS std, round(avg(n / nullif(n_chars // 1000, 0)), 6) AS mean_ratio
+  FROM k GROUP BY lang""")
+def section_model_report(spark, d):
+    """The hits of the basic extractor in each section that a document has, against what is expected of it."""
+    names = [f"{s}_text" for s in driver_io.LANGUAGES]
+    docs = table(spark, d, "documents")
+    wide = docs.select("doc_id", F.floor(F.col("n_chars") / 1000).alias("determination_count"), *[F.when(F.col("lang") == s, F.col("text")).alias(f"{s}_text") for s in driver_io.LANGUAGES], *[F.when(F.col("lang") == s, F.lit(True)).alias(f"has_{s}") for s in driver_io.LANGUAGES])
+    long = extract.basic_candidates(extract.unpivot_sections(wide, "doc_id", names), ["doc_id", "section"], "text", driver.PACK)
+    found = stored(extract.pivot_extractions(wide, long, "doc_id", names, "basic", 5.0))
+    out = reduce(DataFrame.unionByName, [staged.section_report(found, s, "basic", "doc_id") for s in names])
+    return out.select("section", "model", "n", F.round("mean", 6).alias("mean"), "median", F.round("std", 6).alias("std"), F.round("mean_ratio", 6).alias("mean_ratio"))

@@ -17,6 +17,7 @@ from docloom.sources import files, sheets, sinks
 from docloom.sources.sinks import scratch
 
 
+LANGUAGES = ("en", "de", "fr", "es")
 _DOCS = "SELECT doc_id, lang, source, n_chars, md5(text) AS h FROM documents"
 
 
@@ -31,12 +32,12 @@ def _hashed(df: DataFrame) -> DataFrame:
 @query(_DOCS)
 def csv_round_trip(spark, d):
     """Texts with line ends and quotes through CSV; the delimiter is found from the header."""
-    return _hashed(files.read_csv(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs")))
+    return _hashed(files.read_csv(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs"), multiline=True))
 
 
 @query(_DOCS)
 def csv_quoted(spark, d):
-    return _hashed(files.read_csv(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs", quote_all=True, escape='"'), ",", escape='"'))
+    return _hashed(files.read_csv(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs", quote_all=True, escape='"'), ",", escape='"', multiline=True))
 
 
 @query(_DOCS)
@@ -74,7 +75,7 @@ def sheet_round_trip(spark, d):
 
 @query("SELECT source FROM documents")
 def single_column(spark, d):
-    return files.read_column(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs"), "source")
+    return files.read_column(spark, sinks.write_csv(_docs(spark, d), f"{scratch(spark)}/docs"), "source", multiline=True)
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderpriority || ';more' ELSE o_orderpriority END AS note FROM orders""")
@@ -83,10 +84,9 @@ def ragged_lines(spark, d):
     o = table(spark, d, "orders")
     fields = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus")]
     note = F.when(F.col("o_orderkey") % 3 == 1, F.concat("o_orderpriority", F.lit(";more"))).when(F.col("o_orderkey") % 3 == 2, F.col("o_orderpriority"))
-    lines = o.select(F.concat_ws(";", *fields, note).alias("value"))
-    head = spark.createDataFrame([("id;status;note",)], "value string")
+    # a header in every part, and no quotes
     at = f"{scratch(spark)}/ragged"
-    head.unionByName(lines).coalesce(1).write.text(at)
+    o.select(F.concat_ws(";", *fields, note).alias("id;status;note")).write.option("header", True).option("sep", "\x01").option("quote", "\0").csv(at)
     return files.read_ragged(spark, at, ";")
 
 
@@ -205,24 +205,23 @@ def length_order(spark, d):
     return datasets.by_length(table(spark, d, "documents"), "text").select("doc_id", "n_words")
 
 
-@query("""SELECT doc_id, section, md5(text) AS h FROM (SELECT doc_id, lang AS section, text FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, 'source', source FROM documents WHERE n_chars > 500) WHERE trim(text) <> ''""")
+@query("""SELECT doc_id, section, md5(text) AS h FROM (SELECT doc_id, lang AS section, text FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') UNION ALL SELECT doc_id, 'source', source FROM documents WHERE n_chars > 500) WHERE trim(text) <> ''""")
 def unpivoted_sections(spark, d):
     docs = table(spark, d, "documents")
-    wide = docs.select("doc_id", *[F.when(F.col("lang") == s, F.col("text")).alias(s) for s in ("en", "de")], F.when(F.col("n_chars") > 500, F.col("source")).alias("source"))
-    return extract.unpivot_sections(wide, "doc_id", ["en", "de", "source"]).select("doc_id", "section", F.md5("text").alias("h"))
+    wide = docs.select("doc_id", *[F.when(F.col("lang") == s, F.col("text")).alias(s) for s in LANGUAGES], F.when(F.col("n_chars") > 500, F.col("source")).alias("source"))
+    return extract.unpivot_sections(wide, "doc_id", [*LANGUAGES, "source"]).select("doc_id", "section", F.md5("text").alias("h"))
 
 
 @query(f"""WITH {_SCORED}, k AS (SELECT r.*, lang FROM r JOIN documents USING (doc_id) WHERE score >= 5)
-  SELECT doc_id, CAST(coalesce(a.n, 0) AS INT) AS en_count, CAST(coalesce(b.n, 0) AS INT) AS de_count, coalesce(a.first, b.first) AS first FROM documents
-  LEFT JOIN (SELECT doc_id, count(*) AS n, md5(arg_min(sentence, rank)) AS first FROM k WHERE lang = 'en' GROUP BY doc_id) a USING (doc_id)
-  LEFT JOIN (SELECT doc_id, count(*) AS n, md5(arg_min(sentence, rank)) AS first FROM k WHERE lang = 'de' GROUP BY doc_id) b USING (doc_id)""")
+  SELECT doc_id, {", ".join(f"CAST(coalesce({s}.n, 0) AS INT) AS {s}_count" for s in LANGUAGES)}, coalesce({", ".join(f"{s}.first" for s in LANGUAGES)}) AS first FROM documents
+  {" ".join(f"LEFT JOIN (SELECT doc_id, count(*) AS n, md5(arg_min(sentence, rank)) AS first FROM k WHERE lang = '{s}' GROUP BY doc_id) {s} USING (doc_id)" for s in LANGUAGES)}""")
 def section_extractions(spark, d):
-    """The basic extractor over two sections, its records back as list columns."""
-    docs = table(spark, d, "documents").select("doc_id", *[F.when(F.col("lang") == s, F.col("text")).alias(s) for s in ("en", "de")])
-    long = extract.basic_candidates(extract.unpivot_sections(docs, "doc_id", ["en", "de"]), ["doc_id", "section"], "text", driver.PACK)
-    wide = extract.pivot_extractions(docs, long, "doc_id", ["en", "de"], "basic", 5.0)
-    first = F.coalesce(*[F.get(F.col(f"{s}_basic_extraction"), F.lit(0))["text"] for s in ("en", "de")])
-    return wide.select("doc_id", F.col("en_basic_extraction_count").alias("en_count"), F.col("de_basic_extraction_count").alias("de_count"), F.md5(first).alias("first"))
+    """The basic extractor over a section for each language, its records back as list columns."""
+    docs = table(spark, d, "documents").select("doc_id", *[F.when(F.col("lang") == s, F.col("text")).alias(s) for s in LANGUAGES])
+    long = extract.basic_candidates(extract.unpivot_sections(docs, "doc_id", list(LANGUAGES)), ["doc_id", "section"], "text", driver.PACK)
+    wide = extract.pivot_extractions(docs, long, "doc_id", list(LANGUAGES), "basic", 5.0)
+    first = F.coalesce(*[F.get(F.col(f"{s}_basic_extraction"), F.lit(0))["text"] for s in LANGUAGES])
+    return wide.select("doc_id", *[F.col(f"{s}_basic_extraction_count").alias(f"{s}_count") for s in LANGUAGES], F.md5(first).alias("first"))
 
 
 @query(f"""WITH {_SCORED}, v AS (SELECT l.doc_id, quality AS label, m.model, CAST(b.best >= m.least AS INT) AS pred FROM labels l

@@ -44,9 +44,10 @@ def sniff_delimiter(spark: SparkSession, path: str, candidates: tuple[str, ...]
     return next((d for d in candidates if len(header.split(d)) > 1), candidates[0])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schema: StructType | str | None = None, mode: str = "PERMISSIVE", quote: str = '"', escape: str = "\\", multiline: bool = True, limit: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schema: StructType | str | None = None, mode: str = "PERMISSIVE", quote: str = '"', escape: str = "\\", multiline: bool = False, limit: int | None = None) -> DataFrame:
     """Delimited text with a header; the delimiter is found if none is given.  Without a schema all columns are strings.
 
+    A file is read in parts, line by line; texts with line ends in quotes need `multiline`, which reads a file in one task.
     Bad lines: PERMISSIVE keeps them with nulls, DROPMALFORMED leaves them out, FAILFAST stops."""
     reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path))
     reader = reader.option("mode", mode).option("quote", quote).option("escape", escape).option("multiLine", multiline)
@@ -57,17 +58,21 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, schem
 
 
 def read_ragged(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """Lines cut by hand: what is too many goes to the last column with its delimiters, what is too few is null."""
+    """Lines cut by hand: what is too many goes to the last column with its delimiters, what is too few is null.
+
+    The header is the first line; every file that begins with it loses that line, and only that."""
     import re
 
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
     first = lines.limit(1).collect()
     if not first:
-        return lines.limit(0).drop("value")
+        return lines.limit(0).drop("value", "_file", "_start")
     header = first[0][0].split(delimiter)
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
+    begins = lines.where("_start = 0").groupBy("_file").agg(F.min(F.struct("_id", "value")).alias("_b"))
+    begins = begins.where(F.col("_b.value") == first[0][0]).select("_file", F.col("_b._id").alias("_id"))
     cut = F.split(F.col("value"), re.escape(delimiter), len(header))
-    # the header line may come up again in no other place of one file
-    rows = lines.where(F.col("value") != first[0][0]).select(cut.alias("_p"))
+    rows = lines.join(begins, ["_file", "_id"], "left_anti").select(cut.alias("_p"))
     return rows.select([F.get("_p", F.lit(i)).alias(h.strip()) for i, h in enumerate(header)])
 
 
@@ -80,9 +85,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None =
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
-def read_column(spark: SparkSession, path: str, column: str, delimiter: str | None = None) -> DataFrame:
+def read_column(spark: SparkSession, path: str, column: str, delimiter: str | None = None, multiline: bool = False) -> DataFrame:
     """One column of a delimited file; the scan reads no other."""
-    return read_csv(spark, path, delimiter).select(column)
+    return read_csv(spark, path, delimiter, multiline=multiline).select(column)
 
 
 def tar_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:

@@ -21,6 +21,14 @@ def test_delimiters_and_ragged_lines(spark, tmp_path):
     p = write(tmp_path / "a.csv", "id;t\n1;x;y\n2\n")
     assert files.sniff_delimiter(spark, p) == ";" and files.row_count(spark, p) == 2
     assert [tuple(r) for r in files.read_ragged(spark, p, ";").collect()] == [("1", "x;y"), ("2", None)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id;note\n1;a\nid;note\n2;b;c\n" * 3)
+    (folder / "b.csv").write_text("id;note\n7;x\n")
+    (folder / "c.csv").write_text("8;no header\n")
+    got = sorted(tuple(r) for r in files.read_ragged(spark, str(folder), ";").collect())
+    # a file loses its first line only where that is the header
+    assert got == sorted([("1", "a"), ("id", "note"), ("2", "b;c")] * 3 + [("id", "note")] * 2 + [("7", "x"), ("8", "no header")])
     assert files.sniff_delimiter(spark, write(tmp_path / "b.csv", "one\n")) == ","
 
 
