@@ -13,8 +13,8 @@ and 2.7 % at 0.85; over all blocks a pair of exactly 0.8 is missed with a chance
 above.  More rows at fewer blocks, as operator 9 replicates, cost more here for the same chance.  Sets of at most `FEW` shingles, whose
 bits tie more often, have `FEW_BLOCKS`.
 
-Equal sets are one row before anything else.  Lists only name their sets; at most anchors a set is alone, and its row ends there.
-The comparison runs per anchor: sets that share one and differ in at most `FAR` of 192 bits are of one family, and so is what is reached over such sets.  An anchor gives rows that tie its
+Equal sets are one row before anything else.  Lists carry 64 bits of their set; at most anchors no other set is within `NEAR` of them,
+and the row ends there.  The comparison runs per anchor: sets that share one and differ in at most `FAR` of 192 bits are of one family, and so is what is reached over such sets.  An anchor gives rows that tie its
 families, not pairs; what the first blocks have tied is one family in the later ones, so those only give what ties families.
 Chance meetings of unlike sets end there.  In a family each set is first compared with the family's first one, and then all
 that are outside the family's largest component with everybody, block by block (`_crossed`), so pairs are never rows.
@@ -48,6 +48,9 @@ FEW, FEW_BLOCKS = 30, 4000
 #: Words of 64 bits of the fingerprint that lists carry, and differing bits of those beyond which a pair is no candidate: 7 standard
 #: deviations from similarity 0.8, 5 from the most that sets of FEW shingles differ in.
 WORDS, FAR = 3, 64
+#: Differing bits of the first word beyond which a pair is no candidate: 6 standard deviations from similarity 0.8, almost 5 from the most
+#: that sets of FEW shingles differ in; one chance meeting in eight is within.
+NEAR = 27
 #: Sets at an anchor up to which all pairs are compared at once, sets that a task holds of an anchor, and sets in a block of those
 #: that are compared in full.
 PAIRED, HELD, CELL = 32, 1 << 20, 256
@@ -154,15 +157,15 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([fingerprint(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "n", "print"])
 
 
-LISTS, KEPT = "band bigint, fp bigint, own bigint", ", ".join(["own bigint", *[f"w{i} bigint" for i in range(WORDS)]])
+LISTS, KEPT = "band bigint, fp bigint, own bigint, w0 bigint", ", ".join(["own bigint", *[f"w{i} bigint" for i in range(1, WORDS)]])
 MET = "band bigint, first bigint, fp bigint, place bigint"
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        words = prints[:, : 8 * WORDS].copy().view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w) for w in words.T]], names=["own", *[f"w{i}" for i in range(WORDS)]])
+        words = prints[:, 8 : 8 * WORDS].copy().view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w) for w in words.T]], names=["own", *[f"w{i}" for i in range(1, WORDS)]])
 
 
 def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -171,32 +174,63 @@ def _listed(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                each = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), last - first) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchors(prints, first, last).reshape(-1), *each)], names=["band", "fp", "own"])
+                each = [*(part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)), prints[:, :8].copy().view(np.int64)[:, 0]]
+                columns = [anchors(prints, first, last).reshape(-1), *[np.repeat(c, last - first) for c in each]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "fp", "own", "w0"])
 
     return lists
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (band, fp) those of anchors where different fps are listed; holds the rows of one fp at one anchor,
-    and sends them on unseen where they are more than HELD."""
-    held, band, mixed = None, None, False
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
-        bands, fps = columns[:2]
-        n = len(bands)
-        if not n:
-            continue
-        begins = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))
-        many = fps[np.append(begins[1:], n) - 1] != fps[begins]
-        many[0] |= mixed and bands[0] == band
-        band, mixed = bands[-1], bool(many[-1]) or n - begins[-1] > HELD
-        many[-1] = mixed
-        keep = np.repeat(many, np.diff(np.append(begins, n)))
-        cut = n if mixed else begins[-1]
-        held = None if mixed else [c[cut:] for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:cut][keep[:cut]]) for c in columns], names=["band", "fp", "own"])
+def _near(fps: np.ndarray, words: np.ndarray, begins: np.ndarray, near: int) -> np.ndarray:
+    """Which rows have a row of another fp at their anchor within `near` bits of the first word; at anchors of more than PAIRED rows, all that
+    have another fp there."""
+    n = len(fps)
+    ends = np.append(begins[1:], n)
+    sizes = ends - begins
+    keep = np.repeat((fps[ends - 1] != fps[begins]) & (sizes > PAIRED), sizes)
+    stop = np.repeat(ends, sizes)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRED), sizes))
+    for d in range(1, PAIRED):
+        at = at[at + d < stop[at]]
+        if not len(at):
+            break
+        a = at[(fps[at] != fps[at + d]) & (np.bitwise_count(words[at] ^ words[at + d]) <= near)]
+        keep[a] = keep[a + d] = True
+    return keep
+
+
+def _shared(near: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in the order of (band, fp) those that may be tied at their anchor, by the first word.  Holds an anchor of up to PAIRED
+    rows, or the rows of one fp at one anchor, which go on unseen where they are more than HELD."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, band, mixed = None, None, False
+
+        def kept(columns: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["band", "fp", "own", "w0"])
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+            bands, fps, _, words = columns
+            n = len(bands)
+            if not n:
+                continue
+            begins = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))
+            keep = _near(fps, words.view(np.uint64), begins, near)
+            if mixed and bands[0] == band:
+                keep[: begins[1] if len(begins) > 1 else n] = True
+            last = begins[-1]
+            size, alone = n - last, fps[-1] == fps[last]
+            mixed, band = bool(mixed and last == 0 and bands[0] == band) or size > (HELD if alone else PAIRED), bands[-1]
+            keep[last:] |= mixed
+            cut = n if mixed else last
+            held = None if mixed else [c[cut:] for c in columns]
+            yield kept([c[:cut] for c in columns], keep[:cut])
+        if held:
+            yield kept(held, _near(held[1], held[3].view(np.uint64), np.zeros(1, np.intp), near))
+
+    return shared
 
 
 def _differ(words: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
@@ -383,7 +417,7 @@ def _crossed(families: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
 
 def _step(size: float) -> int:
     """Blocks of a pass, for sets of `size` bytes of text each."""
-    return min(BLOCKS, max(LEAST, int(LISTED * size / 24)))
+    return min(BLOCKS, max(LEAST, int(LISTED * size / 32)))
 
 
 def meetings(distinct: DataFrame, size: float, far: int = 64 * WORDS, start: int = 0, stop: int = FEW_BLOCKS) -> DataFrame:
@@ -391,7 +425,7 @@ def meetings(distinct: DataFrame, size: float, far: int = 64 * WORDS, start: int
     `stop`, and the smallest of those tied there.  `own` names a set apart from its fp, where that is a family's.
 
     The lists are made in passes of some LISTED bytes for each byte of text (`size` a set), each sorted and dropped by itself.  They
-    name sets only; the bits that decide are joined to those that share an anchor with another."""
+    carry one word of a set; the others, which decide, are joined to those that it leaves."""
     spark, step = distinct.sparkSession, _step(size)
     given = distinct.where("n > 0")
     given = given if "own" in given.columns else given.withColumn("own", F.col("fp"))
@@ -404,7 +438,7 @@ def meetings(distinct: DataFrame, size: float, far: int = 64 * WORDS, start: int
     for rows, first, last in spans:
         lists = rows.select("fp", "own", "print").mapInArrow(_listed(first, last), LISTS)
         lists = lists.repartition("band").sortWithinPartitions("band", "fp")
-        shared = materialize(lists.mapInArrow(_shared, LISTS), "shared").join(words, "own").select("band", "fp", *[f"w{i}" for i in range(WORDS)])
+        shared = materialize(lists.mapInArrow(_shared(NEAR if far < 64 * WORDS else 64), LISTS), "shared").join(words, "own").select("band", "fp", *[f"w{i}" for i in range(WORDS)])
         shared = shared.repartition("band").sortWithinPartitions("band", "fp")
         out.append(materialize(shared.mapInArrow(_met(PAIRED, HELD, far), MET), "meetings"))
         release(spark)

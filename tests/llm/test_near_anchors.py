@@ -75,16 +75,19 @@ def test_large_anchors_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()} == {r.doc_id: c for r, c in zip(docs, want, strict=True)}
 
 
-def test_only_shared_anchors_go_on(monkeypatch):
+def test_only_rows_with_a_near_one_at_their_anchor_go_on(monkeypatch):
     rng = np.random.Generator(np.random.PCG64(3))
-    for held, size in ((1 << 20, 1), (1 << 20, 7), (1 << 20, 1000), (2, 5)):
+    for paired, held, size, near in ((32, 1 << 20, 1, 20), (32, 1 << 20, 7, 20), (32, 1 << 20, 1000, 64), (2, 1 << 20, 5, 20), (4, 1, 3, 20)):
+        monkeypatch.setattr(near_dedup, "PAIRED", paired)
         monkeypatch.setattr(near_dedup, "HELD", held)
-        rows = sorted((int(rng.integers(0, 40)), int(rng.integers(0, 3)) * int(rng.integers(0, 2)), i) for i in range(90))
-        fps = defaultdict(set)
-        for band, fp, _ in rows:
-            fps[band].add(fp)
-        want = [r for r in rows if len(fps[r[0]]) > 1]
-        table = pa.table(list(map(list, zip(*rows, strict=True))), names=["band", "fp", "own"])
-        got = pa.Table.from_batches(near_dedup._shared(iter(table.to_batches(max_chunksize=size)))).to_pylist()
-        got = [tuple(r.values()) for r in got]
-        assert got == want if held > 2 else set(want) <= set(got)
+        word = lambda: int(rng.integers(0, 3)) * 0x1555555555555555 ^ int(rng.integers(0, 1 << 16))
+        rows = sorted((int(rng.integers(0, 40)), int(rng.integers(0, 4)) * int(rng.integers(0, 2)), i, word()) for i in range(110))
+        at = defaultdict(list)
+        for r in rows:
+            at[r[0]].append(r)
+        want = [r for r in rows if any(o[1] != r[1] and (o[3] ^ r[3]).bit_count() <= near for o in at[r[0]])]
+        table = pa.table(list(map(list, zip(*rows, strict=True))), names=["band", "fp", "own", "w0"])
+        got = [tuple(r.values()) for r in pa.Table.from_batches(near_dedup._shared(near)(iter(table.to_batches(max_chunksize=size)))).to_pylist()]
+        # anchors beyond the sizes go on as a whole
+        assert got == want if (paired, held) == (32, 1 << 20) else set(want) <= set(got) <= set(rows)
+        assert len(got) == len(set(got)) < len(rows) and want
