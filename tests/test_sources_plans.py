@@ -35,9 +35,9 @@ def test_delimiters_and_ragged_lines(spark, tmp_path):
 def test_csv_round_trip_with_quotes_and_backslashes(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi"\\n, then\nnext', ["a"])], "id bigint, t string, x array<string>")
     sinks.write_csv(df, str(tmp_path / "o"), quote_all=True)
-    r = files.read_csv(spark, str(tmp_path / "o"), ",").first()
+    r = files.read_csv(spark, str(tmp_path / "o"), ",", multiline=True).first()
     assert r.t == 'say "hi"\\n, then\nnext' and json.loads(r.x) == ["a"]
-    assert files.read_column(spark, str(tmp_path / "o"), "t", ",").columns == ["t"]
+    assert files.read_column(spark, str(tmp_path / "o"), "t", ",", multiline=True).columns == ["t"]
 
 
 def test_bad_lines_can_be_left_out(spark, tmp_path):
