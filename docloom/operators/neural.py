@@ -29,8 +29,8 @@ from docloom.operators.keys import hash_number
 from docloom.operators.scorers import token_ids
 from docloom.sources.sinks import stored
 
-BUCKETS, WIDTH, HIDDEN = 4096, 8, 16
-#: Tasks that train side by side: what they gather in a step is that many gradients of some 260 KB.
+BUCKETS, WIDTH, HIDDEN = 2048, 8, 16
+#: Tasks that train side by side: what they gather in a step is that many gradients of some 130 KB.
 TASKS = 8
 #: Lengths that token lists are padded to for inference; the last is where they are cut.
 LENGTHS = (16, 64, 512)
@@ -42,11 +42,12 @@ Exchange = Callable[[np.ndarray], list[np.ndarray]]
 
 @dataclass(frozen=True)
 class Settings:
-    """Of training; the names are those of `parameters.training_parameters` where it has them."""
+    """Of training; the names are those of `parameters.training_parameters` where it has them.  A step takes a second at least, as
+    Spark's barriers look for each other once a second, so batches are large and steps few."""
 
-    epochs: int = 6
-    batch_size: int = 64
-    learning_rate: float = 0.02
+    epochs: int = 12
+    batch_size: int = 1024
+    learning_rate: float = 0.05
     warmup_ratio: float = 0.1
     weight_decay: float = 1e-4
     fixed_gamma: float = 2.0
@@ -131,22 +132,34 @@ def fit(x: Examples, exchange: Exchange, rank: int, s: Settings) -> tuple[Weight
     flat, first, second = packed(initial(s.seed)), 0.0, 0.0
     best, history, total, done = flat, [], max(1, steps * s.epochs), 0
     warm = max(1, int(total * s.warmup_ratio))
+    held_loss = lambda: gradient(flat, held, s.fixed_gamma)[-2:]
+
+    def judge(summed: np.ndarray) -> bool:
+        """Notes the held-out loss of the weights that an epoch ended with; whether to stop."""
+        nonlocal best
+        history.append(float(summed[1] / max(summed[0], 1e-12)))
+        if history[-1] <= min(history):
+            best = flat
+        return len(history) - 1 - int(np.argmin(history)) >= s.patience
+
+    stopped = False
     for epoch in range(s.epochs):
         order = np.random.Generator(np.random.PCG64([s.seed, epoch, rank])).permutation(len(mine.lengths))
         for k in range(steps):
             part = mine.take(order[k * s.batch_size : (k + 1) * s.batch_size])
-            summed = reduce(np.add, exchange(gradient(flat, part, s.fixed_gamma)))
-            g, done = summed[:-2] / max(summed[-2], 1e-12), done + 1
+            # the loss of the epoch before travels with the first gradient of the next
+            summed = reduce(np.add, exchange(np.concatenate([gradient(flat, part, s.fixed_gamma), held_loss() if k == 0 else np.zeros(2)])))
+            if k == 0 and epoch and (stopped := judge(summed[-2:])):
+                break
+            g, done = summed[:-4] / max(summed[-4], 1e-12), done + 1
             rate = s.learning_rate * (done / warm if done <= warm else (total - done + 1) / max(1, total - warm + 1))
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
             move = first / (1 - 0.9**done) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
             flat = flat - rate * (move + s.weight_decay * flat)
-        judged = reduce(np.add, exchange(gradient(flat, held, s.fixed_gamma)[-2:]))
-        history.append(float(judged[1] / max(judged[0], 1e-12)))
-        if history[-1] <= min(history):
-            best = flat
-        elif len(history) - int(np.argmin(history)) > s.patience:
+        if stopped:
             break
+    if not stopped:
+        judge(reduce(np.add, exchange(held_loss())))
     return unpacked(best), history
 
 
