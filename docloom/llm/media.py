@@ -41,6 +41,7 @@ FORMAT = "docloom_archive"
 SCHEMA = "member string, offset bigint, media binary"
 MANIFEST = "_members.json"
 WIDTH = 64
+#: Partitions of a read, whatever the number of archives.
 MAX_RANGES = 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -169,6 +170,13 @@ class ByteRange(InputPartition):
         self.name, self.size, self.start, self.end = name, size, start, end
 
 
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads: more than one where archives are small."""
+
+    def __init__(self, parts: list[ByteRange]) -> None:
+        self.parts = parts
+
+
 class _Window(io.RawIOBase):
     """The last bytes of an archive as a seekable file of the archive's length."""
 
@@ -209,9 +217,15 @@ class ArchiveReader(DataSourceReader):
         else:
             found = where.get_file_info(pafs.FileSelector(root))
             files = sorted((x.base_name, x.size) for x in found if x.base_name.endswith(".zip"))
-        cut = max(self.range_bytes, -(-sum(size for _, size in files) // MAX_RANGES))
-        ranges = [ByteRange(n, size, a, min(size, a + cut)) for n, size in files for a in range(0, size, cut)]
-        return ranges or [ByteRange("", 0, 0, 0)]
+        cut, done = max(self.range_bytes, -(-sum(size for _, size in files) // MAX_RANGES)), 0
+        groups: dict[int, list[ByteRange]] = {}
+        for name, size in files:
+            for a in range(0, size, cut):
+                end = min(size, a + cut)
+                # by the place of a range's middle among the bytes of all archives, so that there are at most MAX_RANGES groups
+                groups.setdefault((2 * done + end - a) // (2 * cut), []).append(ByteRange(name, size, a, end))
+                done += end - a
+        return [Ranges(parts) for parts in groups.values()] or [Ranges([])]
 
     @staticmethod
     def _member(data: bytes, info: zipfile.ZipInfo) -> bytes:
@@ -258,23 +272,24 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.1 * 2**attempt)
         raise AssertionError
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.name:
-            return
+    def _members(self, part: ByteRange) -> Iterator[tuple[zipfile.ZipInfo, bytes]]:
         where, root = _open(self.folder)
-        path = _join(root, partition.name)
-        with where.open_input_file(path) as f, zipfile.ZipFile(io.BufferedReader(_Window(f, partition.size), 1 << 16)) as z:
+        path = _join(root, part.name)
+        with where.open_input_file(path) as f, zipfile.ZipFile(io.BufferedReader(_Window(f, part.size), 1 << 16)) as z:
             every = sorted(z.infolist(), key=lambda i: i.header_offset)
-            ends = [*(i.header_offset for i in every[1:]), z.start_dir]
-        own = [(i, end) for i, end in zip(every, ends, strict=True) if partition.start <= i.header_offset < partition.end]
+            ends = [*(i.header_offset for i in every[1:]), z.start_dir][: len(every)]
+        yield from self._blocks(where, path, [(i, end) for i, end in zip(every, ends, strict=True) if part.start <= i.header_offset < part.end])
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, int, bytes]] = []
         room = self.batch_bytes
-        for info, media in self._blocks(where, path, own):
-            held.append((info.filename, info.header_offset, media))
-            room -= info.file_size
-            if room <= 0:
-                yield self._batch(held)
-                held, room = [], self.batch_bytes
+        for part in partition.parts:
+            for info, media in self._members(part):
+                held.append((info.filename, info.header_offset, media))
+                room -= info.file_size
+                if room <= 0:
+                    yield self._batch(held)
+                    held, room = [], self.batch_bytes
         if held:
             yield self._batch(held)
 

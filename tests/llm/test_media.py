@@ -1,4 +1,5 @@
 import hashlib
+import json
 import os
 import zipfile
 import zlib
@@ -109,3 +110,24 @@ def test_ranges_are_bounded(tmp_path, monkeypatch):
         z.writestr("x", b"x" * 100_000)
     monkeypatch.setattr(media, "MAX_RANGES", 3)
     assert len(media.ArchiveReader(str(tmp_path), 10, 1 << 20, 3).partitions()) == 3
+
+
+def test_many_small_archives_share_partitions(tmp_path):
+    """150,000 archives of 5 KB would be as many partitions; nothing is opened to plan them."""
+    (tmp_path / media.MANIFEST).write_text(json.dumps([[f"{i}.zip", 5000] for i in range(150_000)]))
+    parts = media.ArchiveReader(str(tmp_path), 5000, 1 << 20, 3).partitions()
+    assert 50_000 < len(parts) <= media.MAX_RANGES
+    assert [r.name for p in parts for r in p.parts] == [f"{i}.zip" for i in range(150_000)]
+
+
+def test_ranges_of_several_archives_are_read_in_one_task(tmp_path):
+    for k in range(30):
+        with zipfile.ZipFile(tmp_path / f"{k:02d}.zip", "w") as z:
+            for i in range(k % 4):
+                z.writestr(f"{k}-{i}", b"%d-%d" % (k, i) * 50)
+    want = [f"{k}-{i}" for k in range(30) for i in range(k % 4)]
+    for size in (1, 500, 2500, 1 << 20):
+        reader = media.ArchiveReader(str(tmp_path), size, 1 << 20, 3)
+        parts = reader.partitions()
+        assert [n for p in parts for b in reader.read(p) for n in b.column("member").to_pylist()] == want
+    assert len(parts) == 1
