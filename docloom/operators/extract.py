@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
@@ -317,6 +318,12 @@ class Neural:
         return neural(docs, keys, text, self.scorer, self.threshold, self.strict)
 
 
+def apply_all(docs: DataFrame, extractors: dict[str, Extractor], keys: list[str], text: str) -> DataFrame:
+    """(model, keys..., hit columns): what every extractor finds, one below the other."""
+    found = [e.extract(docs, keys, text).select(F.lit(name).alias("model"), *keys, *FIELDS, "rank") for name, e in extractors.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 # -- sections --
 
 

@@ -118,3 +118,26 @@ def section_model_report(spark, d):
     found = stored(extract.pivot_extractions(wide, long, "doc_id", names, "basic", 5.0))
     out = reduce(DataFrame.unionByName, [staged.section_report(found, s, "basic", "doc_id") for s in names])
     return out.select("section", "model", "n", F.round("mean", 6).alias("mean"), "median", F.round("std", 6).alias("std"), F.round("mean_ratio", 6).alias("mean_ratio"))
+
+
+@query(f"""SELECT 'sparse' AS model, doc_id, md5(text) AS h, position, CAST(rank AS BIGINT) AS rank FROM ({driver.oracle_text("sparse_extraction")})
+  UNION ALL SELECT 'basic', doc_id, h, position, rank FROM ({driver.oracle_text("basic_selection")})""")
+def several_extractors(spark, d):
+    """Two extractors over all documents in one long table."""
+    out = extract.apply_all(texts(spark, d), {"sparse": extract.Sparse(driver.SPARSE_PACK), "basic": extract.Basic(driver.PACK)}, ["doc_id"], "text")
+    return out.select("model", "doc_id", F.md5("text").alias("h"), F.round("position", 9).alias("position"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_ITEM = _sub(_strip(_sub(_strip("x"), r"^\[+|\]+$", "")), "^[''\"]|[''\"]$", "")
+
+
+@query(rf"""WITH s AS (SELECT doc_id, list_transform({_sentences("translate(text, chr(34) || chr(39) || chr(92), '')")}, lambda x: {_strip(_sub("x", _S + "+", " "))}) AS s FROM documents),
+  c AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(s, lambda x: regexp_split_to_array(x, '{driver._CLAUSE}'))), lambda x: {_ITEM}), lambda x: x <> '' AND NOT {driver._lacks_letter("x")}) AS c FROM s WHERE len(s) > 0)
+  SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, chr(10))) AS clauses FROM c""")
+def listed_clauses(spark, d):
+    """Documents as list literals of their sentences, and the clauses of their items."""
+    items = F.transform(T.sentences(F.translate("text", "\"'\\", "")), T.squeeze)
+    docs = texts(spark, d).select("doc_id", items.alias("s")).where(F.size("s") > 0)
+    literal = F.concat(F.lit("['"), F.array_join("s", "', '"), F.lit("']"))
+    out = docs.select("doc_id", T.listed_clauses(literal).alias("c"))
+    return out.select("doc_id", F.size("c").cast("bigint").alias("n"), F.md5(F.array_join("c", "\n")).alias("clauses"))
