@@ -70,7 +70,7 @@ def clean_example(c: Column) -> Column:
     """A training sentence without its list or quote wrapper; null where nothing is left."""
     t = sub(strip(c), r"^\['|'\]\z", "")
     t = sub(sub(t, r'^"|"\s*\z', ""), r"\s+", " ")
-    for old, new in (("isallowed", "is allowed"), ("isset", "is set"), ("isallowedin", "is allowed in"), ("allowedforjin", "allowed for jin"), (r"allowed\.the", "allowed. The")):
+    for old, new in R.EXAMPLE_REWRITES:
         t = sub(t, old, new, "(?iu)")
     return F.nullif(t, F.lit(""))
 
@@ -90,20 +90,9 @@ def _unwrapped(c: Column) -> Column:
 def clean_for_model(c: Column) -> Column:
     """Text for a neural scorer: wrappers, escapes, redactions, ids, citations, dates, file lines, signatures and odd
     characters out."""
-    until = r".*?(?=\s\s|\n|$)"
     t = F.replace(F.replace(_unwrapped(c), F.lit("\\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    t = sub(t, r"\\u[0-9a-fA-F]{4}", " ")
-    t = sub(t, r"\[REDACTED.*?\]", " ", "(?iu)")
-    t = sub(t, r"\[\d+\]", " ")
-    t = sub(t, r"\b\d{5,}\b", " ")
-    t = sub(t, r"\d{4}\s+CanLII\s+\d+\s*\(CA\s*IRB\)", " ")
-    t = sub(t, rf"(?:{R.MONTHS})\s+\d{{1,2}},\s+\d{{4}}", " ", "(?iu)")
-    t = sub(t, r"\b\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\b", " ")
-    t = sub(t, r"IAD\s+File\s+No\.*\s*/\s*No\s+de\s+dossier\s+de\s+la\s+SAI\s*:" + until, " ", "(?iu)")
-    t = sub(t, r"(?:File|Client|UCI|Application)\s+(?:No|Number|ID)\.*\s*:" + until, " ", "(?iu)")
-    t = sub(t, r"Date\s*:\s*" + until, " ", "(?iu)")
-    t = sub(t, r"\(signed\)" + until, " ", "(?iu)")
-    t = sub(t, r"Judicial\s+Review\s+[-–]\s+Under\s+section\s+72.*?application\.", " ", "(?ius)")
+    for pattern, flags in R.MODEL_NOISE:
+        t = sub(t, pattern, " ", flags)
     return squeeze(sub(sub(t, r"\s+", " "), r"[^\w\s.,!?;:'-]", " "))
 
 
@@ -123,10 +112,8 @@ def clean_for_training(c: Column, patterns: tuple[str, ...] = R.DOCUMENT_IDS) ->
     """A labelled sentence without ids, dates, numbers, brackets and edge junk; '' where too little is left or null."""
     t = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\n"), F.lit(" ")), F.lit("\\r"), F.lit(" "))
     t = sub(remove_ids(t, patterns), r"\s+", " ")
-    t = sub(t, r"\[\d+\]", "")
-    t = sub(t, rf"\d{{1,2}}\s+(?:{R.MONTHS})\s+\d{{4}}", "")
-    t = sub(t, r"(?<![a-zA-Z])\d+(?:\s*-\s*\d+)*(?![a-zA-Z])", "")
-    t = sub(sub(t, r"\[.*?\]", ""), r"\(.*?\)", "")
+    for pattern in R.TRAINING_NOISE:
+        t = sub(t, pattern, "")
     t = sub(sub(t, r"^[-\\/\s]+", ""), r"[-\\/\s]+\z", "")
     t = strip(normalize_punctuation(t))
     return F.when((F.char_length(t) < 5) | t.rlike(U + r"^[\d\s\-\\/\.]+\z"), F.lit("")).otherwise(t)
