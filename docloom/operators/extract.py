@@ -12,6 +12,9 @@ from functools import reduce
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,15 +153,38 @@ def is_small(bank: DataFrame) -> bool:
     return (bank.agg(F.sum(n * 32)).first()[0] or 0) <= SMALL_BANK
 
 
-def rarest_grams(rows: DataFrame, index: DataFrame, bank: DataFrame, rules: R.NgramRules, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _known_pairs(sent: Broadcast, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many runs of `size` words of each cleaned sentence are known, where any are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            counts = []
+            for c in batch.column(0).to_pylist():
+                w = c.split(" ")
+                counts.append(sum(" ".join(w[i : i + size]) in known for i in range(len(w) - size + 1)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["cleaned", "_b"])
+            yield out.filter(pc.greater(out.column(1), 0))
+
+    return run
+
+
+def rarest_grams(rows: DataFrame, index: DataFrame, bank: DataFrame, rules: R.NgramRules, small: bool = False) -> DataFrame:
     """(cleaned, grams, probes): the grams of each sentence that may reach the threshold, and the rarest of them that the index has.
 
     A gram that is shared holds pairs of words that are in the bank, and each pair begins at most one gram of each size: a sentence
     with too few such pairs isn't cut further.  Of n grams t must be shared, so one of any n - t + 1 is: those that fewest sentences
-    of the bank have are taken, first of all those that none has."""
+    of the bank have are taken, first of all those that none has.
+
+    small: the bank was measured, and its pairs and grams may be sent to every task."""
+    hint = F.broadcast if small else (lambda df: df)
     low, sizes = rules.min_gram, rules.max_gram - rules.min_gram + 1
     pairs = bank.select(F.explode(F.array_distinct(T.ngrams(F.col("text"), low, low))).alias("gram")).distinct()
-    some = rows.select("cleaned", F.explode(T.ngrams(F.col("cleaned"), low, low)).alias("gram")).join(hint(pairs), "gram").groupBy("cleaned").agg(F.count(F.lit(1)).alias("_b"))
+    if small:
+        sent = rows.sparkSession.sparkContext.broadcast({r.gram for r in pairs.collect()})
+        some = rows.select("cleaned").mapInArrow(_known_pairs(sent, low), "cleaned string, _b bigint")
+    else:
+        some = rows.select("cleaned", F.explode(T.ngrams(F.col("cleaned"), low, low)).alias("gram")).join(pairs, "gram").groupBy("cleaned").agg(F.count(F.lit(1)).alias("_b"))
     cut = some.select("cleaned", "_b", T.ngrams(F.col("cleaned"), low, rules.max_gram).alias("_g")).where(F.col("_b") * sizes >= rules.threshold * F.size("_g"))
     spread = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
     weighed = cut.select("cleaned", F.explode("_g").alias("gram")).join(hint(spread), "gram", "left")
@@ -174,9 +200,10 @@ def shared_grams(rows: DataFrame, bank: DataFrame, rules: R.NgramRules = R.LEGAL
     """(cleaned, text, match): the share of a sentence's grams that a sentence of the bank has, where it reaches the threshold.
 
     Only a sentence's rarest grams are looked up in the index; the share of those it meets is counted on whole lists."""
-    hint = F.broadcast if is_small(bank) else (lambda df: df)
+    small = is_small(bank)
+    hint = F.broadcast if small else (lambda df: df)
     index = stored(gram_index(bank, rules))
-    lists = stored(rarest_grams(rows, index, bank, rules, hint))
+    lists = stored(rarest_grams(rows, index, bank, rules, small))
     met = lists.select("cleaned", F.explode("probes").alias("gram")).join(hint(index), "gram").select("cleaned", "text").distinct()
     sets = index.groupBy("text").agg(F.collect_set("gram").alias("_set"))
     both = met.join(lists.select("cleaned", "grams"), "cleaned").join(hint(sets), "text")

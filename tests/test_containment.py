@@ -90,7 +90,9 @@ def test_shared_grams_equal_all_pairs_and_probe_few(spark):
     rows, bank = spark.createDataFrame([(s,) for s in given], "cleaned string"), spark.createDataFrame([(t,) for t in texts], "text string")
     got = {(r.cleaned, r.text): r.match for r in extract.shared_grams(rows, bank, RULES).collect()}
     assert got == want and len(want) > 60
-    lists = extract.rarest_grams(rows, extract.gram_index(bank, RULES), bank, RULES, lambda df: df).collect()
+    lists = extract.rarest_grams(rows, extract.gram_index(bank, RULES), bank, RULES).collect()
+    again = extract.rarest_grams(rows, extract.gram_index(bank, RULES), bank, RULES, small=True).collect()
+    assert sorted(map(str, again)) == sorted(map(str, lists))
     assert sum(len(r.probes) for r in lists) < 0.5 * sum(len(r.grams) for r in lists)
 
 
