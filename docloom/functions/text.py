@@ -26,14 +26,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: What `\s` matches among Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return sub(c, r"^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
     """White space runs to one blank, ends trimmed."""
-    return strip(sub(c, r"\s+", " "))
+    return F.btrim(sub(c, r"\s+", " "))
 
 
 def words(c: Column) -> Column:
@@ -42,6 +46,11 @@ def words(c: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, U + r"\s+"))
 
 
+def word_count(c: Column) -> Column:
+    """How many words `words` gives, without cutting the text."""
+    return F.regexp_count(c, F.lit(U + r"\S+"))
+
+
 def _bare(c: Column) -> Column:
     """Non-words to blanks, but for apostrophes inside words."""
     kept = sub(c, r"(\w)'(\w)", "$1§$2")
@@ -61,7 +70,7 @@ def clean_for_grams(c: Column, rewrites=R.NGRAM_REWRITES) -> Column:
 
 def clean_sentence(c: Column, rewrites=R.SPARSE_REWRITES) -> Column:
     """For whole-sentence comparison: outer brackets and quotes out, lower case, rewrites in order, end punctuation out."""
-    t = sub(strip(c), r"^\[+|\]+\z", "")
+    t = F.rtrim(F.ltrim(strip(c), F.lit("[")), F.lit("]"))
     t = fold(F.lower(sub(strip(t), r"^['\"]|['\"]\z", "")), rewrites)
     return F.btrim(squeeze(sub(t, r"(\w)\.(\w)", "$1 $2")), F.lit(".,;:"))
 
@@ -188,9 +197,14 @@ def listed_clauses(c: Column) -> Column:
 
 def model_sentences(c: Column, admin: str = R.ADMIN_SENTENCE) -> Column:
     """Sentences for a neural scorer: cut before capitals, short, administrative and numeric ones out."""
-    parts = _pieces(F.split(clean_for_model(F.coalesce(c, F.lit(""))), U + r"(?<=[.!?])\s+(?=[A-Z])"))
-    keep = lambda s: (F.size(words(s)) >= 3) & ~s.rlike("(?iu)" + U + admin) & (F.regexp_count(s, F.lit(U + r"\d+")) * 3 <= F.size(words(s)))
-    return F.filter(parts, keep)
+    return cut_for_model(clean_for_model(F.coalesce(c, F.lit(""))), admin)
+
+
+def cut_for_model(c: Column, admin: str = R.ADMIN_SENTENCE) -> Column:
+    """The sentences of a text that `clean_for_model` gave."""
+    parts = _pieces(F.split(c, U + r"(?<=[.!?])\s+(?=[A-Z])"))
+    few = lambda s: let(word_count(s), lambda n: (n >= 3) & (F.regexp_count(s, F.lit(U + r"\d+")) * 3 <= n))
+    return F.filter(parts, lambda s: few(s) & ~s.rlike("(?iu)" + U + admin))
 
 
 def parse_list_text(c: Column) -> Column:

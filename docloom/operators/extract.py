@@ -28,9 +28,11 @@ _EXTRACTION = "struct<text:string,matched_text:string,score:double,position:doub
 
 
 def explode_sentences(docs: DataFrame, keys: list[str], text: str, splitter: Callable[[Column], Column] = T.sentences) -> DataFrame:
-    """keys, pos (from 0), n, sentence."""
-    parts = docs.select(*keys, splitter(F.col(text)).alias("_s"))
-    return parts.select(*keys, F.size("_s").alias("n"), F.posexplode("_s").alias("pos", "sentence"))
+    """keys, pos (from 0), n, sentence.
+
+    An inner explode would be given a filter on the size of its list, which cuts every text a second time below it."""
+    parts = docs.select(*keys, splitter(F.col(text)).alias("_s")).select(*keys, F.size("_s").alias("n"), "_s")
+    return parts.select(*keys, "n", F.posexplode_outer("_s").alias("pos", "sentence")).where("pos IS NOT NULL")
 
 
 def relative(pos: Column, n: Column) -> Column:
@@ -63,10 +65,8 @@ def sparse(docs: DataFrame, keys: list[str], text: str, rules: R.SparseRules = R
 # -- classes of phrases and patterns --
 
 
-def basic_score(sentence: Column, rules: R.BasicRules = R.LEGAL_BASIC) -> Column:
-    """The score of the first class that matches; else the sum of learned patterns, keywords, length and outcome words."""
-    lower = F.lower(sentence)
-    n = F.size(T.words(lower))
+def _scored(sentence: Column, lower: Column, n: Column, rules: R.BasicRules) -> Column:
+    """The score of a sentence whose lower case and number of words are worked out beside it."""
     learned = sentence.rlike(R.one_of(rules.learned)) if rules.learned else F.lit(False)
     out = F.when(learned, 5.0).otherwise(0.0)
     for k in rules.keywords:
@@ -82,6 +82,11 @@ def basic_score(sentence: Column, rules: R.BasicRules = R.LEGAL_BASIC) -> Column
     return out
 
 
+def basic_score(sentence: Column, rules: R.BasicRules = R.LEGAL_BASIC) -> Column:
+    """The score of the first class that matches; else the sum of learned patterns, keywords, length and outcome words."""
+    return _scored(sentence, F.lower(sentence), T.word_count(sentence), rules)
+
+
 def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.BasicRules = R.LEGAL_BASIC, examples: DataFrame | None = None) -> DataFrame:
     """Each distinct sentence of a document that is an exact one (20 points) or scores above 0.
 
@@ -95,9 +100,11 @@ def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.Basic
         known = examples.select(F.col("text").alias("sentence"), F.lit(True).alias("_known")).distinct()
         distinct = distinct.join(known, "sentence", "left")
         exact = exact | F.coalesce("_known", F.lit(False))
-    scored = distinct.withColumn("_exact", exact).withColumn("score", F.when(F.col("_exact"), 20.0).otherwise(basic_score(F.col("sentence"), rules)))
+    parts = distinct.withColumns({"_exact": exact, "_lower": F.lower("sentence"), "_words": T.word_count(F.col("sentence"))})
+    scored = parts.withColumn("score", F.when(F.col("_exact"), 20.0).otherwise(_scored(F.col("sentence"), F.col("_lower"), F.col("_words"), rules)))
     place = F.when(F.col("_exact"), F.col("last")).otherwise(F.col("first"))
-    return scored.where("score > 0").select(
+    # below the window the filter would take a second copy of the score; those without points rank last
+    ranked = scored.select(
         *keys,
         F.col("sentence").alias("text"),
         F.col("sentence").alias("matched_text"),
@@ -107,6 +114,7 @@ def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.Basic
         F.when(F.col("_exact"), "exact").otherwise("pattern").alias("match_type"),
         F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("_exact"), "first")).alias("rank"),
     )
+    return ranked.where("score > 0")
 
 
 def select_adaptive(candidates: DataFrame, keys: list[str], strong: float = 10.0, share: float = 0.7, floor: float = 5.0, most: int = 5, weak: int = 3) -> DataFrame:

@@ -1,0 +1,61 @@
+"""What a plan holds once: dear expressions must not be copied by the optimizer."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.operators import extract
+from docloom.plans import driver, driver_io
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def docs(spark):
+    # as a scan, since the optimizer works local rows out at once
+    return spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("Of the one. And the "), F.col("id").cast("string"), F.lit(". Rights reserved.")).alias("text"))
+
+
+def test_texts_are_cut_once(docs):
+    out = extract.explode_sentences(docs, ["doc_id"], "text")
+    assert plan(out).count("split(") == 1
+    assert [(r.pos, r.n, r.sentence) for r in out.where("doc_id = 1").orderBy("pos").collect()] == [(0, 3, "Of the one."), (1, 3, "And the 1."), (2, 3, "Rights reserved.")]
+
+
+def test_texts_without_sentences_have_no_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id int, text string")
+    assert extract.explode_sentences(rows, ["doc_id"], "text").count() == 0
+
+
+def test_sentences_are_scored_once(docs):
+    found = plan(extract.basic_candidates(docs, ["doc_id"], "text", driver.PACK))
+    assert found.count("license") == 1 and found.count("split(") == 1
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    """Every code point but surrogates, at both ends."""
+    c = F.col("c")
+    points = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    twice = points.select("c", F.concat(c, c, F.lit("x "), c, F.lit("y"), c).alias("t"))
+    assert twice.where(T.strip(F.col("t")) != T.sub(F.col("t"), r"^\s+|\s+\z", "")).count() == 0
+    # a lone byte order mark is decoded to nothing
+    assert points.where((T.strip(c) == "") & (c != "")).count() == 25
+
+
+def test_word_count_is_that_of_words(spark):
+    rows = spark.createDataFrame([(t,) for t in ("", " ", "a", " a  b ", "a b c", "　x\ty\n", None)], "t string")
+    assert rows.where(~F.size(T.words(F.col("t"))).eqNullSafe(T.word_count(F.col("t"))) & F.col("t").isNotNull()).count() == 0
+
+
+def test_generated_methods_are_compiled(spark, sf):
+    """The JVM compiles no method of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is generated before the run
+    try:
+        debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+        text = debug.codegenString(driver_io.text_forms(spark, sf)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
+    assert sizes and all(s < 8000 for s in sizes)
