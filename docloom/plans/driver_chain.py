@@ -102,8 +102,9 @@ def _for_model(t: str) -> str:
   SELECT c.doc_id, md5(t) AS cleaned, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences FROM c JOIN k USING (doc_id)""")
 def model_sentences(spark, d):
     """Documents cleaned and cut for a neural scorer."""
-    out = texts(spark, d).select("doc_id", F.md5(T.clean_for_model(F.col("text"))).alias("cleaned"), T.model_sentences(F.col("text")).alias("s"))
-    return out.select("doc_id", "cleaned", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences"))
+    cleaned = texts(spark, d).select("doc_id", T.clean_for_model(F.col("text")).alias("t"))
+    out = cleaned.select("doc_id", "t", T.cut_for_model(F.coalesce("t", F.lit(""))).alias("s"))
+    return out.select("doc_id", F.md5("t").alias("cleaned"), F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences"))
 
 
 @query(f"""WITH {_SCORED}, k AS (SELECT doc_id, lang, n_chars, count(*) FILTER (score >= 5) AS n FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id, lang, n_chars)
