@@ -233,7 +233,9 @@ def section_extractions(spark, d):
 def extractor_votes(spark, d):
     """What the basic extractor finds at three strengths, each a model, against the labels, and their majority."""
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    best = extract.basic_candidates(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", driver.PACK).groupBy("doc_id").agg(F.max("score").alias("best"))
+    found = extract.basic_candidates(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", driver.PACK)
+    # each vote reads it, and the majority reads the votes
+    best = sinks.stored(found.groupBy("doc_id").agg(F.max("score").alias("best")))
     votes = None
     for model, least in (("any", 0.1), ("numbers", 10.0), ("license", 20.0)):
         one = evaluate.predictions_from(labels, best.where(F.col("best") >= least), "doc_id").withColumn("model", F.lit(model))
