@@ -257,8 +257,9 @@ _HEADER_TEXT = f"regexp_replace(upper({_strip(_sub('''replace(translate(text, ch
   md5({chained("text", ((p, "") for p in R.DOCUMENT_IDS))}) AS ids, md5({_HEADER_TEXT}) AS header, regexp_matches(lower(text), 'license|of the') AS keyword FROM documents""")
 def text_forms(spark, d):
     t = F.col("text")
-    forms = {"grams": T.clean_for_grams(t), "clause": T.clean_sentence(t, driver.SPARSE_PACK.rewrites), "example": T.clean_example(t), "ids": T.remove_ids(t), "header": T.normalize_header(t)}
-    return driver.texts(spark, d).select("doc_id", *[F.md5(c).alias(n) for n, c in forms.items()], T.has_keyword(t, ("license", "of the")).alias("keyword"))
+    forms = {"grams": T.clean_for_grams, "clause": lambda c: T.clean_sentence(c, driver.SPARSE_PACK.rewrites), "example": T.clean_example, "ids": T.remove_ids, "header": T.normalize_header}
+    # bound one by one: together their generated method is too long for the JVM to compile
+    return driver.texts(spark, d).select("doc_id", *[T.let(t, lambda x: F.md5(f(x))).alias(n) for n, f in forms.items()], T.has_keyword(t, ("license", "of the")).alias("keyword"))
 
 
 _LISTED = [_bare(_sub(_sub(f"lower({c})", r"\[|\]|''''|``", " "), rf"({_W})[.]({_W})", r"\1. \2")) for c in ("lang", "source")]
