@@ -66,23 +66,33 @@ def write_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_json_array(df: DataFrame, path: str) -> str:
-    """One JSON array a part: each part's records on lines between brackets, without moving rows."""
+#: Characters of JSON in one array, unless a single record is longer: an array is read back whole, by one task.
+ARRAY_CHARS = 1 << 25
+
+
+def write_json_array(df: DataFrame, path: str, chars: int = ARRAY_CHARS) -> str:
+    """JSON arrays of about `chars` characters, each a line and a file of its own, without moving rows."""
     lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
     def bracketed(batches):
         import pyarrow as pa
 
-        first = True
+        held, size, none = [], 0, True
+
+        def array():
+            return pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"], pa.string())], names=["value"])
+
         for batch in batches:
-            out = []
             for v in batch.column(0).to_pylist():
-                out.append(("[" if first else ",") + v)
-                first = False
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
-
-    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+                if held and size + len(v) > chars:
+                    yield array()
+                    held, size, none = [], 0, False
+                held.append(v)
+                size += len(v)
+        if held or none:
+            yield array()
+
+    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
