@@ -116,7 +116,9 @@ def section_model_report(spark, d):
     docs = table(spark, d, "documents")
     wide = docs.select("doc_id", F.floor(F.col("n_chars") / 1000).alias("determination_count"), *[F.when(F.col("lang") == s, F.col("text")).alias(f"{s}_text") for s in driver_io.LANGUAGES], *[F.when(F.col("lang") == s, F.lit(True)).alias(f"has_{s}") for s in driver_io.LANGUAGES])
     long = extract.basic_candidates(extract.unpivot_sections(wide, "doc_id", names), ["doc_id", "section"], "text", driver.PACK)
-    found = stored(extract.pivot_extractions(wide, long, "doc_id", names, "basic", 5.0))
+    found = extract.pivot_extractions(wide, long, "doc_id", names, "basic", 5.0)
+    # the report needs neither texts nor records; without the texts the join moves none
+    found = stored(found.drop(*names, *[f"{s}_basic_extraction" for s in names]))
     out = reduce(DataFrame.unionByName, [staged.section_report(found, s, "basic", "doc_id") for s in names])
     return out.select("section", "model", "n", F.round("mean", 6).alias("mean"), "median", F.round("std", 6).alias("std"), F.round("mean_ratio", 6).alias("mean_ratio"))
 
