@@ -256,7 +256,8 @@ def ngram_candidates(docs: DataFrame, keys: list[str], text: str, bank: DataFram
         "cleaned": T.clean_for_grams(F.col("sentence")),
     })
     known = bank.select(F.col("text").alias("cleaned"), F.lit(True).alias("_known"))
-    rows = rows.join(known, "cleaned", "left")
+    # read for the matches and for their places: written, so that texts are cut and cleaned once
+    rows = stored(rows.join(known, "cleaned", "left"))
     open_ = ~F.col("_direct") & F.col("_phrase").isNull() & F.col("_known").isNull() & (F.col("_in") | F.col("_marker"))
     found = gram_match(rows.where(open_).select("cleaned"), bank, rules)
     rows = rows.join(found, "cleaned", "left")

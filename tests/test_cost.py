@@ -34,6 +34,17 @@ def test_sentences_are_scored_once(docs):
     assert found.count("license") == 1 and found.count("split(") == 1
 
 
+def test_what_is_read_twice_is_written(spark, docs):
+    """Texts are cut for the scorer only, not again for the places of what it found."""
+    scorer = lambda batches: (s.str.len() * 0.0 + 1.0 for s in batches)
+    out = extract.neural(docs, ["doc_id"], "text", scorer)
+    assert plan(out).count("split(") == 0 and out.count() == 3 * 2  # one has two words only
+    bank = spark.createDataFrame([("of the one",)], "text string")
+    found = extract.ngram_candidates(docs, ["doc_id"], "text", bank, driver.NGRAM_PACK)
+    assert "posexplode" not in plan(found)
+    assert {(r.text, r.match_type) for r in found.collect()} == {("Of the one.", "exact"), ("Rights reserved.", "phrase_match")}
+
+
 def test_strip_takes_what_the_pattern_takes(spark):
     """Every code point but surrogates, at both ends."""
     c = F.col("c")
