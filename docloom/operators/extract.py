@@ -297,7 +297,7 @@ def neural(docs: DataFrame, keys: list[str], text: str, scorer: Callable, thresh
 
     scorer: a function from an iterator of pandas string series to series of probabilities, so that a model is loaded once
     a task; each distinct sentence is scored once."""
-    rows = explode_sentences(docs, keys, text, T.model_sentences)
+    rows = stored(explode_sentences(docs, keys, text, T.model_sentences))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -254,7 +254,8 @@ class Network:
     threshold: float = 0.5
 
     def extract(self, docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-        rows = extract.explode_sentences(docs, keys, text, extract.T.model_sentences)
+        # read for the distinct sentences and for their places: written, so that texts are cleaned once
+        rows = stored(extract.explode_sentences(docs, keys, text, extract.T.model_sentences))
         tokens = stored(rows.select("sentence").distinct().select("sentence", token_ids(F.col("sentence"), self.tokenizer, LENGTHS[-1]).alias("ids")))
         scored = predicted(tokens, self.weights).select("sentence", "score").where(F.col("score") >= self.threshold)
         return extract.hits(rows.join(scored, "sentence"), keys)
