@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def where(value: Column, test, body) -> Column:
+    """`body` of the value where the test holds, else the value: spares a dear pattern by a cheap test."""
+    return let(value, lambda t: F.when(test(t), body(t)).otherwise(t))
+
+
 #: What `\s` matches among Unicode.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -36,8 +44,8 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space runs to one blank, ends trimmed."""
-    return F.btrim(sub(c, r"\s+", " "))
+    """White space runs to one blank, ends trimmed.  A single blank is left as it stands, as it is most of them."""
+    return F.btrim(sub(c, r"\s(?:(?<! )\s*|\s+)", " "))
 
 
 def words(c: Column) -> Column:
@@ -70,9 +78,11 @@ def clean_for_grams(c: Column, rewrites=R.NGRAM_REWRITES) -> Column:
 
 def clean_sentence(c: Column, rewrites=R.SPARSE_REWRITES) -> Column:
     """For whole-sentence comparison: outer brackets and quotes out, lower case, rewrites in order, end punctuation out."""
-    t = F.rtrim(F.ltrim(strip(c), F.lit("[")), F.lit("]"))
-    t = fold(F.lower(sub(strip(t), r"^['\"]|['\"]\z", "")), rewrites)
-    return F.btrim(squeeze(sub(t, r"(\w)\.(\w)", "$1 $2")), F.lit(".,;:"))
+    edge = lambda *marks: lambda t: reduce(or_, [f(t, F.lit(m)) for m in marks for f in (F.startswith, F.endswith)])
+    t = where(strip(c), edge("[", "]"), lambda t: strip(F.rtrim(F.ltrim(t, F.lit("[")), F.lit("]"))))
+    t = fold(F.lower(where(t, edge("'", '"'), lambda t: sub(t, r"^['\"]|['\"]\z", ""))), rewrites)
+    t = where(t, lambda t: F.contains(t, F.lit(".")), lambda t: sub(t, r"(\w)\.(\w)", "$1 $2"))
+    return where(squeeze(t), edge(*".,;:"), lambda t: F.btrim(t, F.lit(".,;:")))
 
 
 def clean_example(c: Column) -> Column:
@@ -178,12 +188,15 @@ def sentences(c: Column) -> Column:
 
 _CLAUSES = U + r"\s*[,;]\s*|\s+and\s+"
 
+#: Where clauses end.  Blanks go with the mark before them, so an `and` that begins a sentence is none that cuts; one that ends a
+#: sentence is left by what must not follow.  A run of blanks is tried at its beginning only, and letters are passed over at once.
+_CUTS = U + r"(?:(?=[.!?,;])|(?=\s)(?<!\s))(?:\s*[.!?,;]+\s*|(?<=\])\s+(?=\[)|\s+and\s++(?![.!?]))"
+
 
 def clauses(c: Column) -> Column:
-    """Cut at . ! ? and between `]` and `[`, then at commas, semicolons and ` and `.  Numbers and blanks out."""
-    whole = _pieces(F.split(F.coalesce(c, F.lit("")), U + r"[.!?]+|(?<=\])\s+(?=\[)"))
-    parts = F.flatten(F.transform(whole, lambda s: F.split(s, _CLAUSES)))
-    return F.filter(parts, lambda s: (strip(s) != "") & ~s.rlike(U + r"^\d+\z"))
+    """Cut at . ! ? and between `]` and `[`, at commas, semicolons and ` and `, all at once.  Numbers and blanks out."""
+    parts = F.split(strip(F.coalesce(c, F.lit(""))), _CUTS)
+    return F.filter(parts, lambda s: (s != "") & ~s.rlike(U + r"^\d+\z"))
 
 
 def listed_clauses(c: Column) -> Column:
@@ -260,9 +273,19 @@ def has_keyword(c: Column, keywords: tuple[str, ...] = R.TRAINING_KEYWORDS) -> C
     return F.lower(c).rlike(R.quoted(keywords))
 
 
+def padded(c: Column) -> Column:
+    """The text between blanks."""
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
+def between(c: Column, keyword: str) -> Column:
+    """The keyword stands between blanks in a text that `padded` gave."""
+    return F.contains(c, F.lit(f" {keyword} "))
+
+
 def bounded(c: Column, keyword: str) -> Column:
     """The keyword stands in the text between blanks."""
-    return F.contains(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(f" {keyword} "))
+    return between(padded(c), keyword)
 
 
 def ngrams(c: Column, low: int = 2, high: int = 4) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
@@ -65,26 +66,36 @@ def sparse(docs: DataFrame, keys: list[str], text: str, rules: R.SparseRules = R
 # -- classes of phrases and patterns --
 
 
-def _scored(sentence: Column, lower: Column, n: Column, rules: R.BasicRules) -> Column:
-    """The score of a sentence whose lower case and number of words are worked out beside it."""
+#: Phrases that are looked for one by one; more are one pattern, as generated methods must stay small.
+FEW_PHRASES = 16
+
+
+def _any_phrase(lower: Column, phrases: tuple[str, ...]) -> Column:
+    found = tuple(p.lower() for p in phrases)
+    return lower.rlike(R.quoted(found)) if len(found) > FEW_PHRASES else reduce(or_, [F.contains(lower, F.lit(p)) for p in found])
+
+
+def _scored(sentence: Column, lower: Column, padded: Column, n: Column, rules: R.BasicRules) -> Column:
+    """The score of a sentence whose lower case, that between blanks and number of words are worked out beside it."""
     learned = sentence.rlike(R.one_of(rules.learned)) if rules.learned else F.lit(False)
     out = F.when(learned, 5.0).otherwise(0.0)
     for k in rules.keywords:
-        out = out + F.when(T.bounded(lower, k), 1.0).otherwise(0.0)
+        out = out + F.when(T.between(padded, k), 1.0).otherwise(0.0)
     out = out + F.when(n.between(5, 30), 0.5).when(n > 30, -0.5).otherwise(0.0)
     outcome = F.lit(False)
     for k in rules.outcomes:
-        outcome = outcome | T.bounded(lower, k)
+        outcome = outcome | T.between(padded, k)
     out = out + F.when(outcome, 1.0).otherwise(0.0)
     for c in reversed(rules.classes):
-        hit = lower.rlike(R.quoted(tuple(p.lower() for p in c.phrases))) if c.phrases else sentence.rlike(R.one_of(c.patterns))
+        hit = _any_phrase(lower, c.phrases) if c.phrases else sentence.rlike(R.one_of(c.patterns))
         out = F.when(hit, c.score).otherwise(out)
     return out
 
 
 def basic_score(sentence: Column, rules: R.BasicRules = R.LEGAL_BASIC) -> Column:
     """The score of the first class that matches; else the sum of learned patterns, keywords, length and outcome words."""
-    return _scored(sentence, F.lower(sentence), T.word_count(sentence), rules)
+    lower = F.lower(sentence)
+    return _scored(sentence, lower, T.padded(lower), T.word_count(sentence), rules)
 
 
 def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.BasicRules = R.LEGAL_BASIC, examples: DataFrame | None = None) -> DataFrame:
@@ -101,27 +112,30 @@ def basic_candidates(docs: DataFrame, keys: list[str], text: str, rules: R.Basic
         distinct = distinct.join(known, "sentence", "left")
         exact = exact | F.coalesce("_known", F.lit(False))
     parts = distinct.withColumns({"_exact": exact, "_lower": F.lower("sentence"), "_words": T.word_count(F.col("sentence"))})
-    scored = parts.withColumn("score", F.when(F.col("_exact"), 20.0).otherwise(_scored(F.col("sentence"), F.col("_lower"), F.col("_words"), rules)))
+    parts = parts.withColumn("_padded", T.padded(F.col("_lower")))
+    scored = parts.withColumn("score", F.when(F.col("_exact"), 20.0).otherwise(_scored(F.col("sentence"), F.col("_lower"), F.col("_padded"), F.col("_words"), rules)))
     place = F.when(F.col("_exact"), F.col("last")).otherwise(F.col("first"))
     # below the window the filter would take a second copy of the score; those without points rank last
     ranked = scored.select(
         *keys,
         F.col("sentence").alias("text"),
-        F.col("sentence").alias("matched_text"),
         "score",
         relative(place, F.col("n")).alias("position"),
         F.char_length("sentence").alias("length"),
         F.when(F.col("_exact"), "exact").otherwise("pattern").alias("match_type"),
         F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("_exact"), "first")).alias("rank"),
     )
-    return ranked.where("score > 0")
+    # a second copy of the sentence isn't sorted
+    return ranked.where("score > 0").select(*keys, "text", F.col("text").alias("matched_text"), "score", "position", "length", "match_type", "rank")
 
 
 def select_adaptive(candidates: DataFrame, keys: list[str], strong: float = 10.0, share: float = 0.7, floor: float = 5.0, most: int = 5, weak: int = 3) -> DataFrame:
     """If a document's best reaches `strong`, what reaches max(floor, share * best), `most` at most; else the best `weak`."""
+    # the best stands first, so what ranks too low is dropped below the second window, and while the first one runs
+    top = candidates.where(F.col("rank") <= max(most, weak))
     best = F.max("score").over(Window.partitionBy(*keys))
     good = (F.col("_best") >= strong) & (F.col("score") >= F.greatest(F.lit(floor), F.col("_best") * share)) & (F.col("rank") <= most)
-    return candidates.withColumn("_best", best).where(good | ((F.col("_best") < strong) & (F.col("rank") <= weak))).drop("_best")
+    return top.withColumn("_best", best).where(good | ((F.col("_best") < strong) & (F.col("rank") <= weak))).drop("_best")
 
 
 def basic(docs: DataFrame, keys: list[str], text: str, rules: R.BasicRules = R.LEGAL_BASIC, examples: DataFrame | None = None) -> DataFrame:

@@ -70,3 +70,28 @@ def test_generated_methods_are_compiled(spark, sf):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(part.split(";")[0]) for part in text.split("maxMethodCodeSize:")[1:]]
     assert sizes and all(s < 8000 for s in sizes)
+
+
+def test_clauses_are_cut_at_once(spark, docs):
+    """No pattern is compiled for each sentence; an `and` at a sentence's edge is no cut, and long blanks are walked once."""
+    assert plan(docs.select(T.clauses(F.col("text")).alias("c"))).count("split(") == 1
+    wanted = {
+        "a and b, c;d. and e and . f and !": ["a", "b", "c", "d", "and e and", "f and"],
+        " and x and and y": ["and x", "and y"],
+        "[a] [ and b] , and 12 . 7": ["[a]", "[", "b]", "and 12"],
+        "a ,. ; and\xa0b\tand c]\n[d": ["a", "and\xa0b", "c]", "[d"],
+        "x" + " " * 50_000 + "y": ["x" + " " * 50_000 + "y"],
+    }
+    got = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", T.clauses(F.col("t")).alias("c"))
+    assert {r.t: r.c for r in got.collect()} == wanted
+
+
+def test_low_ranks_are_dropped_while_ranking(docs):
+    out = extract.basic(docs, ["doc_id"], "text", driver.PACK)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_single_blank_is_left(spark, docs):
+    assert r"(?U)\s+" not in plan(docs.select(T.squeeze(F.col("text")).alias("c")))
+    rows = spark.createDataFrame([(t,) for t in ("a b", " a  b ", "a\tb", "a \tb", "a\t b", "\xa0 ", "a b c\n\nd", "")], "t string")
+    assert [r[0] for r in rows.select(T.squeeze(F.col("t"))).collect()] == ["a b", "a b", "a b", "a b", "a b", "", "a b c d", ""]
