@@ -95,3 +95,11 @@ def test_a_single_blank_is_left(spark, docs):
     assert r"(?U)\s+" not in plan(docs.select(T.squeeze(F.col("text")).alias("c")))
     rows = spark.createDataFrame([(t,) for t in ("a b", " a  b ", "a\tb", "a \tb", "a\t b", "\xa0 ", "a b c\n\nd", "")], "t string")
     assert [r[0] for r in rows.select(T.squeeze(F.col("t"))).collect()] == ["a b", "a b", "a b", "a b", "a b", "", "a b c d", ""]
+
+
+def test_staged_texts_are_dealt_by_key_once(spark, sf, monkeypatch):
+    given = []
+    monkeypatch.setattr(driver_io.staged, "run", lambda s, source, *a: given.append(source) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        driver_io.staged_run(spark, sf)
+    assert "RepartitionByExpression [doc_id" in plan(given[0])
