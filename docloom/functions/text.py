@@ -43,6 +43,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def has_text(c: Column) -> Column:
+    """Whether `strip` leaves anything; the text's end isn't searched."""
+    return F.ltrim(c, F.lit(WHITE)) != ""
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one blank, ends trimmed.  A single blank is left as it stands, as it is most of them."""
     return F.btrim(sub(c, r"\s(?:(?<! )\s*|\s+)", " "))

@@ -380,7 +380,7 @@ def apply_all(docs: DataFrame, extractors: dict[str, Extractor], keys: list[str]
 def unpivot_sections(docs: DataFrame, key: str, sections: list[str]) -> DataFrame:
     """(key, section, text): a row for each section column that has text."""
     long = docs.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in sections])).alias("_s"))
-    return long.select(key, "_s.section", "_s.text").where(F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
+    return long.select(key, "_s.section", "_s.text").where(F.col("text").isNotNull() & T.has_text(F.col("text")))
 
 
 def scored_text(docs: DataFrame, sections: list[str], cleaned: str = "cleaned_text") -> Column:

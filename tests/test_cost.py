@@ -103,3 +103,10 @@ def test_staged_texts_are_dealt_by_key_once(spark, sf, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         driver_io.staged_run(spark, sf)
     assert "RepartitionByExpression [doc_id" in plan(given[0])
+
+
+def test_sections_with_text_are_found_from_their_beginning(spark, docs):
+    wide = docs.select("doc_id", F.col("text").alias("a"), F.lit(" \n\xa0").alias("b"), F.when(F.col("doc_id") == 1, F.lit("\u2003x ")).alias("c"))
+    out = extract.unpivot_sections(wide, "doc_id", ["a", "b", "c"])
+    assert "btrim(" not in plan(out) and " trim(" not in plan(out) and "(trim(" not in plan(out)
+    assert {(r.doc_id, r.section) for r in out.collect()} == {(0, "a"), (1, "a"), (2, "a"), (1, "c")}
