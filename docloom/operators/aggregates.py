@@ -81,9 +81,9 @@ def crosstab(df: DataFrame, rows: str, columns: str) -> DataFrame:
     return df.cube(rows, columns).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("margin"))
 
 
-def class_weights(df: DataFrame, label: str, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """Balanced weights n / (k n_i), clipped."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+def class_weights(df: DataFrame, label: str, low: float = 0.5, high: float = 2.0, times: str | None = None) -> DataFrame:
+    """Balanced weights n / (k n_i), clipped; a row counts once, or as often as `times` says."""
+    counts = df.groupBy(label).agg((F.sum(times) if times else F.count(F.lit(1))).alias("count"))
     every = Window.partitionBy()
     weight = F.sum("count").over(every) / (F.count(F.lit(1)).over(every) * F.col("count"))
     return counts.select(label, "count", F.least(F.lit(high), F.greatest(F.lit(low), weight)).alias("weight"))

@@ -50,11 +50,11 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 @query()
 def neural_extraction(spark, d):
     """Sentences that a network finds likely to stand in poor documents: trained on sentences of the labelled ones, applied to all."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = files.spread(table(spark, d, "documents").select("doc_id", "text"))
     labels = table(spark, d, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg((1 - F.max("quality")).alias("label"))
     examples = extract.explode_sentences(docs.join(labels, "doc_id"), ["label"], "text", T.model_sentences).select(F.col("sentence").alias("text"), "label")
     weights, _ = neural.train(examples, TOKENIZER)
-    out = neural.Network(weights, TOKENIZER, 0.42).extract(files.spread(docs), ["doc_id"], "text")
+    out = neural.Network(weights, TOKENIZER, 0.42).extract(docs, ["doc_id"], "text")
     return out.select("doc_id", "text", F.round("score", 6).alias("score"), "rank")
 
 

@@ -1,7 +1,9 @@
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import BarrierTaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -83,6 +85,48 @@ def test_examples_are_bounded(spark):
     assert neural.prepared(examples(spark), TOKENIZER, neural.Settings(), 50, 2).count() == 50
 
 
+def test_all_examples_are_trained_on(spark, monkeypatch):
+    """Each as often as it stands, and those of a common sentence by all tasks."""
+
+    def counted(_):
+        def run(batches):
+            context = BarrierTaskContext.get()
+            found = neural._gathered(context)(np.array([neural._read(batches).copies.sum()], float))
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([[float(a[0]) for a in found]])], names=["weights", "history"])
+
+        return run
+
+    monkeypatch.setattr(neural, "_trained", counted)
+    monkeypatch.setattr(neural, "unpacked", lambda flat: flat)
+    texts = F.when(F.col("id") < 9_001, F.lit("one very common line")).otherwise(F.concat(F.lit("line "), F.col("id").cast("string")))
+    rows = spark.range(25_000).select(texts.alias("text"), F.lit(1).alias("label")).union(spark.createDataFrame([("one very common line", 0), (None, 1)], "text string, label int"))
+    _, parts = neural.train(rows, TOKENIZER, tasks=3)
+    assert sum(parts) == 25_001 and max(parts) < 1.1 * min(parts)
+
+
+def test_copies_weigh_as_examples_do():
+    x, s = random_examples(60), neural.Settings(epochs=3, batch_size=16)
+    copies = np.arange(60) % 4 + 1
+    twice = x.take(np.repeat(np.arange(60), copies))
+    (weights, losses), *_ = side_by_side([neural.Examples(x.flat, x.lengths, x.labels, x.weights, x.held, copies)], s)
+    (wanted, history), *_ = side_by_side([twice], s)
+    assert losses == history and all((weights[k] == wanted[k]).all() for k in wanted)
+
+
+def test_an_epoch_takes_all_examples_in_few_steps(monkeypatch):
+    x, s, seen = random_examples(900), neural.Settings(epochs=1, batch_size=8, epoch_steps=5), []
+    monkeypatch.setattr(neural, "BLOCK", 32)
+    neural.fit(x, lambda values: seen.append(values) or [values], 0, s)
+    steps = seen[1:-1]
+    assert len(steps) == 5 and sum(v[-4] for v in steps) == pytest.approx(x.weights[~x.held].sum())
+    flat = neural.packed(neural.initial(s.seed))
+    assert steps[0][-2:] == pytest.approx(neural.gradient(flat, x.take(x.rows(True)), s.fixed_gamma)[-2:])
+    rows = x.rows(False)
+    assert neural.by_blocks(neural.gradient, flat, x, rows, 2.0) == pytest.approx(neural.gradient(flat, x.take(rows), 2.0))
+    assert (neural.by_blocks(neural.gradient, flat, x, rows[:0], 2.0) == 0).all()
+
+
 def test_scores_equal_brute_force(spark, tmp_path):
     weights = neural.load(spark, neural.save(spark, neural.initial(5), str(tmp_path / "weights")))
     sentence = "The Claimant walked along the river today"
